@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, records
+from . import bpe, decontamination, probminhash, records
 from .common import documents, scratch
 
 
@@ -28,5 +28,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_token_records": op1_token_records, "op10_byte_bpe": op10_byte_bpe}
+def contamination_digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_classes(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_token_records": op1_token_records,
+    "op7_decontamination": op7_decontamination,
+    "op8_probminhash": op8_probminhash,
+    "op10_byte_bpe": op10_byte_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}
