@@ -8,8 +8,6 @@ the batch's bytes, whatever the size of the table.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
@@ -36,19 +34,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-@lru_cache(4)
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """BASE ** i (or its inverse) for i < n, modulo 2 ** 64."""
-    out = np.full(n, INV if inverse else BASE, U64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+_tables: dict[bool, np.ndarray] = {}
 
 
 def power_table(n: int, inverse: bool = False) -> np.ndarray:
-    return powers(1 << max(10, (n - 1).bit_length() if n > 1 else 10), inverse)
+    """BASE ** i (or its inverse) modulo 2 ** 64, for i < n at least; one table of each kind is kept, as long as the largest block needs."""
+    have = _tables.get(inverse)
+    if have is None or len(have) < n:
+        have = np.full(1 << max(16, n.bit_length()), INV if inverse else BASE, U64)
+        have[0] = 1
+        _tables[inverse] = np.multiply.accumulate(have, out=have)
+    return _tables[inverse]
 
 
-def text_batches(batches, most_bytes: int = 8_000_000):
+def text_batches(batches, most_bytes: int = 2_000_000):
     """Slices of Arrow record batches that hold about most_bytes of their column text at most; a row is never cut."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -95,7 +95,7 @@ def pretokens(texts: pa.Array) -> Spans:
 class Memory:
     """Values of integer lists by 64-bit key, kept as one array; it forgets all when it holds more than most keys."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         self.most = most
         self.forget()
 
