@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, probminhash, records
+from . import bpe, decontamination, license_scan, order_minhash, probminhash, quality, records, toxicity
 from .common import documents, scratch
+from .labelled import predictions
 
 
 def crc_of(ids) -> int:
@@ -28,6 +29,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return predictions(toxicity.score(docs, model), 0.5)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return predictions(quality.score(docs, model), 0.3)
+
+
 def contamination_digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
 
@@ -40,10 +57,31 @@ def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_classes(documents(spark, sf_dir))
 
 
+def order_minhash_digest(pairs: DataFrame) -> DataFrame:
+    own = F.col("entries")
+    return pairs.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.fingerprint(own).alias("fingerprint"),
+        order_minhash.fingerprint(F.col("edited_entries")).alias("edited_fingerprint"),
+        order_minhash.likeness(own, F.col("edited_entries")).alias("near_edited"),
+        order_minhash.likeness(own, F.col("next_entries")).alias("near_next"),
+    )
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash_digest(order_minhash.edited_pairs(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_license_scan": op2_license_scan,
+    "op3_toxicity": op3_toxicity,
+    "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_probminhash": op8_probminhash,
+    "op9_order_minhash": op9_order_minhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.oracle()}
