@@ -43,7 +43,7 @@ def grams(block: Block):
 
 def present(block: Block, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text's number, bucket) of each distinct bucket of each text; with keep (features by bucket, from 1; 0: none) only those kept, as features."""
-    keys = []
+    keys = [np.zeros(0, np.int64)]
     doc = np.repeat(np.arange(block.n), np.diff(block.off))
     for at, bucket in grams(block):
         value = bucket.astype(np.int64) if keep is None else keep[bucket].astype(np.int64)
