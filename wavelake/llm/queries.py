@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, license_scan, order_minhash, probminhash, quality, records, toxicity
+from . import bpe, decontamination, license_scan, order_minhash, probminhash, quality, records, substring_dedup, toxicity
 from .common import documents, scratch
 from .labelled import predictions
 
@@ -39,6 +40,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(toxicity.score(docs, model), 0.5)
 
 
+def sha256_of(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
+
+
+def substring_digest(found: DataFrame) -> DataFrame:
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.col("value").alias("kept_sha256"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digest(substring_dedup.deduplicated(documents(spark, sf_dir), sha256_of))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -78,6 +92,7 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_probminhash": op8_probminhash,
