@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows in an Arrow batch: texts can be long, so batches stay small.
 ARROW_ROWS = 2000
 
@@ -35,7 +37,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Fewer rows in an Arrow batch, so that a batch of long texts fits a Python worker."""
+    """Before Python functions: the package reaches the executors, and an Arrow batch has fewer rows, so that one of long texts fits a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, license_scan, order_minhash, probminhash, quality, records, substring_dedup, toxicity
+from . import bpe, decontamination, license_scan, lm_scoring, order_minhash, probminhash, quality, records, substring_dedup, toxicity
 from .common import documents, scratch
-from .labelled import predictions
+from .labelled import fold, predictions
 
 
 def crc_of(ids) -> int:
@@ -53,6 +53,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digest(substring_dedup.deduplicated(documents(spark, sf_dir), sha256_of))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.log_probabilities(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), fold() == 1)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -93,6 +97,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality": op6_quality,
     "op7_decontamination": op7_decontamination,
     "op8_probminhash": op8_probminhash,
