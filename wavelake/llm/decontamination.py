@@ -159,3 +159,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, most_window
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["n"])
     out = out.withColumn("n_hit", n_hit)
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = K, most_windows: int = MOST_WINDOWS) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated."""
+    key = lambda: F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    found = contamination(docs.select(F.struct("doc_id", key().alias("key")).alias("doc_id"), "text"), benchmark, k, most_windows).where("contaminated")
+    out = found.select(F.col("doc_id.doc_id").alias("its_id"), F.col("doc_id.key").alias("its_key")).distinct()
+    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("its_id")) & (key() == F.col("its_key")), "left_anti")

@@ -178,3 +178,16 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
 
     rows = id_and_text(docs)
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double")
+
+
+def good(docs: DataFrame, model: Trees, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is least or more. Rows stay in their partitions."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in text_batches(batches):
+            own = shared.value(statistics(b.column(b.schema.get_field_index("text")))) >= least
+            yield b.filter(pa.array(own))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +72,12 @@ def _runs(at: np.ndarray, anchor: np.ndarray, most: int) -> tuple[np.ndarray, np
     return first, np.minimum(first + most, np.repeat(start + size, pieces))
 
 
+def hash_of(raw: bytes) -> int:
+    """What xxhash64() of a column gives."""
+    h = xxhash.xxh64_intdigest(raw, seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def text_anchors(docs: DataFrame, k: int) -> DataFrame:
     """text_hash, anchor of each text."""
 
@@ -90,17 +97,17 @@ def judged_early(docs: DataFrame, k: int, value) -> DataFrame:
 
     def run(batches):
         for b in text_batches(batches):
-            out: dict[str, list] = {x: [] for x in ("doc_id", "n_words", "removed", "value", "text", "anchors")}
+            out: dict[str, list] = {x: [] for x in ("doc_id", "text_hash", "n_words", "removed", "value", "text", "anchors")}
             for doc_id, text, copy, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if not own else b""
                 words = raw.split()
                 removed = bool(copy) and len(words) >= k
-                row = (doc_id, None, None, None, text.as_py(), own) if own else (doc_id, len(words), [{"word": 0, "n": len(words)}] if removed else [], value(b"" if removed else b" ".join(words)), None, None)
+                row = (doc_id, None, None, None, None, text.as_py(), own) if own else (doc_id, hash_of(raw), len(words), [{"word": 0, "n": len(words)}] if removed else [], value(b"" if removed else b" ".join(words)), None, None)
                 for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["removed"], MARK), pa.array(out["value"], pa.string()), pa.array(out["text"], pa.string()), pa.array(out["anchors"], pa.list_(pa.int64()))], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["text_hash"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["removed"], MARK), pa.array(out["value"], pa.string()), pa.array(out["text"], pa.string()), pa.array(out["anchors"], pa.list_(pa.int64()))], list(out))
 
-    return docs.mapInArrow(run, f"doc_id long, n_words long, removed {MARKS}, value string, text string, anchors array<long>")
+    return docs.mapInArrow(run, f"doc_id long, text_hash long, n_words long, removed {MARKS}, value string, text string, anchors array<long>")
 
 
 def _chosen(docs: np.ndarray, values: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -205,26 +212,27 @@ def streamed(rows: DataFrame, k: int, value) -> DataFrame:
     def run(batches):
         part, automaton = None, None
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("doc_id", "n_words", "removed", "value")}
+            out: dict[str, list] = {x: [] for x in ("doc_id", "text_hash", "n_words", "removed", "value")}
             for p, owner, left, phrase, right, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if p != part:
                     part, automaton = p, Automaton(k)
                 if text is None:
                     automaton.add(owner, left, phrase, right)
                     continue
-                words = [w.decode() for w in text.encode().split()]
+                raw = text.encode()
+                words = [w.decode() for w in raw.split()]
                 gone = automaton.removed(doc_id, words)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(np.int8))).reshape(-1, 2)
-                row = (doc_id, len(words), [{"word": a, "n": z - a} for a, z in edge.tolist()], value(" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]).encode()))
+                row = (doc_id, hash_of(raw), len(words), [{"word": a, "n": z - a} for a, z in edge.tolist()], value(" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]).encode()))
                 for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["removed"], MARK), pa.array(out["value"], pa.string())], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["text_hash"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["removed"], MARK), pa.array(out["value"], pa.string())], list(out))
 
-    return rows.mapInArrow(run, f"doc_id long, n_words long, removed {MARKS}, value string")
+    return rows.mapInArrow(run, f"doc_id long, text_hash long, n_words long, removed {MARKS}, value string")
 
 
 def deduplicated(docs: DataFrame, value=bytes.decode, k: int = K) -> DataFrame:
-    """doc_id, n_words, removed (first word and number of words of each removed run), value: what value(bytes) gives, as a string, for the kept words joined by one blank; by default these words."""
+    """doc_id, text_hash (xxhash64 of the text), n_words, removed (first word and number of words of each removed run), value: what value(bytes) gives, as a string, for the kept words joined by one blank; by default these words."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -255,4 +263,13 @@ def deduplicated(docs: DataFrame, value=bytes.decode, k: int = K) -> DataFrame:
     none = [F.lit(None).cast(t).alias(c) for c, t in (("owner", "long"), ("left", "string"), ("phrase", "string"), ("right", "string"))]
     both = sent.unionByName(suspects.select(part, *none, "doc_id", "text"))
     both = both.repartition(parts, "part").sortWithinPartitions("part", F.col("text").isNotNull(), "doc_id")
-    return early.where("anchors is null").select("doc_id", "n_words", "removed", "value").unionByName(streamed(both, k, value))
+    return early.where("anchors is null").select("doc_id", "text_hash", "n_words", "removed", "value").unionByName(streamed(both, k, value))
+
+
+def rewritten(docs: DataFrame, k: int = K) -> DataFrame:
+    """docs with the kept words, one blank between, as the text of each row that loses words (and their number of characters as n_chars, if docs has it); other rows are as they were."""
+    found = deduplicated(docs, k=k).where(F.size("removed") > 0)
+    changed = found.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), F.col("value").alias("its_text")).dropDuplicates(["its_id", "its_hash"])
+    rows = docs.join(changed, (F.col("doc_id").cast("long") == F.col("its_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("its_hash")), "left")
+    text = {"text": F.coalesce("its_text", "text"), "n_chars": F.when(F.col("its_id").isNotNull(), F.char_length("its_text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return rows.select(*(text[c].alias(c) if c in text else F.col(c) for c in docs.columns))
