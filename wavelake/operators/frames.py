@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as f
 
-BY_FRAME = W.partitionBy("capture_id").orderBy("frame_index")
 #: Severities from the worst, detectors in order.
 SEVERITIES = ("critical", "warning", "info")
 DETECTORS = ("excessive_retries", "weak_signal", "rssi_collapse", "deauth_flood", "eapol_retransmission", "key_reinstallation", "incomplete_handshake", "roam_churn", "bad_fcs", "unprotected_management_frames")
 
 
+def by_frame():
+    return W.partitionBy("capture_id").orderBy("frame_index")
+
+
 def with_kind(frames: DataFrame) -> DataFrame:
     c = F.col
     return frames.withColumn("kind", f.frame_kind(c("ftype"), c("subtype"), c("auth_algo"), c("auth_seq"), c("key_info")))
@@ -29,7 +32,7 @@ def frame_flags(raw: DataFrame) -> DataFrame:
 
 def frames_of_kind(kinds: DataFrame, *wanted: str, limit: int = 50) -> DataFrame:
     """The first frames of the kinds of each capture."""
-    return kinds.where(F.col("kind").isin(*wanted)).withColumn("rank", F.row_number().over(BY_FRAME)).where(F.col("rank") <= limit)
+    return kinds.where(F.col("kind").isin(*wanted)).withColumn("rank", F.row_number().over(by_frame())).where(F.col("rank") <= limit)
 
 
 def _is(*kinds: str) -> Column:
@@ -52,7 +55,7 @@ def capture_facts(frames: DataFrame) -> DataFrame:
     rssi = c("rssi_dbm").isNotNull()
     n = W.partitionBy("capture_id")
     # the place of each signal value among those of its capture, for the first and last thirds
-    kinds = kinds.withColumns({"_at": F.sum(rssi.cast("int")).over(BY_FRAME), "_n": F.sum(rssi.cast("int")).over(n), "_m4": F.min(F.when(_is("eapol_m4"), c("time_s"))).over(n)})
+    kinds = kinds.withColumns({"_at": F.sum(rssi.cast("int")).over(by_frame()), "_n": F.sum(rssi.cast("int")).over(n), "_m4": F.min(F.when(_is("eapol_m4"), c("time_s"))).over(n)})
     head, tail = rssi & (c("_at") <= F.floor(c("_n") / 3)), rssi & (c("_at") > c("_n") - F.ceil(c("_n") / 3))
     times = lambda k: F.count_if(_is(k))
     t = c("time_s")
@@ -98,7 +101,7 @@ def slowest_stage(timings: DataFrame) -> DataFrame:
 def roam_sequence(frames: DataFrame) -> DataFrame:
     """The access points that a station asked for, one after the other, and whether one comes again."""
     asked = with_kind(frames).where(_is("assoc_request", "reassoc_request") & (F.coalesce("addr1", F.lit("")) != ""))
-    steps = asked.withColumn("_was", F.lag("addr1").over(BY_FRAME)).where("_was is null or _was <> addr1")
+    steps = asked.withColumn("_was", F.lag("addr1").over(by_frame())).where("_was is null or _was <> addr1")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("frame_index", "addr1"))), lambda x: x["addr1"])
     out = steps.groupBy("capture_id").agg(ordered.alias("sequence"))
     return out.withColumns({"transitions": F.size("sequence") - 1, "pingpong": F.size(F.array_distinct("sequence")) < F.size("sequence")})
@@ -141,7 +144,7 @@ def detect_key_reinstallation(facts: DataFrame, frames: DataFrame | None = None)
     detail = F.lit("")
     if frames is not None:
         m3 = with_kind(frames).where((F.col("kind") == "eapol_m3") & F.col("replay_counter").isNotNull())
-        falls = m3.withColumn("_falls", F.coalesce(F.lag("replay_counter").over(BY_FRAME) > F.col("replay_counter"), F.lit(False)))
+        falls = m3.withColumn("_falls", F.coalesce(F.lag("replay_counter").over(by_frame()) > F.col("replay_counter"), F.lit(False)))
         up = falls.groupBy("capture_id").agg(((F.countDistinct("replay_counter") > 1) & ~F.bool_or("_falls")).alias("_up"))
         rows, detail = rows.join(up, "capture_id", "left"), F.when(F.col("_up"), "increasing").otherwise("not increasing")
     return _finding(rows, "key_reinstallation", "critical", F.col("m3_after_m4"), detail)
@@ -232,7 +235,7 @@ def reconcile_frames(ours: DataFrame, theirs: DataFrame, fields: tuple[str, ...]
 def collapse_data_frames(frames: DataFrame) -> DataFrame:
     """Runs of data frames, closed by any other frame or after the frame 1 s or more from the run's first: n, retries, their share, and a warning over 20%. The greedy cut is a fold over each run, which ends at any other frame."""
     rows = with_kind(frames).withColumns({"ms": (F.col("time_s") * 1000).cast("long"), "is_data": (F.col("ftype") == 2) & F.col("key_info").isNull()})
-    rows = rows.withColumn("run", F.sum((~F.col("is_data")).cast("int")).over(BY_FRAME)).where("is_data")
+    rows = rows.withColumn("run", F.sum((~F.col("is_data")).cast("int")).over(by_frame())).where("is_data")
     ordered = F.array_sort(F.collect_list(F.struct("frame_index", "ms", "retry")))
     runs = rows.groupBy("capture_id", "run").agg(ordered.alias("f"))
     item = "array<struct<frame_index:int,ms:bigint,retry:boolean,bucket:bigint>>"

@@ -1,6 +1,6 @@
 """The registered queries: operators over the tables of a folder, with the same in DuckDB's SQL."""
 
-from . import frames, kpi, logs, results
+from . import failures, frames, kpi, learning, logs, results, streams, triage
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "frames", "kpi", "logs", "results"]
+__all__ = ["ORACLES", "QUERIES", "failures", "frames", "kpi", "learning", "logs", "results", "streams", "triage"]

@@ -98,10 +98,10 @@ def packet_loss_pct(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(f.packet_loss_pct(sent, F.least(sent, F.col("event_id") % 13)), 6).alias("loss_pct"))
 
 
-@query("modified_z", f"WITH e AS (SELECT event_id, value, CAST(event_id % 90 AS DOUBLE) AS median, CAST(event_id % 4 AS DOUBLE) AS mad FROM events) SELECT event_id, round({Z}, 3) AS z FROM e")
+@query("modified_z", f"WITH e AS (SELECT event_id, value, CAST(event_id % 90 AS DOUBLE) AS median, CAST(event_id % 4 AS DOUBLE) AS mad FROM events) SELECT event_id, round({Z}, 8) AS z FROM e")
 def modified_z(spark, sf):
     c = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", F.round(f.modified_z(F.col("value"), (c % 90).cast("double"), (c % 4).cast("double")), 3).alias("z"))
+    return table(spark, sf, "events").select("event_id", F.round(f.modified_z(F.col("value"), (c % 90).cast("double"), (c % 4).cast("double")), 8).alias("z"))
 
 
 @query("baselines", f"{BASELINES} SELECT scope_key, n, {r('median', 'mad', 'p95', 'p99')}, min_value, max_value, unit, {r('upper_bound', 'lower_bound', 'relative_mad')}, noisy, zero_median FROM baselines")

@@ -1 +1 @@
-"""Structured Streaming forms."""
+"""Structured Streaming forms of the batch operators."""
