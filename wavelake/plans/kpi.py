@@ -197,3 +197,9 @@ UNION ALL SELECT event_id, 'rate' FROM q WHERE NOT (tx_rate_mbps > 0 AND tx_rate
 def link_plausibility_check(spark, sf):
     l = link(spark, sf).withColumn("quality", F.when(F.col("event_id") % 9 == 0, "good").otherwise(f.link_quality(F.col("snr_db"))))
     return op.link_plausibility_check(l).select("event_id", "rule")
+
+
+@query("parse_scope", f"{KPI} SELECT id, split_part({KEY}, '|', 1) AS network, split_part({KEY}, '|', 2) AS band, split_part({KEY}, '|', 3) AS endpoint_name, split_part({KEY}, '|', 4) AS probe FROM kpi")
+def parse_scope(spark, sf):
+    k = table(spark, sf, "kpi").select("id", f.scope_key().alias("key"))
+    return k.select("id", *(f.scope_part(F.col("key"), i).alias(n) for i, n in enumerate(f.SCOPE)))
