@@ -105,8 +105,9 @@ def regression_report(found: DataFrame) -> DataFrame:
     return found.where("verdict <> 'ok'").withColumn("regressions", bad).orderBy("scope_key", "id")
 
 
-def kpi_rollup(kpi: DataFrame) -> DataFrame:
-    return usable(kpi).groupBy("endpoint_name", "probe").agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("avg_value"), F.round(F.min("value"), 2).alias("min_value"), F.round(F.max("value"), 2).alias("max_value"), F.min("unit").alias("unit"))
+def kpi_rollup(kpi: DataFrame, digits: int = 2) -> DataFrame:
+    """Number, average, least and greatest value of each endpoint and probe."""
+    return usable(kpi).groupBy("endpoint_name", "probe").agg(F.count("*").alias("n"), F.round(F.avg("value"), digits).alias("avg_value"), F.round(F.min("value"), digits).alias("min_value"), F.round(F.max("value"), digits).alias("max_value"), F.min("unit").alias("unit"))
 
 
 def query_kpis(kpi: DataFrame, limit: int = 50, **scope: str) -> DataFrame:

@@ -23,12 +23,12 @@ ratios AS (SELECT *, (z > 0 AND up) OR (z < 0 AND down) AS got_worse, CASE WHEN
 found AS (SELECT *, CASE WHEN n IS NULL THEN 'no_baseline' WHEN n < 8 THEN 'insufficient_data' WHEN relative < 0.25 THEN 'ok' WHEN NOT got_worse AND (abs(z) > 3.5 OR inverse >= 2.5) THEN 'improved' WHEN got_worse AND (abs(z) >= 7 OR ratio >= 4) THEN 'critical' WHEN got_worse AND (abs(z) >= 3.5 OR ratio >= 2.5) THEN 'warning' ELSE 'ok' END AS verdict FROM ratios)"""
 
 
-def rounded(df, *columns):
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def rounded(df, *columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def r(*columns):
-    return ", ".join(f"round({c}, 6) AS {c}" for c in columns)
+def r(*columns, digits=6):
+    return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns)
 
 
 @query("kpi_scope_filter", f"{KPI} SELECT id, run_id, value FROM kpi WHERE ok AND value IS NOT NULL AND band = '5GHz' AND probe = 'dns'")
@@ -104,9 +104,9 @@ def modified_z(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(f.modified_z(F.col("value"), (c % 90).cast("double"), (c % 4).cast("double")), 8).alias("z"))
 
 
-@query("baselines", f"{BASELINES} SELECT scope_key, n, {r('median', 'mad', 'p95', 'p99')}, min_value, max_value, unit, {r('upper_bound', 'lower_bound', 'relative_mad')}, noisy, zero_median FROM baselines")
+@query("baselines", f"{BASELINES} SELECT scope_key, n, {r('median', 'mad', 'p95', 'p99')}, min_value, max_value, unit, {r('upper_bound', 'lower_bound', 'relative_mad', digits=8)}, noisy, zero_median FROM baselines")
 def baselines(spark, sf):
-    return rounded(op.baselines(table(spark, sf, "kpi")), "median", "mad", "p95", "p99", "upper_bound", "lower_bound", "relative_mad")
+    return rounded(rounded(op.baselines(table(spark, sf, "kpi")), "median", "mad", "p95", "p99"), "upper_bound", "lower_bound", "relative_mad", digits=8)
 
 
 @query("kpi_vs_baseline", f"{REGRESSIONS} SELECT id, scope_key, value, n, {r('median', 'mad')} FROM joined")
@@ -127,9 +127,9 @@ def regression_report(spark, sf):
     return op.regression_report(op.detect_regressions(k, op.baselines(k))).select("id", "scope_key", "verdict", "regressions")
 
 
-@query("kpi_rollup", f"{KPI} SELECT endpoint_name, probe, count(*) AS n, round(avg(value), 2) AS avg_value, round(min(value), 2) AS min_value, round(max(value), 2) AS max_value, min(unit) AS unit FROM kpi WHERE ok AND value IS NOT NULL GROUP BY ALL")
+@query("kpi_rollup", f"{KPI} SELECT endpoint_name, probe, count(*) AS n, round(avg(value), 8) AS avg_value, round(min(value), 8) AS min_value, round(max(value), 8) AS max_value, min(unit) AS unit FROM kpi WHERE ok AND value IS NOT NULL GROUP BY ALL")
 def kpi_rollup(spark, sf):
-    return op.kpi_rollup(table(spark, sf, "kpi"))
+    return op.kpi_rollup(table(spark, sf, "kpi"), digits=8)
 
 
 @query("query_kpis", f"{KPI} SELECT network, band, endpoint_name, probe, round(avg(value), 6) AS avg_value, count(*) AS n FROM kpi WHERE ok AND value IS NOT NULL AND network = 'net1' GROUP BY network, band, endpoint_name, probe ORDER BY network, band, endpoint_name, probe LIMIT 50")

@@ -59,7 +59,7 @@ def last(spark, at):
 
 @query("stream_template_counts")
 def stream_template_counts(spark, sf):
-    l, at = lines(spark, sf).select("tag", "line_no", "message"), place(spark, "counts")
+    l, at = lines(spark, sf).select("line_no", "tag", "message"), place(spark, "counts")
     st.run(stream(spark, l), place(spark, "checkpoint"), each=st.upsert_batches(at, st.count_templates(lg.drain_templates(l))))
     return last(spark, at)
 
