@@ -104,8 +104,8 @@ class Vocabulary:
         self.ends = np.concatenate([[0], np.cumsum([len(x) for x in by_id])]).astype(np.int64)
         self.memory = Memory()
 
-    def encode_some(self, words: list[bytes], keys: list[int]) -> list[list[int]]:
-        at = self.hash(np.array(keys, U64)).tolist()
+    def encode_some(self, words: list[bytes], keys: np.ndarray) -> list[list[int]]:
+        at = self.hash(keys).tolist()
         entry, ids, ranks = self.entry, self.ids.tolist(), self.ranks
         return [[ids[i]] if i >= 0 and entry[i] == w else merged(w, ranks) for w, i in zip(words, at, strict=True)]
 
@@ -172,3 +172,20 @@ def decode(coded: DataFrame, vocabulary: str) -> DataFrame:
 
     kind = dict(coded.dtypes)["doc_id"]
     return coded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """What decode(encode(docs)) gives, in one pass of one Python worker a task."""
+    raw = _given(docs, vocabulary)
+
+    def run(batches):
+        v = built(vocabulary, raw)
+        for b in text_batches(batches):
+            ids, counts = v.encode(b.column(1))
+            out, sizes = v.decode(ids)
+            ends = np.cumsum(counts)
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), binary(ids.astype("<u4").view(np.uint8), 4 * ends), binary(out, upto[ends])], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return id_and_text(docs).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")

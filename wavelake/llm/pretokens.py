@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .blocks import Block, Spans
+from .blocks import Block, Spans, ranges
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Characters with the property White_Space.
@@ -93,53 +93,65 @@ def pretokens(texts: pa.Array) -> Spans:
 
 
 class Memory:
-    """Values of integer lists by 64-bit key, kept as one array; it forgets all when it holds more than most keys."""
+    """Lists of integers by 64-bit key: sorted arrays, so a key costs few bytes beside its list. It forgets all when it would hold more than most keys."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 800_000):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.values = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.ends = np.zeros(1 << 14, np.int64)
-
-    def add(self, keys: list[int], lists: list) -> None:
-        n, total = len(self.slots), sum(map(len, lists))
-        while self.used + total > len(self.values):
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.values, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def room(self, n: int) -> None:
+        """Forgets all unless n more keys fit."""
+        if len(self.keys) + n > self.most:
+            self.forget()
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.slots[at], -1).astype(np.int64)
+
+    def add(self, keys: np.ndarray, lists: list) -> np.ndarray:
+        """The slots of new keys."""
+        n = len(self.keys)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        used, total = self.ends[n], int(sizes.sum())
+        while used + total > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
         while n + len(keys) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        if total:
-            self.values[self.used : self.used + total] = np.fromiter((x for v in lists for x in v), np.uint32, total)
-        self.ends[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-        self.used += total
-        self.slots.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.values[used : used + total] = np.fromiter((x for v in lists for x in v), np.uint32, total)
+        self.ends[n + 1 : n + 1 + len(keys)] = used + np.cumsum(sizes)
+        slots = np.arange(n, n + len(keys), dtype=np.int32)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
+        return slots
 
 
 def encoded(spans: Spans, memory: Memory, encode) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all pre-tokens in order, number of ids of each text). encode(list of bytes, their 64-bit keys) gives the ids of each, and is asked once for each pre-token that memory lacks."""
     import pandas as pd
 
-    from .blocks import ranges
-
     if not len(spans):
         return np.zeros(0, np.uint32), np.zeros(spans.block.n, np.int64)
     codes, keys = pd.factorize(spans.hashes())
-    if len(memory.slots) + len(keys) > memory.most:
-        memory.forget()
-    keys = keys.tolist()
-    get = memory.slots.get
-    missing = [i for i, k in enumerate(keys) if get(k) is None]
-    if missing:
-        where = np.full(len(keys), -1, np.int64)
+    slots = memory.find(keys)
+    if len(memory.keys) + int((slots < 0).sum()) > memory.most:
+        memory.room(len(keys))
+        slots = memory.find(keys)
+    missing = np.flatnonzero(slots < 0)
+    if len(missing):
+        where = np.empty(len(keys), np.int64)
         where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        raw, s, e = spans.block.data.tobytes(), spans.starts, spans.ends
-        own = where[missing]
-        lacking = [keys[i] for i in missing]
-        memory.add(lacking, encode([raw[a:b] for a, b in zip(s[own].tolist(), e[own].tolist(), strict=True)], lacking))
-    slots = np.fromiter(map(memory.slots.__getitem__, keys), np.int64, len(keys))[codes]
+        raw, own = spans.block.data.tobytes(), where[missing]
+        words = [raw[a:b] for a, b in zip(spans.starts[own].tolist(), spans.ends[own].tolist(), strict=True)]
+        slots[missing] = memory.add(keys[missing], encode(words, keys[missing]))
+    slots = slots[codes]
     begin = memory.ends[slots]
     counts = memory.ends[slots + 1] - begin
     ids = memory.values[ranges(begin, counts)]

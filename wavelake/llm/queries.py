@@ -26,7 +26,7 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = bpe.decode(bpe.encode(documents(spark, sf_dir), vocabulary), vocabulary)
+    both = bpe.round_trip(documents(spark, sf_dir), vocabulary)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

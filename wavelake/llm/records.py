@@ -165,7 +165,7 @@ class Encoder:
         self.memory = Memory()
         self.size = self.tokenizer.get_vocab_size()
 
-    def some(self, words: list[bytes], keys: list[int]) -> list[list[int]]:
+    def some(self, words: list[bytes], keys: np.ndarray) -> list[list[int]]:
         tokenize, signs = self.tokenizer.model.tokenize, self.signs
         return [[t.id for t in tokenize(w.decode("latin-1").translate(signs))] for w in words]
 
