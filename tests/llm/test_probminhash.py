@@ -91,3 +91,15 @@ def test_classes_against_all_pairs(spark):
 
 def test_empty(spark):
     assert p.near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_with_repeated_lines(spark):
+    rnd, texts = random.Random(9), []
+    for g in range(12):
+        base = [f"b{g}w{i}" for i in range(100)]
+        line = [f"b{g}l{i}" for i in range(10)]
+        texts += [" ".join(base + line * n) for n in (2, 50, 20)] + [edited(rnd, base + line * 30, 3)]
+    rows = list(enumerate(texts))
+    assert all(jaccards(texts[i], texts[i + 1])[0] < 0.4 and jaccards(texts[i], texts[i + 1])[1] == 1 for i in range(0, len(texts), 4))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in p.near_classes(df).collect()} == brute(rows)

@@ -5,7 +5,9 @@ the text has them. For each shingle a Poisson process of the rate of its weight
 arrivals to random components; a component keeps the shingle of its earliest arrival, and a
 process ends when it is past the latest of them (Ertl's ProbMinHash1). The share of equal
 components estimates the probability Jaccard similarity; 24 bands of 4 components make
-candidates, at 0.8 all but 4 of a million pairs.
+candidates, at 0.8 all but 4 of a million pairs. A text that repeats a shingle has the bands of
+the same signature with all weights 1 as well (that of other texts is their own), so that
+pairs of 0.8 plain Jaccard are candidates as surely, however often their shingles repeat.
 
 Equal texts are one member. In a bucket of at most SMALL members all pairs are candidates; in
 a larger one every member is held against the least (n - 1 pairs). Members of larger buckets
@@ -72,18 +74,29 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_key (SHA-256 of the text), bands (a hash of each band; none for texts without words)."""
+    """doc_id, text_key (SHA-256 of the text), bands (a hash of each band; then, for texts that repeat a shingle, those with all weights 1; none for texts without words)."""
+
+    def hashed(doc: np.ndarray, s: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        z = signatures(doc, s, times, n, bands * rows)
+        h = np.zeros((n, bands), U64)
+        for i in range(rows):
+            h = mix(h * U64(31) + z[:, i::rows] + U64(i + 1))
+        return mix(h + np.arange(bands).astype(U64)[None, :]).view(np.int64)
 
     def run(batches):
         for b in text_batches(batches):
             doc, s, times = shingles(b.column(1))
-            z = signatures(doc, s, times, b.num_rows, bands * rows)
-            h = np.zeros((b.num_rows, bands), U64)
-            for i in range(rows):
-                h = mix(h * U64(31) + z[:, i::rows] + U64(i + 1))
-            h = mix(h + np.arange(bands).astype(U64)[None, :]).view(np.int64)
-            has = np.bincount(doc, minlength=b.num_rows) > 0
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)), pa.array(h[has].ravel()))
+            has = np.unique(doc)
+            often = np.unique(doc[times > 1])
+            own = np.isin(doc, often)
+            ends = np.zeros(b.num_rows + 1, np.int64)
+            ends[has + 1] = bands
+            ends[often + 1] = 2 * bands
+            ends = np.cumsum(ends)
+            flat = np.zeros(ends[-1], np.int64)
+            flat[ends[has][:, None] + np.arange(bands)] = hashed(doc, s, times, b.num_rows)[has]
+            flat[ends[often][:, None] + bands + np.arange(bands)] = hashed(np.searchsorted(often, doc[own]), s[own], np.ones(int(own.sum())), len(often))
+            flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], ["doc_id", "text_key", "bands"])
 
     rows_in = docs.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("text_key"))
@@ -158,7 +171,10 @@ def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows
     drawn = written(sketch(docs, bands, rows), "sketch")
     known = drawn.where("doc_id is not null")
     members = written(known.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "members")
-    buckets = written(members.select("id", F.posexplode("bands").alias("band", "bucket")), "buckets")
+    drawn_bands = members.select("id", "bands", F.posexplode("bands").alias("band", "bucket"))
+    # a bucket has a member once: a band with all weights 1 may be the weighted one
+    fresh = (F.col("band") < bands) | (F.col("bucket") != F.element_at("bands", F.greatest(F.col("band") - bands + 1, F.lit(1))))
+    buckets = written(drawn_bands.where(fresh).select("id", "band", "bucket"), "buckets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min_by("id", F.xxhash64("id", "bucket")).alias("other")).where("n > 1")
     sizes = written(sizes, "sizes")
     stars = buckets.join(sizes.where(F.col("n") > small), "bucket").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
@@ -175,7 +191,9 @@ def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows
     large = written(large.join(split, "bucket"), "large")
     named = large.select(F.col("id").alias("other"), F.col("bucket"), F.col("label").alias("its"))
     again = large.join(named, ["bucket", "other"]).where("label <> its").select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v"))
-    next_bands = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda i: F.xxhash64("bucket", F.element_at("bands", ((F.col("band") + i) % bands).cast("int") + 1)))
+    steps = F.array(*map(F.lit, (1, 2, 3)))
+    after = lambda first: F.transform(steps, lambda i: F.xxhash64("bucket", F.element_at("bands", ((F.col("band") + i) % bands).cast("int") + 1 + first)))
+    next_bands = F.when(F.size("bands") > bands, F.array_union(after(0), after(bands))).otherwise(after(0))
     finer = large.join(members, "id").select("id", "label", F.explode(next_bands).alias("bucket"))
     fine = finer.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("id").alias("least"), F.min_by("label", "id").alias("its")).where("a <> b")
     within = _pairs_within(finer, fine, small)
