@@ -63,6 +63,34 @@ def test_op10_on_the_small_table(spark, library):
         assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
 
 
+def twins(bits: int) -> tuple[str, str]:
+    """The Thue-Morse word of 2 ** bits letters and its letter-swapped twin: polynomial hashes modulo powers of two can't tell them apart."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1 << bits))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_whose_sums_cancel_out_keep_their_own_ids(spark, library):
+    texts = [x for bits in (10, 11, 12) for x in twins(bits)] + ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", "plain", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in bpe.round_trip(rows, RANKS).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(texts[r.doc_id])
+        assert bytes(r.decoded).decode() == texts[r.doc_id]
+    out, t = scratch(spark, "t"), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    records.write_records(rows, out, P.path("byte_bpe_50k.json"), 2)
+    got = {r.doc_id: r for r in records.shuffled(spark, out, 5).collect()}
+    assert {i: list(r.ids) for i, r in got.items()} == {i: t.encode(x, add_special_tokens=False).ids + [2] for i, x in enumerate(texts)}
+
+
+def test_the_index_reads_in_any_order(spark, docs):
+    out = scratch(spark, "t")
+    index = records.write_records(docs, out, P.path("byte_bpe_50k.json"), 2)
+    orders = [[(r.path, r.record) for r in records.shuffled(spark, out, seed).collect()] for seed in (1, 2)]
+    assert sorted(orders[0]) == sorted(orders[1]) == sorted((r.path, r.record) for r in index.collect()) and orders[0] != orders[1]
+    one = index.where("doc_id is not null").orderBy("doc_id").limit(1)
+    assert len(records.fetch(one).first().ids) == one.first().n_tokens
+    assert records.fetch(index.limit(0)).count() == 0
+
+
 def plain_crc32c(data: bytes) -> int:
     c = 0xFFFFFFFF
     for b in data:

@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C55)
-INV = U64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+TAIL = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], U64)
 
 #: Words of the contracts: runs of anything but blank, tab and the four line characters.
 SPACE_WORDS = np.ones(256, bool)
@@ -34,17 +36,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-_tables: dict[bool, np.ndarray] = {}
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    return mix(mix(a + U64(0x9E3779B97F4A7C15)) ^ b)
 
 
-def power_table(n: int, inverse: bool = False) -> np.ndarray:
-    """BASE ** i (or its inverse) modulo 2 ** 64, for i < n at least; one table of each kind is kept, as long as the largest block needs."""
-    have = _tables.get(inverse)
-    if have is None or len(have) < n:
-        have = np.full(1 << max(16, n.bit_length()), INV if inverse else BASE, U64)
-        have[0] = 1
-        _tables[inverse] = np.multiply.accumulate(have, out=have)
-    return _tables[inverse]
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes: eight bytes at a time go through mix(), so no sum of bytes or powers cancels out. The same bytes have the same hash in every block."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, U64, padded, strides=(1,))  # the eight bytes from each place
+    h = mix(size.astype(U64) * U64(0x9E3779B97F4A7C15))
+    own, nth = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(own):
+        part = eight[starts[own] + nth] & TAIL[np.minimum(size[own] - nth, 8)]
+        h[own] = both(h[own], part)
+        nth += 8
+        own = own[size[own] > nth]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, other: np.ndarray, other_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size[i] bytes from starts[i] in data are those from other_starts[i] in other."""
+    out = np.ones(len(starts), bool)
+    some = np.flatnonzero(size > 0)
+    if len(some):
+        n = size[some]
+        differ = data[ranges(starts[some], n)] != other[ranges(other_starts[some], n)]
+        out[some] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+    return out
 
 
 def text_batches(batches, most_bytes: int = 2_000_000):
@@ -105,20 +127,8 @@ class Block:
         last[:-1] &= ~inside[1:] | first[1:]
         return Spans(self, starts, np.flatnonzero(last) + 1)
 
-    def prefix(self, lower: bool = False) -> np.ndarray:
-        """Prefix sums of (byte + 1) * BASE ** i, one longer than the data."""
-        data = LOWER[self.data] if lower else self.data
-        out = np.zeros(len(data) + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * power_table(len(data))[: len(data)], out=out[1:])
-        return out
-
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each span's bytes; the same bytes have the same hash in every block."""
-        if not len(starts):
-            return np.zeros(0, U64)
-        s = self.prefix(lower)
-        h = (s[ends] - s[starts]) * power_table(len(self.data) + 1, True)[starts]
-        return mix(h + (ends - starts).astype(U64))
+        return span_hashes(LOWER[self.data] if lower else self.data, starts, ends)
 
 
 class Spans:
@@ -146,10 +156,26 @@ class Spans:
 
 
 def window_hashes(hashes: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k hashes from each position in at."""
+    """Hash of the k hashes from each position in at: those of 1, 2, 4, ... hashes from every place, put together in order."""
     if not len(at):
         return np.zeros(0, U64)
-    n = len(hashes)
-    s = np.zeros(n + 1, U64)
-    np.cumsum(hashes * power_table(n)[:n], out=s[1:])
-    return mix((s[at + k] - s[at]) * power_table(n + 1, True)[at] + U64(k))
+    out, used, step, h = np.zeros(len(at), U64), 0, 1, hashes
+    while True:
+        if k & step:
+            out, used = both(out, h[at + used]), used + step
+        if used == k:
+            return out
+        h, step = both(h[:-step], h[step:]), 2 * step
+
+
+def dictionary(spans: Spans, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each span's distinct bytes, bytes of the distinct ones end to end, offsets of these). Bytes are compared, not hashes."""
+    size = spans.ends - spans.starts
+    off = np.concatenate([[0], np.cumsum(size)])
+    data = LOWER[spans.block.data] if lower else spans.block.data
+    if off[-1] != len(data):
+        data = data[ranges(spans.starts, size)]
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(spans), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = column.dictionary_encode()
+    words = Block(coded.dictionary)
+    return coded.indices.to_numpy(), words.data, words.off

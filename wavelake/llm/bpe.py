@@ -2,8 +2,9 @@
 
 Two tiers. A minimal perfect hash over the vocabulary (levels of bit arrays, each keeping
 the keys that have a position of their own; a key's number is the rank of its bit) finds
-pre-tokens that are entries themselves. What it misses is merged by a heap of candidate
-pairs over the linked bytes of the pre-token, lowest rank first, leftmost among equals.
+pre-tokens that are entries themselves; their bytes are compared. What it misses is merged by
+a heap of candidate pairs over the linked bytes of the pre-token, lowest rank first, leftmost
+among equals; a worker remembers the results by the pre-token's bytes.
 
 Nulls and empty texts have no ids. Repeated rows are encoded each. Only doc_id and text are
 read, so further columns of any name don't matter. An empty table gives an empty one.
@@ -18,9 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import U64, mix, ranges, text_batches
+from .blocks import U64, Block, mix, ranges, same_bytes, span_hashes, text_batches
 from .common import id_and_text, small_batches
-from .pretokens import Memory, encoded, pretokens
+from .pretokens import Memory, encoded, pieces, pretokens
 
 _built: dict = {}
 
@@ -84,18 +85,11 @@ class Vocabulary:
 
     def __init__(self, raw: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
-        tokens = list(self.ranks)
-        spans = pa.array(tokens, pa.binary())
-        from .blocks import Block
-
-        block = Block(spans)
-        keys = block.hashes(block.off[:-1], block.off[1:])
+        block = Block(pa.array(list(self.ranks), pa.binary()))
+        keys, ids = span_hashes(block.data, block.off[:-1], block.off[1:]), np.array(list(self.ranks.values()), np.int64)
         self.hash = PerfectHash(keys)
-        at = self.hash(keys)
-        self.entry: list = [b""] * len(tokens)
-        for i, token in zip(at.tolist(), tokens, strict=True):
-            self.entry[i] = token
-        self.ids = np.array([self.ranks[x] for x in self.entry], np.int64)
+        self.ids = np.empty(len(ids), np.int64)
+        self.ids[self.hash(keys)] = ids
         # for decoding: all tokens by id, end to end
         by_id = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, i in self.ranks.items():
@@ -104,14 +98,28 @@ class Vocabulary:
         self.ends = np.concatenate([[0], np.cumsum([len(x) for x in by_id])]).astype(np.int64)
         self.memory = Memory()
 
-    def encode_some(self, words: list[bytes], keys: np.ndarray) -> list[list[int]]:
-        at = self.hash(keys).tolist()
-        entry, ids, ranks = self.entry, self.ids.tolist(), self.ranks
-        return [[ids[i]] if i >= 0 and entry[i] == w else merged(w, ranks) for w, i in zip(words, at, strict=True)]
+    def distinct(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids) of pre-tokens that lie end to end."""
+        size, n = np.diff(off), len(off) - 1
+        at = self.hash(span_hashes(data, off[:-1], off[1:]))
+        entry = np.where(at >= 0, self.ids[at] if len(self.ids) else -1, -1)
+        own = np.flatnonzero(entry >= 0)
+        own = own[self.ends[entry[own] + 1] - self.ends[entry[own]] == size[own]]
+        own = own[same_bytes(data, off[own], self.bytes, self.ends[entry[own]], size[own])]
+        whole = np.zeros(n, bool)
+        whole[own] = True
+        rest = np.flatnonzero(~whole)
+        counts = np.ones(n, np.int64)
+        some, counts[rest] = self.memory.lists(pieces(data, off, rest), lambda words: [merged(w, self.ranks) for w in words])
+        begin = np.cumsum(counts) - counts
+        ids = np.empty(int(counts.sum()), np.uint32)
+        ids[begin[own]] = entry[own]
+        ids[ranges(begin[rest], counts[rest])] = some
+        return ids, counts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        return encoded(pretokens(texts), self.memory, self.encode_some)
+        return encoded(pretokens(texts), self.distinct)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all ids, number of bytes of each id)."""

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .blocks import Block, Spans, ranges
+from .blocks import Block, Spans, dictionary, ranges
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Characters with the property White_Space.
@@ -93,31 +93,23 @@ def pretokens(texts: pa.Array) -> Spans:
 
 
 class Memory:
-    """Lists of integers by 64-bit key: sorted arrays, so a key costs few bytes beside its list. It forgets all when it would hold more than most keys."""
+    """Lists of integers by bytes. It forgets all when it would hold more than most keys."""
 
-    def __init__(self, most: int = 800_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.slots: dict[bytes, int] = {}
         self.values, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
-    def room(self, n: int) -> None:
-        """Forgets all unless n more keys fit."""
-        if len(self.keys) + n > self.most:
-            self.forget()
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: list[bytes]) -> np.ndarray:
         """The slot of each key, or -1."""
-        if not len(self.keys):
-            return np.full(len(keys), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.slots[at], -1).astype(np.int64)
-
-    def add(self, keys: np.ndarray, lists: list) -> np.ndarray:
-        """The slots of new keys."""
-        n = len(self.keys)
+        get = self.slots.get
+        return np.fromiter((get(x, -1) for x in keys), np.int64, len(keys))
+
+    def add(self, keys: list[bytes], lists: list) -> None:
+        n = len(self.slots)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         used, total = self.ends[n], int(sizes.sum())
         while used + total > len(self.values):
@@ -126,34 +118,46 @@ class Memory:
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.values[used : used + total] = np.fromiter((x for v in lists for x in v), np.uint32, total)
         self.ends[n + 1 : n + 1 + len(keys)] = used + np.cumsum(sizes)
-        slots = np.arange(n, n + len(keys), dtype=np.int32)
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
-        return slots
+        self.slots.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def lists(self, keys: list[bytes], make) -> tuple[np.ndarray, np.ndarray]:
+        """(values of the lists of distinct keys, end to end; the size of each list). make(keys) gives the lists that the memory lacks."""
+        slots = self.find(keys)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            if len(self.slots) + len(missing) > self.most:
+                self.forget()
+                missing = np.arange(len(keys))
+            new = [keys[i] for i in missing.tolist()]
+            self.add(new, make(new))
+            slots = self.find(keys)
+        begin = self.ends[slots]
+        counts = self.ends[slots + 1] - begin
+        return self.values[ranges(begin, counts)], counts
+
 
+def spread(codes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all spans, number of ids of each), from those of each distinct span."""
+    begin = np.cumsum(counts) - counts
+    return ids[ranges(begin[codes], counts[codes])], counts[codes]
 
-def encoded(spans: Spans, memory: Memory, encode) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all pre-tokens in order, number of ids of each text). encode(list of bytes, their 64-bit keys) gives the ids of each, and is asked once for each pre-token that memory lacks."""
-    import pandas as pd
 
+def per_text(spans: Spans, counts: np.ndarray) -> np.ndarray:
+    """Sums over the spans of each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(counts)])[spans.first])
+
+
+def encoded(spans: Spans, encode) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pre-tokens in order, number of ids of each text). encode(bytes end to end, offsets) gives (ids, number of ids) of the batch's distinct pre-tokens."""
     if not len(spans):
         return np.zeros(0, np.uint32), np.zeros(spans.block.n, np.int64)
-    codes, keys = pd.factorize(spans.hashes())
-    slots = memory.find(keys)
-    if len(memory.keys) + int((slots < 0).sum()) > memory.most:
-        memory.room(len(keys))
-        slots = memory.find(keys)
-    missing = np.flatnonzero(slots < 0)
-    if len(missing):
-        where = np.empty(len(keys), np.int64)
-        where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        raw, own = spans.block.data.tobytes(), where[missing]
-        words = [raw[a:b] for a, b in zip(spans.starts[own].tolist(), spans.ends[own].tolist(), strict=True)]
-        slots[missing] = memory.add(keys[missing], encode(words, keys[missing]))
-    slots = slots[codes]
-    begin = memory.ends[slots]
-    counts = memory.ends[slots + 1] - begin
-    ids = memory.values[ranges(begin, counts)]
-    upto = np.concatenate([[0], np.cumsum(counts)])
-    return ids, np.diff(upto[spans.first])
+    codes, data, off = dictionary(spans)
+    ids, counts = spread(codes, *encode(data, off))
+    return ids, per_text(spans, counts)
+
+
+def pieces(data: np.ndarray, off: np.ndarray, which=None) -> list[bytes]:
+    """The bytes of each span, or of those that which numbers."""
+    raw = data.tobytes()
+    a, z = (off[:-1], off[1:]) if which is None else (off[which], off[which + 1])
+    return [raw[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)]

@@ -5,7 +5,7 @@ A file is a run of frames: length of the payload (u64), masked CRC-32C of those
 (i64), bytes per id (u8: 2 or 4), then the ids. The masking is the usual one of such files:
 rotate right by 15, add 0xA282EAD8. The index is a Parquet table with a row for each record
 (path, record, doc_id, offset, n_bytes, n_tokens), so that a reader can fetch records in any
-order.
+order: read_records() goes through whole files, fetch() and shuffled() by the index.
 
 Files are in ascending order of doc_id, and the records within each too: texts are dealt out
 by ranges of doc_id and sorted there. A task writes a file under a name of its own; the index
@@ -13,7 +13,8 @@ is committed by Spark and names the files that count, so lost executors and repe
 leave no double records.
 
 A null doc_id is stored as the least integer and comes first; a null or empty text has the
-end id alone. Rows with one doc_id are all kept, in order of their text. Other columns are
+end id alone. Ids are those of the tokenizers library for the whole text, its added tokens
+included. Rows with one doc_id are all kept, in order of their text. Other columns are
 not read. An empty table gives no file and an empty index.
 """
 
@@ -24,16 +25,19 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import text_batches
 from .common import id_and_text, small_batches
-from .pretokens import Memory, encoded, pretokens
+from .pretokens import Memory, encoded, pieces, pretokens
 
 NO_ID = -(1 << 63)
 CHUNK = 256
+#: Records that a reader by the index gives at a time, and files that it keeps open.
+FETCHED, OPEN = 64, 32
 INDEX = "path string, record long, doc_id long, offset long, n_bytes long, n_tokens long"
 _built: dict = {}
 
@@ -141,19 +145,19 @@ def records(stream, block: int = 4_000_000):
             return
 
 
-def opened(path: str, write: bool = False):
-    """A stream on a path of any store that Arrow reaches: executors share these files."""
+def opened(path: str, write: bool = False, seek: bool = False):
+    """A stream on a path of any store that Arrow reaches: executors share these files. seek: one that can be read at any place."""
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
     if write:
         store.create_dir(inner.rsplit("/", 1)[0])
         return store.open_output_stream(inner)
-    return store.open_input_stream(inner)
+    return store.open_input_file(inner) if seek else store.open_input_stream(inner)
 
 
 class Encoder:
-    """The tokenizers library on pre-tokens: its model is asked once for each distinct one, which gives the ids of whole texts, since it never merges over their bounds."""
+    """The tokenizers library. Its model is asked once for each distinct pre-token, which gives the ids of whole texts, since it never merges over their bounds; a text with one of the added tokens, which the library cuts out before that, goes to the library whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -164,13 +168,25 @@ class Encoder:
         self.signs = {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(others)}
         self.memory = Memory()
         self.size = self.tokenizer.get_vocab_size()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def some(self, words: list[bytes], keys: np.ndarray) -> list[list[int]]:
+    def some(self, words: list[bytes]) -> list[list[int]]:
         tokenize, signs = self.tokenizer.model.tokenize, self.signs
         return [[t.id for t in tokenize(w.decode("latin-1").translate(signs))] for w in words]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return encoded(pretokens(texts), self.memory, self.some)
+        has = np.zeros(len(texts), bool)
+        for token in self.added:
+            has |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(False)
+        plain = pc.if_else(pa.array(has), pa.scalar("", texts.type), texts) if has.any() else texts
+        ids, counts = encoded(pretokens(plain), lambda data, off: self.memory.lists(pieces(data, off), self.some))
+        whole = [self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids for i in np.flatnonzero(has).tolist()]
+        if whole:  # the other texts' ids, with these in their places
+            size = np.fromiter(map(len, whole), np.int64, len(whole))
+            at = np.repeat((np.cumsum(counts) - counts)[has], size)
+            ids, counts = np.insert(ids, at, np.concatenate([np.array(x, np.uint32) for x in whole])), counts.copy()
+            counts[has] = size
+        return ids, counts
 
 
 def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int) -> DataFrame:
@@ -233,3 +249,39 @@ def read_records(spark: SparkSession, out: str, digest) -> DataFrame:
 
     spread = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return files.repartition(spread, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, digest long")
+
+
+def fetch(wanted: DataFrame) -> DataFrame:
+    """wanted (rows of an index, in any order and of any files) with ids: each record is read at its offset alone, and its checksums are tested. Rows keep their partitions and order."""
+    small_batches(wanted.sparkSession)
+
+    def run(batches):
+        import io
+
+        for b in batches:
+            at = {c: b.schema.get_field_index(c) for c in ("path", "offset", "n_bytes")}
+            path, offset, size = (b.column(at[c]).to_pylist() for c in ("path", "offset", "n_bytes"))
+            files: dict = {}
+            try:
+                for start in range(0, b.num_rows, FETCHED):
+                    ids = []
+                    for p, o, n in zip(path[start : start + FETCHED], offset[start : start + FETCHED], size[start : start + FETCHED], strict=True):
+                        if p not in files:
+                            while len(files) >= OPEN:
+                                files.pop(next(iter(files))).close()
+                            files[p] = opened(p, seek=True)
+                        ids += [x for _, x in records(io.BytesIO(files[p].read_at(n, o)))]
+                    ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+                    flat = np.concatenate(ids).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*b.slice(start, FETCHED).columns, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))], [*b.schema.names, "ids"])
+            finally:
+                for f in files.values():
+                    f.close()
+
+    return wanted.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wanted.schema) + ", ids array<int>")
+
+
+def shuffled(spark: SparkSession, out: str, seed: int) -> DataFrame:
+    """All records under out in a pseudo-random order: only rows of the index are moved, and the records are read where they are."""
+    index = spark.read.schema(INDEX).parquet(f"{out}/index").withColumn("turn", F.xxhash64("path", "record", F.lit(seed)))
+    return fetch(index.repartitionByRange("turn").sortWithinPartitions("turn")).drop("turn")
