@@ -133,13 +133,14 @@ class Memory:
             slots = self.find(keys)
         begin = self.ends[slots]
         counts = self.ends[slots + 1] - begin
-        return self.values[ranges(begin, counts)], counts
+        return self.values.take(ranges(begin, counts), mode="clip"), counts
 
 
 def spread(codes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all spans, number of ids of each), from those of each distinct span."""
     begin = np.cumsum(counts) - counts
-    return ids[ranges(begin[codes], counts[codes])], counts[codes]
+    own = counts.take(codes, mode="clip")
+    return ids.take(ranges(begin.take(codes, mode="clip"), own), mode="clip"), own
 
 
 def per_text(spans: Spans, counts: np.ndarray) -> np.ndarray:
