@@ -71,5 +71,32 @@ def test_many_parts(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows, 50)
 
 
+def test_a_passage_that_all_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(s, "PART_PATTERNS", 2)
+    rnd = random.Random(3)
+    passage = [f"p{i}" for i in range(70)]
+    rows = [(i, " ".join([f"a{i}x{j}" for j in range(rnd.randint(0, 30))] + passage + [f"b{i}x{j}" for j in range(rnd.randint(0, 30))])) for i in range(300)]
+    got = queries.substring_digest(s.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), queries.sha256_of)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows, 50)
+
+
+def test_more_distinct_words_than_characters_exist():
+    automaton, words = s.Automaton(50), [f"w{i}" for i in range(1_250_000)]
+    for a in range(0, len(words), 50):
+        automaton.add(1, " ".join(words[a : a + 10]), " ".join(words[a + 10 : a + 40]), " ".join(words[a + 40 : a + 50]))
+    assert len(automaton.numbers) == 1_250_000
+    text = ["x", *words[-50:], "y", *words[1_200_000:1_200_049]]
+    assert automaton.removed(2, text).tolist() == [False] + [True] * 50 + [False] * 50 and not automaton.removed(1, text).any()
+
+
+def test_words_whose_sums_cancel_out(spark):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    twin = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([word] * 50 + ["x"])), (2, " ".join([twin] * 50 + ["y"])), (3, " ".join([twin] * 50 + ["z"]))]
+    got = queries.substring_digest(s.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), queries.sha256_of)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute(rows, 50)
+    assert [r.n_removed for r in sorted(got)] == [0, 0, 50]
+
+
 def test_empty(spark):
     assert s.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0

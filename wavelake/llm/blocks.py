@@ -95,6 +95,19 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - counts), counts)
 
 
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, code point) of each character of UTF-8 bytes."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    first = data[lead].astype(np.int32)
+    point, wide = first.copy(), np.flatnonzero(first >= 0xC0)
+    if len(wide):
+        at, f = lead[wide], first[wide]
+        b = [data[np.minimum(at + i, len(data) - 1)].astype(np.int32) & 0x3F for i in range(4)]
+        two, three = (f & 0x1F) << 6 | b[1], (f & 0x0F) << 12 | b[1] << 6 | b[2]
+        point[wide] = np.where(f < 0xE0, two, np.where(f < 0xF0, three, (f & 0x07) << 18 | b[1] << 12 | b[2] << 6 | b[3]))
+    return lead, point
+
+
 class Block:
     """texts: an Arrow string or binary column; nulls count as empty."""
 

@@ -1,45 +1,21 @@
-"""What the operators share: where scratch tables go, and how rows reach a task."""
+"""What the operators share: scratch tables (of the session), and how rows reach a task."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-
-#: Rows in an Arrow batch: texts can be long, so batches stay small.
-ARROW_ROWS = 2000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="wavelake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
+from ..session import scratch, ship, written  # noqa: F401
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it is computed once, and a lost executor costs nothing of it."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and bytes in an Arrow batch: texts can be long, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Before Python functions: the package reaches the executors, and an Arrow batch has fewer rows, so that one of long texts fits a Python worker."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Windows of 13 normalised words of each benchmark item (an item of fewer words is one window)
 are broadcast as a sorted hash set and scanned for in the words of every document; what the
-hashes hit is verified word by word. At most MOST_WINDOWS windows are broadcast at a time: a
-larger benchmark is dealt into blocks by hash, each block is held against all documents, and
-the blocks' hits are put together for each document.
+hashes hit is verified word by word. Beyond MOST_WINDOWS windows the set is a bitmap of BITS
+hashes, and what hits it is joined to the windows by the words; documents are scanned once in
+either case, and the results are the same.
 
 Words: A-Z lower-cased; runs of ASCII letters, digits and anything beyond ASCII. A null or
 empty text has no words and no hits; a null item has no windows, an item without item_id is
@@ -13,7 +13,6 @@ left out. Repeated rows are judged each. Only doc_id and text, item_id and text
 
 from __future__ import annotations
 
-import math
 import uuid
 
 import numpy as np
@@ -22,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ALNUM_WORDS, LOWER, Block, ranges, text_batches, window_hashes
-from .common import id_and_text, small_batches
+from .common import id_and_text, small_batches, written
 
 K = 13
 #: Windows in one broadcast: about 100 bytes each.
 MOST_WINDOWS = 500_000
+#: Bits of the hash set of a larger benchmark: 16 MB.
+BITS = 1 << 27
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _built: dict = {}
@@ -134,28 +135,71 @@ def scan(docs: DataFrame, rows) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_words long, hits array<struct<word:long,n:long>>, items array<string>")
 
 
+def candidates(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
+    """doc_id, n_words, found (first word, number of words, the words) of each window of a document whose hash has its bit in the broadcast bitmap."""
+    kinds = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64()), ("words", pa.string())]))
+
+    def run(batches):
+        bits = bitmap.value
+        for b in text_batches(batches):
+            block = Block(b.column(1))
+            spans = block.words(ALNUM_WORDS)
+            found: list[list] = [[] for _ in range(b.num_rows)]
+            if len(spans):
+                hashes, raw = spans.hashes(True), LOWER[block.data].tobytes()
+                for k in lengths:
+                    at, h = spans.windows(hashes, k)
+                    h = (h & np.uint64(BITS - 1)).astype(np.int64)
+                    at = at[bits[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1]
+                    for d, i in zip((np.searchsorted(spans.first, at, "right") - 1).tolist(), at.tolist(), strict=True):
+                        words = b" ".join(raw[x:y] for x, y in zip(spans.starts[i : i + k].tolist(), spans.ends[i : i + k].tolist(), strict=True))
+                        found[d].append({"word": i - int(spans.first[d]), "n": k, "words": words.decode()})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans.counts), pa.array(found, kinds)], ["doc_id", "n_words", "found"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, found array<struct<word:long,n:long,words:string>>")
+
+
+def window_bits(grams: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """(a bitmap of BITS hashes of windows, the numbers of words that windows have): of fixed size, whatever the benchmark's."""
+
+    def run(batches):
+        for b in text_batches(batches):
+            spans = Block(b.column(0)).words(ALNUM_WORDS)
+            hashes, h = spans.hashes(True), np.zeros(b.num_rows, np.uint64)
+            for k in np.unique(spans.counts).tolist():
+                own = np.flatnonzero(spans.counts == k)
+                h[own] = window_hashes(hashes, spans.first[own], k)
+            yield pa.RecordBatch.from_arrays([pa.array((h & np.uint64(BITS - 1)).astype(np.int64)), pa.array(spans.counts)], ["bit", "n"])
+
+    hashed = grams.select(F.col("words").alias("text")).mapInArrow(run, "bit long, n long")
+    lengths = sorted(r.n for r in hashed.select("n").distinct().collect())  # k at most
+    parts = hashed.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in parts:  # a built-in part p > 0 has the bits from (p - 1) * its size + 1; bit 0 is alone in part 0
+        own = np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))
+        at = own + (r["part"] - 1) * 8 * len(r["bits"]) + 1 if r["part"] else own
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits, lengths
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """doc_id, n_words, hits, n_hit, items (sorted as strings), contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs, grams = id_and_text(docs), windows(benchmark, k)
-    blocks = max(1, math.ceil(grams.count() / most_windows))
-    found = []
-    for i in range(blocks):
-        own = grams if blocks == 1 else grams.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == i)
-        rows = [(r.words, list(r["items"])) for r in own.collect()]  # a block, most_windows on average
-        found.append(scan(docs, spark.sparkContext.broadcast(rows)) if blocks == 1 else scan(docs.withColumn("doc_id", F.struct("doc_id", F.sha2("text", 256).alias("text"))), spark.sparkContext.broadcast(rows)).withColumn("block", F.lit(i)))
-    if blocks == 1:
-        out = found[0]
+    if (n := grams.count()) <= most_windows:
+        rows = [(r.words, list(r["items"])) for r in grams.collect()] if n else []  # most_windows at most
+        out = scan(docs, spark.sparkContext.broadcast(rows))
     else:
-        both = found[0]
-        for x in found[1:]:
-            both = both.unionByName(x)
-        word = F.explode(F.flatten(F.transform("hits", lambda h: F.sequence(h["word"], h["word"] + h["n"] - 1)))).alias("word")
-        rows = both.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.sum(F.expr("cast(block = 0 as long)")).alias("times"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        words = both.select("doc_id", word).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("word")).alias("words"))
-        out = rows.join(words, "doc_id", "left").withColumn("hits", F.transform(F.coalesce("words", F.array().cast("array<long>")), lambda x: F.struct(x.alias("word"), F.lit(1).cast("long").alias("n"))))
-        out = out.select("doc_id.doc_id", "n_words", "hits", "items", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("time")).drop("time")
+        grams = written(grams, "windows")
+        bits, lengths = window_bits(grams)
+        found = written(candidates(docs, spark.sparkContext.broadcast(bits), lengths).withColumn("row", F.monotonically_increasing_id()), "candidates")
+        # the words themselves are compared by the join
+        hits = found.select("row", F.inline("found")).join(grams, "words").select("row", "items", F.sequence("word", F.col("word") + F.col("n") - 1).alias("at"))
+        words = hits.select("row", F.explode("at").alias("word")).distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("word", F.lit(1).cast("long").alias("n")))).alias("hits"))
+        items = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        out = found.join(words, "row", "left").join(items, "row", "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<struct<word:bigint,n:bigint>>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["n"])
     out = out.withColumn("n_hit", n_hit)
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
@@ -163,7 +207,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, most_window
 
 def clean(docs: DataFrame, benchmark: DataFrame, k: int = K, most_windows: int = MOST_WINDOWS) -> DataFrame:
     """The rows of docs, with all their columns, that aren't contaminated."""
-    key = lambda: F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    found = contamination(docs.select(F.struct("doc_id", key().alias("key")).alias("doc_id"), "text"), benchmark, k, most_windows).where("contaminated")
-    out = found.select(F.col("doc_id.doc_id").alias("its_id"), F.col("doc_id.key").alias("its_key")).distinct()
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("its_id")) & (key() == F.col("its_key")), "left_anti")
+    key = lambda: F.struct("doc_id", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("text")).alias("key")
+    bad = contamination(docs.select(key(), "text").withColumnRenamed("key", "doc_id"), benchmark, k, most_windows).where("contaminated")
+    # the table's own columns stay in a struct, so that none clashes
+    rows, bad = docs.select(key(), F.struct("*").alias("row")), bad.select(F.col("doc_id").alias("key")).distinct()
+    same = F.col("rows.key.doc_id").eqNullSafe(F.col("bad.key.doc_id")) & (F.col("rows.key.text") == F.col("bad.key.text"))
+    return rows.alias("rows").join(bad.alias("bad"), same, "left_anti").select("row.*")

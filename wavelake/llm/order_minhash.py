@@ -87,12 +87,13 @@ def likeness(a: Column, b: Column) -> Column:
     return _let(seen, lambda s: F.when(F.size(s) == 0, F.lit(1.0)).otherwise(F.aggregate(s, F.lit(0), lambda n, x: n + x) / F.size(s)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, entries) with next_text and next_entries of the row that follows in descending doc_id; the first follows the last.
+def with_next(docs: DataFrame, fingerprinted) -> DataFrame:
+    """doc_id, text, entries of docs (doc_id, text), with next_text and next_entries of the row that follows in descending doc_id; the first follows the last. fingerprinted(rows) adds entries.
 
     No task orders all rows: doc_id is cut into ranges by approximate quantiles, as many as four
     for each shuffle partition; a copy of the first row of a range is also sent to the range
-    before it. Only the least and greatest id of each range pass through the driver."""
+    before it. Only the least and greatest id of each range pass through the driver. The copies
+    are made before texts are fingerprinted, so each text is fingerprinted once."""
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
@@ -107,24 +108,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = sorted(((r.part, r.most) for r in ids.groupBy(part(F.col("id")).alias("part")).agg(F.max("id").alias("most")).collect()), reverse=True)
     # the first row of each range also ends the range of greater ids, and the first of all the last one
     to = {most: heads[i - 1][0] for i, (_, most) in enumerate(heads)}
-    rows = docs.select("doc_id", "text", "entries", key.alias("id")).withColumn("part", part(F.col("id"))).withColumn("copy", F.lit(0))
+    rows = docs.select("doc_id", "text", key.alias("id"))
     ends = spark.createDataFrame([(most, p) for most, p in to.items()], "head long, to int")
-    first = docs.select("doc_id", "text", "entries", key.alias("id")).join(F.broadcast(ends), F.col("id") == F.col("head"))
-    once = first.groupBy("id").agg(F.min_by(F.struct("doc_id", "text", "entries"), F.col("text")).alias("row"), F.first("to").alias("part"))
-    copies = once.select("row.doc_id", "row.text", "row.entries", "id", "part", F.lit(1).alias("copy"))
+    once = rows.join(F.broadcast(ends), F.col("id") == F.col("head")).groupBy("id").agg(F.min_by(F.struct("doc_id", "text"), F.col("text")).alias("row"), F.first("to").alias("part"))
+    copies = once.select("row.doc_id", "row.text", "id", "part", F.lit(1).alias("copy"))
+    both = fingerprinted(rows.withColumn("part", part(F.col("id"))).withColumn("copy", F.lit(0)).unionByName(copies))
     w = W.partitionBy("part").orderBy(F.col("copy"), F.col("id").desc(), "text")
-    both = rows.unionByName(copies)
     return both.select("*", F.lead("text").over(w).alias("next_text"), F.lead("entries").over(w).alias("next_entries")).where("copy = 0").select("doc_id", "text", "entries", "next_text", "next_entries")
 
 
 def fingerprints(docs: DataFrame, k: int = K, bins: int = BINS, keep: int = KEEP) -> DataFrame:
-    """docs with text (null: empty) and entries."""
+    """doc_id, text (null: empty) and entries."""
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("entries", entries(F.col("text"), k, bins, keep))
 
 
 def edited_pairs(docs: DataFrame, k: int = K, bins: int = BINS, keep: int = KEEP) -> DataFrame:
     """doc_id, text, edited (its last third replaced from the next row's text), their entries and the next row's."""
-    rows = with_next(fingerprints(docs, k, bins, keep))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = with_next(texts, lambda both: both.withColumn("entries", entries(F.col("text"), k, bins, keep)))
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - third), F.substring(F.col("next_text"), F.lit(1), third))

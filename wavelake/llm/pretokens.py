@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .blocks import Block, Spans, dictionary, ranges
+from .blocks import Block, Spans, code_points, dictionary, ranges
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Characters with the property White_Space.
@@ -40,19 +40,9 @@ def classes() -> np.ndarray:
 
 def byte_classes(data: np.ndarray) -> np.ndarray:
     """The class of the character that each byte belongs to."""
-    table = classes()
-    out = np.where(data < 0x80, table[np.minimum(data, 0x7F)], 0).astype(np.uint8)
-    lead = np.flatnonzero(data >= 0xC0)
-    if len(lead):
-        b = [data[np.minimum(lead + i, len(data) - 1)].astype(np.int32) & 0x3F for i in range(4)]
-        first = data[lead].astype(np.int32)
-        size = 2 + (first >= 0xE0) + (first >= 0xF0)
-        point = np.select([size == 2, size == 3], [(first & 0x1F) << 6 | b[1], (first & 0x0F) << 12 | b[1] << 6 | b[2]], (first & 0x07) << 18 | b[1] << 12 | b[2] << 6 | b[3])
-        kind = table[np.minimum(point, sys.maxunicode)]
-        for i in range(4):
-            own = size > i
-            out[lead[own] + i] = kind[own]
-    return out
+    lead, point = code_points(data)
+    kind = classes().take(np.minimum(point, sys.maxunicode))
+    return np.repeat(kind, np.diff(np.append(lead, len(data))))
 
 
 def pretokens(texts: pa.Array) -> Spans:

@@ -9,47 +9,54 @@ candidates, at 0.8 all but 4 of a million pairs. A text that repeats a shingle h
 the same signature with all weights 1 as well (that of other texts is their own), so that
 pairs of 0.8 plain Jaccard are candidates as surely, however often their shingles repeat.
 
-Equal texts are one member. In a bucket of at most SMALL members all pairs are candidates; in
-a larger one every member is held against the least (n - 1 pairs). Members of larger buckets
-that then are in different classes are dealt anew: against another, pseudo-random member, and
-into the buckets that two bands together give. So no bucket makes more pairs than a multiple
-of its members. Candidates are verified on all their shingles: exact probability Jaccard or
-exact Jaccard of 0.8 or more. Links are joined by components().
+Equal texts are one member. In a bucket of at most SMALL members all pairs are candidates. In
+a larger one every member is held against the least, then, if it is in another class still,
+against a pseudo-random one: n - 1 pairs each, which put large classes together. What such
+buckets hold of different classes after that goes to rare_pairs(): all pairs that share a
+shingle that is rare among them, which no pair of 0.8 can do without. So no link that a bucket
+has is lost, and a bucket's pairs are never written out. Candidates are verified on all their
+shingles (64-bit hashes of the words): exact probability Jaccard or exact Jaccard of 0.8 or
+more. Links are joined by components().
 
 Null doc_ids are in no class (class_id is null). Null, empty and blank texts have no shingle:
-those of equal text are one class. Repeated rows have the class of their doc_id. Only doc_id
-and text are read. An empty table gives an empty one.
+those of equal text are one class. Rows of one doc_id and text are one member; different texts
+of one doc_id are members each. Only doc_id and text are read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .blocks import SPACE_WORDS, U64, Block, mix, text_batches, window_hashes
+from .bpe import binary
 from .components import components
 from .common import id_and_text, small_batches, written
 
 WORDS, ALIKE, BANDS, ROWS, SMALL = 5, 0.8, 24, 4, 8
-IDS = U64(48)
+#: Members of a list that one task pairs with all others.
+LIST = 500
 
 
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text's number, 48-bit shingle, times) of each distinct shingle, ordered by these."""
+    """(text's number, 64-bit shingle, times) of each distinct shingle, ordered by these."""
     spans = Block(texts).words(SPACE_WORDS)
     hashes = spans.hashes()
     at, h = spans.windows(hashes, k)
-    doc, parts = spans.docs()[at], [h]
-    docs = [doc]
+    docs, parts = [spans.docs()[at]], [h]
     for n in range(1, k):
         short = np.flatnonzero(spans.counts == n)
         docs.append(short)
         parts.append(window_hashes(hashes, spans.first[short], n))
-    key = (np.concatenate(docs).astype(U64) << IDS) | (np.concatenate(parts) >> U64(16))
-    key, times = np.unique(key, return_counts=True)
-    return (key >> IDS).astype(np.int64), key & U64((1 << 48) - 1), times
+    doc, h = np.concatenate(docs), np.concatenate(parts)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.zeros(0, np.int64)
+    return doc[first], h[first], np.diff(np.append(first, len(h)))
 
 
 def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -73,6 +80,11 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return out.reshape(n, m)
 
 
+def key_of(text: Column) -> Column:
+    """SHA-256 of a text: equal texts are told by it."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_key (SHA-256 of the text), bands (a hash of each band; then, for texts that repeat a shingle, those with all weights 1; none for texts without words)."""
 
@@ -99,34 +111,37 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), flat], ["doc_id", "text_key", "bands"])
 
-    rows_in = docs.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("text_key"))
+    rows_in = docs.select("doc_id", "text", key_of(F.col("text")).alias("text_key"))
     return rows_in.mapInArrow(run, "doc_id long, text_key binary, bands array<long>")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id, shingles: 48 bits of each shingle with 16 bits of its times, sorted."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """id, shingles: each shingle (u64), sorted; times: how often (u32), null where each is there once. Of texts (id, text)."""
 
     def run(batches):
         for b in text_batches(batches):
             doc, s, times = shingles(b.column(1))
-            packed = (s << U64(16)) | np.minimum(times, 65535).astype(U64)
             ends = np.searchsorted(doc, np.arange(b.num_rows), "right")
-            from .bpe import binary
+            often = np.bincount(doc[times > 1], minlength=b.num_rows) > 0
+            weights = binary(times.astype(np.uint32).view(np.uint8), 4 * ends)
+            yield pa.RecordBatch.from_arrays([b.column(0), binary(s.view(np.uint8), 8 * ends), pc.if_else(pa.array(often), weights, pa.scalar(None, pa.binary()))], ["id", "shingles", "times"])
 
-            yield pa.RecordBatch.from_arrays([b.column(0), binary(packed.view(np.uint8), 8 * ends)], ["id", "shingles"])
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary, times binary")
 
-    return docs.mapInArrow(run, "id long, shingles binary")
 
-
-def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """(probability Jaccard, Jaccard) of two packed shingle sets, exactly."""
-    x, y = a >> U64(16), b >> U64(16)
-    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    union = len(x) + len(y) - len(both)
-    if not len(both):
+def likeness(x: np.ndarray, y: np.ndarray, times_x: np.ndarray | None = None, times_y: np.ndarray | None = None) -> tuple[float, float]:
+    """(probability Jaccard, Jaccard) of two sorted shingle sets and their weights (None: all 1), exactly."""
+    at = np.searchsorted(y, x)
+    hit = y[np.minimum(at, len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+    n = int(hit.sum())
+    if not n:
         return 0.0, 0.0
-    wa, wb = (a & U64(65535)).astype(float), (b & U64(65535)).astype(float)
-    ca, cb = wa[i], wb[j]
+    plain = n / (len(x) + len(y) - n)
+    if times_x is None and times_y is None:
+        return plain, plain
+    wa = np.ones(len(x)) if times_x is None else times_x.astype(float)
+    wb = np.ones(len(y)) if times_y is None else times_y.astype(float)
+    ca, cb = wa[hit], wb[at[hit]]
     # sum over y of max(a_y / a_x, b_y / b_x): those of b_y / a_y up to b_x / a_x count by a, the others by b
     only_a, only_b = wa.sum() - ca.sum(), wb.sum() - cb.sum()
     ratio = cb / ca
@@ -134,26 +149,29 @@ def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     upto = np.searchsorted(ratio[order], ratio, "right")
     sum_a = np.concatenate([[0], np.cumsum(ca[order])])[upto] + only_a
     sum_b = cb.sum() - np.concatenate([[0], np.cumsum(cb[order])])[upto] + only_b
-    return float((1 / (sum_a / ca + sum_b / cb)).sum()), len(both) / union
+    return float((1 / (sum_a / ca + sum_b / cb)).sum()), plain
 
 
 def verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     """u, v, similarity of the pairs (u, v) that reach alike."""
 
     def run(batches):
-        for b in batches:
-            u, v, sim = [], [], []
-            for p, q, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                s = max(likeness(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)))
-                if s >= alike - 1e-12:
-                    u.append(p)
-                    v.append(q)
-                    sim.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], ["u", "v", "similarity"])
-
-    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, similarity double")
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):  # views of the batch's bytes: nothing is copied but what is compared
+                b = batch.slice(start, 200)
+                u, v, sim = [], [], []
+                blob = lambda x, t: np.frombuffer(x.as_buffer(), t) if x.is_valid else None
+                for p, q, x, y, tx, ty in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), b.column(5), strict=True):
+                    s = max(likeness(blob(x, U64), blob(y, U64), blob(tx, np.uint32), blob(ty, np.uint32)))
+                    if s >= alike - 1e-12:
+                        u.append(p)
+                        v.append(q)
+                        sim.append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sim, pa.float64())], ["u", "v", "similarity"])
+
+    left = sets.select(F.col("id").alias("u"), F.col("shingles").alias("a"), F.col("times").alias("ta"))
+    right = sets.select(F.col("id").alias("v"), F.col("shingles").alias("b"), F.col("times").alias("tb"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", "ta", "tb").mapInArrow(run, "u long, v long, similarity double")
 
 
 def _pairs_within(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
@@ -163,51 +181,101 @@ def _pairs_within(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
     return own.select("bucket", F.col("id").alias("u")).join(other, "bucket").where("u > v").select("u", "v")
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """The buckets of rows (bucket, id, label) that hold different labels."""
+    return rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
+
+
+def rare_pairs(left: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """u > v: all pairs of left (id, label) of different labels that can reach alike; no other pair can.
+
+    Shingles are ordered by how many of left have them, rarest first. Of two texts of a likeness of
+    alike, shared shingles have at least the share alike of either's shingles (or of their
+    times), so the first shared one comes before the last shingles that are less than that
+    share. Only lists of such shingles are paired: what is common to many texts is in none unless
+    a text is made of it almost wholly. A list with many members is split on both sides."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                s, t = b.column(2)[at], b.column(3)[at]
+                s = np.frombuffer(s.as_buffer(), np.int64)
+                times = np.frombuffer(t.as_buffer(), np.uint32).astype(np.int64) if t.is_valid else np.ones(len(s), np.int64)
+                n, full = len(s), lambda x: pa.array(np.full(len(s), x, np.int64))  # noqa: B023
+                yield pa.RecordBatch.from_arrays([full(b.column(0)[at].as_py()), full(b.column(1)[at].as_py()), pa.array(s), pa.array(times), full(n), full(int(times.sum()))], ["id", "label", "shingle", "times", "n", "total"])
+
+    each = left.join(sets, "id").select("id", "label", "shingles", "times").mapInArrow(run, "id long, label long, shingle long, times long, n long, total long")
+    each = written(each, "each")
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle", "often")
+    last = W.partitionBy("id").orderBy(F.col("often").desc(), F.col("shingle").desc()).rowsBetween(W.unboundedPreceding, 0)
+    rest = each.join(often, "shingle").withColumn("rest", F.count("*").over(last)).withColumn("rest_times", F.sum("times").over(last))
+    lists = rest.where((F.col("rest") >= F.col("n") * alike - 1e-9) | (F.col("rest_times") >= F.col("total") * alike - 1e-9)).select("shingle", "id", "label", "n", (F.col("n") < F.col("total")).alias("repeats"))
+    lists = written(lists, "lists")
+    long = lists.groupBy("shingle").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle", F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
+    own = lists.join(long, "shingle")
+    u = own.select("shingle", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("repeats").alias("ru"))
+    v = own.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("id").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("repeats").alias("rv"))
+    size = F.least("nu", "nv") >= F.greatest("nu", "nv") * alike - 1e-9
+    return u.join(v, ["shingle", "part"]).where((F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & (size | F.col("ru") | F.col("rv"))).select("u", "v").distinct()
+
+
 def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """doc_id, text_id (least doc_id of the same text), class_id (least doc_id of the class), a row for each row of docs."""
+    """doc_id, text_key, text_id (least doc_id of the same text), class_id (least doc_id of the class), class_key (least text_key of the rows of class_id in the class), a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     drawn = written(sketch(docs, bands, rows), "sketch")
     known = drawn.where("doc_id is not null")
-    members = written(known.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "members")
+    members = known.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    members = written(members.withColumn("id", F.monotonically_increasing_id()), "members")
     drawn_bands = members.select("id", "bands", F.posexplode("bands").alias("band", "bucket"))
     # a bucket has a member once: a band with all weights 1 may be the weighted one
     fresh = (F.col("band") < bands) | (F.col("bucket") != F.element_at("bands", F.greatest(F.col("band") - bands + 1, F.lit(1))))
-    buckets = written(drawn_bands.where(fresh).select("id", "band", "bucket"), "buckets")
+    buckets = written(drawn_bands.where(fresh).select("id", "bucket"), "buckets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min_by("id", F.xxhash64("id", "bucket")).alias("other")).where("n > 1")
     sizes = written(sizes, "sizes")
     stars = buckets.join(sizes.where(F.col("n") > small), "bucket").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
     pairs = written(_pairs_within(buckets, sizes, small).unionByName(stars).distinct(), "pairs")
-    # all that share a bucket, so that the texts are read once for both rounds
-    wanted = buckets.join(sizes.select("bucket"), "bucket").select("id").distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.id, "left_semi").dropDuplicates(["doc_id"])
+    # all that share a bucket, so that the texts are read once for all rounds
+    wanted = members.select("doc_id", "text_key", "id").join(buckets.join(sizes.select("bucket"), "bucket").select("id").distinct(), "id", "left_semi")
+    keyed = docs.withColumn("text_key", key_of(F.col("text")))
+    texts = keyed.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     sets = written(shingle_sets(texts), "sets")
     links = written(verified(pairs, sets, alike).select("u", "v"), "links")
     labels = written(components(links), "labels")
-    # the second round: members of large buckets that are in different classes still
-    large = buckets.join(sizes.where(F.col("n") > small), "bucket").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    split = large.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
-    large = written(large.join(split, "bucket"), "large")
-    named = large.select(F.col("id").alias("other"), F.col("bucket"), F.col("label").alias("its"))
-    again = large.join(named, ["bucket", "other"]).where("label <> its").select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v"))
-    steps = F.array(*map(F.lit, (1, 2, 3)))
-    after = lambda first: F.transform(steps, lambda i: F.xxhash64("bucket", F.element_at("bands", ((F.col("band") + i) % bands).cast("int") + 1 + first)))
-    next_bands = F.when(F.size("bands") > bands, F.array_union(after(0), after(bands))).otherwise(after(0))
-    finer = large.join(members, "id").select("id", "label", F.explode(next_bands).alias("bucket"))
-    fine = finer.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"), F.min("id").alias("least"), F.min_by("label", "id").alias("its")).where("a <> b")
-    within = _pairs_within(finer, fine, small)
-    stars = finer.join(fine.where(F.col("n") > small), "bucket").where("label <> its").select(F.col("id").alias("u"), F.col("least").alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    more = written(again.unionByName(within).unionByName(stars).distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
-    if more.head(1):
-        links = links.unionByName(verified(more, sets, alike).select("u", "v"))
+    large = buckets.join(sizes.where(F.col("n") > small).select("bucket", "other"), "bucket")
+
+    def left() -> DataFrame:
+        """The members of large buckets that hold different classes still."""
+        own = large.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        return own.join(_apart(own), "bucket")
+
+    # each against a pseudo-random member of its bucket, so that large classes come together
+    own = left()
+    named = own.where(F.col("id") == F.col("other")).select("bucket", F.col("label").alias("its"))
+    again = own.join(named, "bucket").where("label <> its").select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+    again = written(again.join(pairs, ["u", "v"], "left_anti"), "again")
+    if again.head(1):
+        links = links.unionByName(verified(again, sets, alike).select("u", "v"))
+        labels = written(components(links), "labels")
+        pairs = pairs.unionByName(again)
+    # all other pairs of different classes that can be alike
+    last = rare_pairs(left().select("id", "label").distinct(), sets, alike)
+    last = written(last.join(pairs, ["u", "v"], "left_anti"), "last")
+    if last.head(1):
+        links = links.unionByName(verified(last, sets, alike).select("u", "v"))
         labels = written(components(links), "labels")
-    named = members.select("text_key", "id").join(labels, "id", "left").select("text_key", F.col("id").alias("text_id"), F.coalesce("label", "id").alias("class_id"))
-    return known.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_id", "class_id").unionByName(drawn.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("text_id"), F.lit(None).cast("long").alias("class_id")))
+    named = members.join(labels, "id", "left").select("text_key", F.col("doc_id").alias("text_id"), F.coalesce("label", "id").alias("label"))
+    named = written(named, "named")
+    classes = named.groupBy("label").agg(F.min(F.struct("text_id", "text_key")).alias("least")).select("label", F.col("least.text_id").alias("class_id"), F.col("least.text_key").alias("class_key"))
+    out = known.select("doc_id", "text_key").join(named.join(classes, "label").drop("label"), "text_key").select("doc_id", "text_key", "text_id", "class_id", "class_key")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("text_id", "long"), ("class_id", "long"), ("class_key", "binary"))]
+    return out.unionByName(drawn.where("doc_id is null").select("doc_id", "text_key", *none))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, the one of least doc_id; rows without doc_id stay."""
-    kept = near_classes(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.where("doc_id is not null")
-    return known.join(kept, known.doc_id == kept.kept_id, "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs with one row of each class, the one of least doc_id (of several texts with it, that of class_key); rows without doc_id stay."""
+    kept = near_classes(docs, **options).where("doc_id is not null").select(F.struct(F.col("class_id").alias("doc_id"), F.col("class_key").alias("key")).alias("kept")).distinct()
+    inner = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), key_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key")).alias("kept"), F.struct("*").alias("row"))
+    known = inner.where("kept.doc_id is not null").join(kept, "kept", "left_semi").dropDuplicates(["kept"])
+    return known.unionByName(inner.where("kept.doc_id is null")).select("row.*")

@@ -72,7 +72,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_classes(documents(spark, sf_dir))
+    return probminhash.near_classes(documents(spark, sf_dir)).select("doc_id", "text_id", "class_id")
 
 
 def order_minhash_digest(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ document with a smaller doc_id. Nothing is sampled or capped; the result is exac
    hash with more than one document is a repeated window, and the least document owns it.
 3. Automata. In the owner's text, neighbouring owned windows of one anchor make a pattern: the
    words common to them (its phrase) and the words to both sides. Suspects are dealt into parts
-   by doc_id; a part gets the patterns of its documents' anchors, compiles the phrases into an
+   by doc_id, as many as keep a part's patterns at PART_PATTERNS; a part gets the patterns of its
+   documents' anchors, compiles the phrases into an
    Aho-Corasick automaton over word numbers, and streams its documents through it. A hit is
    extended into the pattern's sides word by word; K equal words or more are an occurrence.
 
@@ -163,62 +164,66 @@ def owned_patterns(owners: DataFrame, k: int) -> DataFrame:
 
 
 class Automaton:
-    """Patterns (owner, left, phrase, right) of one part. Words are numbered as single characters."""
+    """Patterns (owner, left, phrase, right) of one part, as tuples of word numbers from 1; 0 is any other word."""
 
     def __init__(self, k: int):
-        self.k, self.signs, self.patterns, self.ready = k, {}, {}, None
+        self.k, self.numbers, self.patterns, self.ready = k, {}, {}, None
 
-    def _signs(self, words: str) -> str:
-        signs = self.signs
-        return "".join(signs.setdefault(w, chr(len(signs) + 1)) for w in words.split(" ")) if words else ""
+    def _numbered(self, words: str) -> tuple[int, ...]:
+        numbers = self.numbers
+        return tuple([numbers.setdefault(w, len(numbers) + 1) for w in words.split(" ")]) if words else ()
 
     def add(self, owner: int, left: str, phrase: str, right: str) -> None:
-        self.patterns.setdefault(self._signs(phrase), []).append((owner, self._signs(left), self._signs(right)))
+        self.patterns.setdefault(self._numbered(phrase), []).append((owner, self._numbered(left)[::-1], self._numbered(right)))
 
     def removed(self, doc_id: int, words: list[str]) -> np.ndarray:
         """Which of the words are covered by a window of a smaller doc_id."""
         import ahocorasick
 
         if self.ready is None:
-            self.ready = ahocorasick.Automaton()
+            self.ready = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for phrase, known in self.patterns.items():
                 self.ready.add_word(phrase, (len(phrase), known))
             self.ready.make_automaton()
         spans: set[tuple[int, int]] = set()
-        if self.patterns:
-            get, hay = self.signs.get, ""
-            hay = "".join([get(w, "\0") for w in words])
+        if self.patterns and words:
+            get = self.numbers.get
+            hay = tuple([get(w, 0) for w in words])
             for last, (n, known) in self.ready.iter(hay):
                 begin, end = last + 1 - n, last + 1
                 for owner, left, right in known:
                     if owner < doc_id:
-                        a, z = begin - self._same(hay[max(0, begin - len(left)) : begin][::-1], left[::-1]), end + self._same(hay[end : end + len(right)], right)
+                        a, z = begin - self._same(hay[max(0, begin - len(left)) : begin][::-1], left), end + self._same(hay[end : end + len(right)], right)
                         if z - a >= self.k:
                             spans.add((a, z - a))
         at = np.array(sorted(spans), np.int64).reshape(-1, 2)
         return covered(len(words), at[:, 0], at[:, 1])
 
     @staticmethod
-    def _same(a: str, b: str) -> int:
+    def _same(a: tuple, b: tuple) -> int:
         """Length of the common beginning."""
-        if b.startswith(a):
+        if a == b[: len(a)]:
             return len(a)
-        return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y)
 
 
 def streamed(rows: DataFrame, k: int, value) -> DataFrame:
     """rows (part, owner, left, phrase, right, doc_id, text), sorted by part with patterns first: the results of the documents."""
+    kinds = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_words": pa.int64(), "removed": MARK, "value": pa.string()}
 
     def run(batches):
         part, automaton = None, None
         for b in batches:
-            out: dict[str, list] = {x: [] for x in ("doc_id", "text_hash", "n_words", "removed", "value")}
-            for p, owner, left, phrase, right, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            small = [b.column(i).to_pylist() for i in range(6)]
+            out: dict[str, list] = {x: [] for x in kinds}
+            held = 0
+            for i, (p, owner, left, phrase, right, doc_id) in enumerate(zip(*small, strict=True)):
                 if p != part:
                     part, automaton = p, Automaton(k)
-                if text is None:
+                if doc_id is None:
                     automaton.add(owner, left, phrase, right)
                     continue
+                text = b.column(6)[i].as_py()  # one text at a time
                 raw = text.encode()
                 words = [w.decode() for w in raw.split()]
                 gone = automaton.removed(doc_id, words)
@@ -226,11 +231,25 @@ def streamed(rows: DataFrame, k: int, value) -> DataFrame:
                 row = (doc_id, hash_of(raw), len(words), [{"word": a, "n": z - a} for a, z in edge.tolist()], value(" ".join([w for w, x in zip(words, gone.tolist(), strict=True) if not x]).encode()))
                 for column, x in zip(out.values(), row, strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["text_hash"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["removed"], MARK), pa.array(out["value"], pa.string())], list(out))
+                held += len(raw)
+                if held > 2_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in kinds.items()], list(kinds))
+                    out, held = {x: [] for x in kinds}, 0
+            yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in kinds.items()], list(kinds))
 
     return rows.mapInArrow(run, f"doc_id long, text_hash long, n_words long, removed {MARKS}, value string")
 
 
+def parts_for(patterns: DataFrame, suspects: DataFrame, least: int) -> int:
+    """Into how many parts the suspects go, so that a part gets PART_PATTERNS patterns on average at most: a pattern goes to every part that has a document with its anchor, that is to min(such documents, parts) of them."""
+    docs = suspects.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("docs"))
+    by_size = patterns.groupBy("anchor").agg(F.count("*").alias("patterns")).join(docs, "anchor").groupBy(F.floor(F.log2("docs")).cast("int").alias("level")).agg(F.sum("patterns").alias("n"), F.max("docs").alias("docs")).collect()  # a row for each power of two
+    parts = least
+    while sum(r["n"] * min(r["docs"], parts) for r in by_size) > parts * PART_PATTERNS:
+        parts *= 2
+    return parts
+
+
 def deduplicated(docs: DataFrame, value=bytes.decode, k: int = K) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text), n_words, removed (first word and number of words of each removed run), value: what value(bytes) gives, as a string, for the kept words joined by one blank; by default these words."""
     spark = docs.sparkSession
@@ -242,12 +261,9 @@ def deduplicated(docs: DataFrame, value=bytes.decode, k: int = K) -> DataFrame:
     repeated = found.groupBy("anchor").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b").select("anchor")
     own = found.join(repeated, "anchor").groupBy("text_hash").agg(F.collect_set("anchor").alias("anchors"))
     key = F.substring(F.unhex(F.sha2("text", 256)), 1, 16)
-    ids = written(known.select("doc_id", F.xxhash64("text").alias("text_hash"), key.alias("key")), "ids")
-    least = ids.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("text_hash").alias("text_hash"))
-    first = least.join(own, "text_hash").select(F.col("least").alias("doc_id"), "key", "anchors", F.lit(False).alias("copy"))
-    copies = ids.join(least.select("key", "least"), "key").where("doc_id > least").select("doc_id", "key", F.lit(None).cast("array<long>").alias("anchors"), F.lit(True).alias("copy")).distinct()
-    said = first.unionByName(copies)
-    early = known.withColumn("key", key).join(said, ["doc_id", "key"], "left").select("doc_id", "text", "copy", "anchors")
+    # the least document of each text; all others with the text are copies
+    first = known.groupBy(key.alias("key")).agg(F.min("doc_id").alias("doc_id"), F.first(F.xxhash64("text")).alias("text_hash")).join(own, "text_hash", "left").select("doc_id", "key", "anchors", F.lit(False).alias("copy"))
+    early = known.withColumn("key", key).join(first, ["doc_id", "key"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(True)).alias("copy"), "anchors")
     early = early.unionByName(rows.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<long>").alias("anchors")))
     early = written(judged_early(early, k, value), "judged")
     suspects = early.where("anchors is not null").select("doc_id", "text", "anchors")
@@ -256,20 +272,23 @@ def deduplicated(docs: DataFrame, value=bytes.decode, k: int = K) -> DataFrame:
     owned = windows.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list("hash").alias("hashes"))
     patterns = written(owned_patterns(suspects.join(owned, "doc_id").select("doc_id", "text", "hashes"), k), "patterns")
     # 3. patterns go where documents with their anchor are
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-patterns.count() // PART_PATTERNS))
+    parts = parts_for(patterns, suspects, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
     needed = suspects.select(part, F.explode("anchors").alias("anchor")).distinct()
     sent = patterns.join(needed, "anchor").select("part", "owner", "left", "phrase", "right", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("owner", "long"), ("left", "string"), ("phrase", "string"), ("right", "string"))]
     both = sent.unionByName(suspects.select(part, *none, "doc_id", "text"))
-    both = both.repartition(parts, "part").sortWithinPartitions("part", F.col("text").isNotNull(), "doc_id")
+    both = both.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").isNotNull(), "doc_id")
     return early.where("anchors is null").select("doc_id", "text_hash", "n_words", "removed", "value").unionByName(streamed(both, k, value))
 
 
 def rewritten(docs: DataFrame, k: int = K) -> DataFrame:
     """docs with the kept words, one blank between, as the text of each row that loses words (and their number of characters as n_chars, if docs has it); other rows are as they were."""
     found = deduplicated(docs, k=k).where(F.size("removed") > 0)
-    changed = found.select(F.col("doc_id").alias("its_id"), F.col("text_hash").alias("its_hash"), F.col("value").alias("its_text")).dropDuplicates(["its_id", "its_hash"])
-    rows = docs.join(changed, (F.col("doc_id").cast("long") == F.col("its_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("its_hash")), "left")
-    text = {"text": F.coalesce("its_text", "text"), "n_chars": F.when(F.col("its_id").isNotNull(), F.char_length("its_text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes).get("n_chars", "long"))}
-    return rows.select(*(text[c].alias(c) if c in text else F.col(c) for c in docs.columns))
+    # the table's own columns stay in a struct, so that none clashes
+    changed = found.select(F.struct("doc_id", "text_hash").alias("key"), F.col("value").alias("kept")).dropDuplicates(["key"])
+    row = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash")).alias("key"), F.struct("*").alias("row"))
+    out = row.join(changed, "key", "left").withColumn("changed", F.col("kept").isNotNull())
+    field = lambda c: F.col("row")[c]
+    text = {"text": lambda c: F.when(F.col("changed"), F.col("kept")).otherwise(field(c)), "n_chars": lambda c: F.when(F.col("changed"), F.char_length("kept")).otherwise(field(c)).cast(docs.schema[c].dataType)}
+    return out.select(*(text.get(c, field)(c).alias(c) for c in docs.columns))

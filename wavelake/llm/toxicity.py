@@ -1,10 +1,11 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed n-grams (3 to 6 bytes, A-Z lower-cased, white space as blanks) that a
+Features are the hashed n-grams (3 to 6 characters, A-Z lower-cased, white space as blanks) that a
 text has; each that a text has counts once. r is the log ratio of the shares of toxic and
 other training texts with the n-gram; a logistic regression is fitted on features times r
-(Wang and Manning's NBSVM). Counts come from tasks by bucket; the FEATURES buckets that tell
-most (G statistic) are kept, so that what is fitted and broadcast has a fixed size.
+(Wang and Manning's NBSVM). Counts come from tasks by bucket; of 2 ** BITS buckets, the FEATURES
+that tell most (G statistic) among those that `least` texts have are kept: the size of the model,
+whatever that of the table.
 
 Null and empty texts have the score of no feature. Without labels of both classes every score
 is the share of toxic labels (0.5 without any). Repeated rows are scored each; only doc_id,
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, Block, text_batches
+from .blocks import LOWER, Block, code_points, text_batches
 from .common import id_and_text, small_batches
 from .labelled import SAMPLE, training_rows
 
@@ -28,9 +29,12 @@ PLAIN[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
 
 
 def grams(block: Block):
-    """(first byte, bucket) arrays of all n-grams, one pair for each n; an n-gram never runs over the end of a text."""
-    data, n = PLAIN[block.data].astype(np.uint32), len(block.data)
-    left = np.repeat(block.off[1:], np.diff(block.off)) - np.arange(n)  # bytes to the end of the text
+    """(text's number, bucket) arrays of all n-grams, one pair for each n; an n-gram never runs over the end of a text."""
+    lead, point = code_points(block.data)
+    edges = np.searchsorted(lead, block.off)
+    doc, ends = np.repeat(np.arange(block.n), np.diff(edges)), edges[1:]
+    data, n = np.where(point < 0x80, PLAIN[np.minimum(point, 0x7F)], point).astype(np.uint32), len(lead)
+    left = ends[doc] - np.arange(n)  # characters to the end of the text
     h = np.zeros(n, np.uint32)
     for i in range(min(max(SIZES), n)):
         h[: n - i] = (h[: n - i] ^ data[i:]) * np.uint32(0x01000193)
@@ -38,19 +42,18 @@ def grams(block: Block):
             at = np.flatnonzero(left > i)
             x = h[at]
             x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            yield at, ((x ^ (x >> np.uint32(13))) * np.uint32(0x297A2D39)) >> np.uint32(32 - BITS)
+            yield doc[at], ((x ^ (x >> np.uint32(13))) * np.uint32(0x297A2D39)) >> np.uint32(32 - BITS)
 
 
 def present(block: Block, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text's number, bucket) of each distinct bucket of each text; with keep (features by bucket, from 1; 0: none) only those kept, as features."""
     keys = [np.zeros(0, np.int64)]
-    doc = np.repeat(np.arange(block.n), np.diff(block.off))
-    for at, bucket in grams(block):
-        value = bucket.astype(np.int64) if keep is None else keep[bucket].astype(np.int64)
+    for doc, bucket in grams(block):
+        value = bucket.astype(np.int64) if keep is None else keep.take(bucket).astype(np.int64)
         if keep is not None:
             own = np.flatnonzero(value)
-            at, value = at[own], value[own]
-        keys.append(doc[at] << BITS | value)
+            doc, value = doc[own], value[own]
+        keys.append(doc << BITS | value)
     key = np.unique(np.concatenate(keys))
     return key >> BITS, key & ((1 << BITS) - 1)
 
@@ -70,6 +73,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def log_ratios(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The naive Bayes log-count ratio of features that a of n1 and b of n0 texts have."""
+    return np.log(((a + SMOOTH) / (n1 + 2 * SMOOTH)) / ((b + SMOOTH) / (n0 + 2 * SMOOTH)))
+
+
 def _logistic(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, value: np.ndarray, ridge: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and bias of the ridge logistic regression on value[feature], by Adam on all rows."""
     n, f = len(y), len(value)
@@ -117,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 gain += np.where(seen > 0, seen * np.log(seen / (size * share)), 0)
     best = np.lexsort((counted.bucket.to_numpy(), -gain))[:features]
     keep[counted.bucket.to_numpy()[best]] = np.arange(1, len(best) + 1)
-    ratio = np.concatenate([[0], np.log(((a + SMOOTH) / (n1 + 2 * SMOOTH)) / ((b + SMOOTH) / (n0 + 2 * SMOOTH)))[best]])
+    ratio = np.concatenate([[0], log_ratios(a[best], b[best], n1, n0)])
 
     def matrix(batches):
         for b in text_batches(batches):
