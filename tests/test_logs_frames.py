@@ -21,6 +21,35 @@ def test_mixed(spark):
     assert got[0].fields["status"] == "0" and got[0].fields["aid"] == "19" and got[3].fields == {"networks": "2"}
 
 
+def test_unparsed_lines_are_stripped(spark):
+    got = op.parse_mixed_log(raw(spark, "  \tindented  ", SIM)).orderBy("line_no").collect()
+    assert got[0].message == "indented" and got[0].raw == "  \tindented  "
+
+
+def test_summary_and_path(spark):
+    move = "2025-01-01T00:00:01.240Z [   {:4d}ms] <NOTICE> wifid     : state transition from=S{} event=E to=S{}"
+    got = op.log_summary(op.parse_mixed_log(raw(spark, *(move.format(i, i, i + 1) for i in range(9)), SIM.replace("status=0", "status=17"), "  other"))).first()
+    assert (got.total, got.n_transitions, got.path, got.final_state, list(got.status_codes), got.by_component) == (11, 9, "S4>S5>S6>S7>S8>S9", "S9", [17], {"unparsed": 1, "wifid": 10})
+
+
+def test_match_is_the_best_template(spark):
+    """Against all templates of the length, in plain code."""
+    import random
+
+    rnd = random.Random(2)
+    lines = [" ".join(rnd.choice(["alpha", "beta", "gamma", "12", "x=3", "<q>"]) for _ in range(rnd.randint(1, 5))) for _ in range(150)]
+    rows = spark.createDataFrame([("t", i, x) for i, x in enumerate(lines)], "tag string, line_no int, message string")
+    templates = op.drain_templates(rows.where("line_no < 60"), max_children=3)
+    known = [(r.template_id, list(r.tokens), r.key1, r.key2) for r in templates.collect()]
+    got = {r.line_no: r.template_id for r in op.match_template(rows, templates).collect()}
+    tokens = {r.line_no: list(r.t) for r in rows.select("line_no", f.tokens(F.col("message")).alias("t")).collect()}
+    for i, t in tokens.items():
+        fits = lambda key, j: key in ("<*>", t[j] if j < len(t) else "")  # noqa: B023, E731
+        able = [(sum(a in (b, "<*>") for a, b in zip(p, t, strict=True)) / len(t), -n) for n, p, k1, k2 in known if len(p) == len(t) and fits(k1, 0) and fits(k2, 1)]
+        best = max((x for x in able if x[0] >= 0.5), default=None)
+        assert got[i] == (-best[1] if best else None), t
+
+
 def test_fields_and_masks(spark):
     one = lambda text, g: spark.createDataFrame([(text,)], "m string").select(g(F.col("m"))).first()[0]
     assert one('ssid="my network" channel=36 channel=40', f.extract_fields) == {"ssid": "my network", "channel": "40"}
@@ -76,6 +105,9 @@ def test_detectors(spark):
     assert ("flood", "deauth_flood", "critical") in found and ("flood", "unprotected_management_frames", "info") in found
     assert found["again", "key_reinstallation", "critical"].detail == "increasing"
     assert not any(k[0] == "fine" and k[2] == "critical" for k in found)
+    assert found["flood", "deauth_flood", "critical"].detail == "1.90 s 7:20"
+    plan = fr.scan_captures(fine)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1
 
 
 def test_buckets(spark):
@@ -98,6 +130,82 @@ def test_clusters(spark):
     assert fa.cluster_failures(df.withColumn("signature", F.lit(" "))).count() == 0
 
 
+def test_clusters_against_plain_dbscan(spark):
+    """Weights, cosines, cores and borders in plain code on whole signatures."""
+    import math
+    import random
+    from collections import Counter
+
+    rnd = random.Random(7)
+    words = "auth timeout handshake m3 deauth reason dhcp nak beacon loss link weak scan empty final_state path".split()
+    base = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(8)]
+    texts = {}
+    for i in range(48):
+        w = base[i % 8].split()
+        for _ in range(rnd.choice([0, 1, 3, 8, 20])):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        texts[f"t{i:02d}"] = " ".join(w)
+
+    def grams(t):
+        out = Counter()
+        for w in t.lower().split():
+            w = f" {w} "
+            for n in (3, 4, 5):
+                out.update([w[i : i + n] for i in range(len(w) - n + 1)] if len(w) > n else [w])
+                if len(w) <= n:
+                    break
+        return out
+
+    tf = {k: grams(t) for k, t in texts.items()}
+    df = Counter(g for c in tf.values() for g in c)
+    vec = {}
+    same = {t: min(k for k in texts if texts[k] == t) for t in texts.values()}
+    reps = sorted(set(same.values()))
+    df = Counter(g for k in reps for g in tf[k])
+    for k in reps:
+        v = {g: (1 + math.log(n)) * (math.log((1 + len(reps)) / (1 + df[g])) + 1) for g, n in tf[k].items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vec[k] = {g: x / size for g, x in v.items()}
+    near = lambda a, b: sum(x * vec[b].get(g, 0) for g, x in vec[a].items()) >= 0.65 - 1e-12
+    around = {k: [o for o in texts if near(same[texts[k]], same[texts[o]])] for k in texts}
+    core = {k for k in texts if len(around[k]) >= 3}
+    group: dict = {}
+    for k in sorted(core):
+        todo = [k] if k not in group else []
+        while todo:
+            x = todo.pop()
+            if x not in group:
+                group[x] = k
+                todo += [o for o in around[x] if o in core]
+    got = {r.tag: r.label for r in fa.cluster_failures(spark.createDataFrame(list(texts.items()), "tag string, signature string"), min_samples=3).collect()}
+    of = lambda keys: {frozenset(k for k in keys if got[k] == x) for x in {got[k] for k in keys}}
+    assert of(core) == {frozenset(k for k in core if group[k] == x) for x in set(group.values())}
+    for k in set(texts) - core:
+        roots = {got[o] for o in around[k] if o in core}
+        assert got[k] in roots if roots else got[k] == -1
+
+
+def test_bundle(spark):
+    capture_ = capture(spark, "c1", ["beacon", "auth"]).unionByName(capture(spark, "c2", ["beacon"]))
+    facts = fr.capture_facts(capture_)
+    lines = op.parse_mixed_log(raw(spark, SIM)).withColumn("tag", F.lit("c1"))
+    window = spark.createDataFrame([], "tag string, monotonic_ms long, source_rank int, seq int, source string, label string, detail string")
+    clusters = spark.createDataFrame([(f"c{i}", 0) for i in range(1, 9)], "tag string, label int")
+    templates = spark.createDataFrame([("c1", "a <*>", 3), ("c1", "b", 9)], "tag string, text string, hits long")
+    kpi = spark.createDataFrame([("c1", 1, "net0", "ok", ""), ("c1", 2, "net0", "critical", "z-score")], "tag string, id long, scope_key string, verdict string, reason string")
+    got = {(r.tag, r.name): r.text for r in tr.failure_bundle(fr.connection_forensics(facts), window, fr.rank_anomalies(fr.found(facts)), op.log_summary(lines), templates, clusters, kpi).collect()}
+    assert got["c1", "kpi"] == "net0 critical z-score" and got["c1", "templates"] == "x9 b\nx3 a <*>"
+    assert got["c1", "cluster"] == "c2\nc3\nc4\nc5\nc6" and got["c8", "cluster"] == "c1\nc2\nc3\nc4\nc5" and got["c2", "forensics"]
+
+
+def test_features_with_histogram(spark):
+    facts = fr.capture_facts(capture(spark, "c1", ["beacon", "auth"]))
+    lines = op.parse_mixed_log(raw(spark, SIM, SIM)).withColumn("tag", F.lit("c1"))
+    histogram = op.template_histogram(op.match_template(lines, op.drain_templates(lines)))
+    got = fa.failure_features(fr.connection_forensics(facts), op.log_summary(lines), facts, histogram).first()
+    assert got.histogram == {1: 2} and got.n_log_lines == 2
+
+
 def test_triage(spark):
     texts = spark.createDataFrame([(1, "deauth reason=15"), (2, "PMK mismatch"), (3, "DHCPNAK"), (4, "networks=0"), (5, "nonsense")], "id long, text string")
     assert [r.suggested_owner for r in tr.rule_diagnosis(texts).orderBy("id").collect()] == ["wifi_infrastructure", "provisioning", "dhcp", "environment", "unknown"]

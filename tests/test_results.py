@@ -47,12 +47,26 @@ def test_upsert_keeps_first_columns(spark):
     assert got == {"a": ("new", "s0"), "b": ("x", "s2")}
 
 
+def test_insert_ignore_keeps_the_first(spark):
+    rows = spark.createDataFrame([(3, "a", "late"), (1, "a", "first"), (2, "b", "known")], "id long, k string, v string").repartition(3)
+    assert [tuple(r) for r in op.insert_ignore(rows.where("k = 'b'"), rows, ["k"], "id").collect()] == [("a", 1, "first")]
+
+
+def test_numbers_follow_the_order(spark):
+    from wavelake.session import numbered
+
+    rows = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "x int").repartition(7)
+    assert [(r.x, r.n) for r in numbered(rows, "x", "n").orderBy("x").collect()] == [(i, i) for i in range(1000)]
+    assert numbered(rows.limit(0), "x", "n").count() == 0
+
+
 def test_flake_classifier(spark):
     patterns = {f"f{i}": ".F" * 4 + "." * (i % 3) for i in range(12)} | {f"s{i}": "." * (8 + i % 3) for i in range(12)}
     h = op.classified(op.test_history(history(spark, **patterns)))
     truth = spark.createDataFrame([(k, k[0] == "f") for k in patterns], "nodeid string, truth boolean")
     got = learning.flake_classifier(h, truth, trees=20).collect()
     assert all(r.predicted == r.truth for r in got) and got[0].f1 == 1.0
+    assert {x.feature for x in got[0].importances} == set(learning.HISTORY) and abs(sum(x.importance for x in got[0].importances) - 1) < 1e-6
     assert learning.flake_classifier(h, truth.where("truth"), trees=5) is None
     assert learning.flake_classifier(h, truth.limit(1), trees=5) is None
 

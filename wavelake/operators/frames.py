@@ -56,6 +56,11 @@ def capture_facts(frames: DataFrame) -> DataFrame:
     n = W.partitionBy("capture_id")
     # the place of each signal value among those of its capture, for the first and last thirds
     kinds = kinds.withColumns({"_at": F.sum(rssi.cast("int")).over(by_frame()), "_n": F.sum(rssi.cast("int")).over(n), "_m4": F.min(F.when(_is("eapol_m4"), c("time_s"))).over(n)})
+    # what was before a frame: the access point asked for last, the replay counter of the last M3; and how often its reason is given
+    asked, m3 = _is("assoc_request", "reassoc_request") & (F.coalesce("addr1", F.lit("")) != ""), _is("eapol_m3") & c("replay_counter").isNotNull()
+    earlier = by_frame().rowsBetween(W.unboundedPreceding, -1)
+    kinds = kinds.withColumns({"_asked": F.last(F.when(asked, c("addr1")), ignorenulls=True).over(earlier), "_counter": F.last(F.when(m3, c("replay_counter")), ignorenulls=True).over(earlier), "_reasons": F.count_if(gone).over(W.partitionBy("capture_id", "reason_code"))})
+    step = asked & (c("_asked").isNull() | (c("_asked") != c("addr1")))
     head, tail = rssi & (c("_at") <= F.floor(c("_n") / 3)), rssi & (c("_at") > c("_n") - F.ceil(c("_n") / 3))
     times = lambda k: F.count_if(_is(k))
     t = c("time_s")
@@ -68,6 +73,8 @@ def capture_facts(frames: DataFrame) -> DataFrame:
         _first(c("rssi_dbm"), rssi).alias("rssi_first"), _last(c("rssi_dbm"), rssi).alias("rssi_last"), F.min("rssi_dbm").alias("rssi_min"), F.avg("rssi_dbm").alias("rssi_mean"), F.count("rssi_dbm").alias("n_rssi"),
         (F.avg(F.when(head, c("rssi_dbm"))) - F.avg(F.when(tail, c("rssi_dbm")))).alias("rssi_thirds_drop"), F.avg(F.when(head, c("rssi_dbm"))).alias("rssi_head"), F.avg(F.when(tail, c("rssi_dbm"))).alias("rssi_tail"),
         _first(c("ssid"), ~F.coalesce(c("ssid"), F.lit("")).isin("", "<hidden>")).alias("ssid"), _first(c("rsn_akm"), F.coalesce(c("rsn_akm"), F.lit("")) != "").alias("akm"), F.count_if(_is("eapol_m3") & (t >= c("_m4"))).alias("m3_after_m4"),
+        F.transform(F.array_sort(F.collect_list(F.when(step, F.struct("frame_index", "addr1")))), lambda x: x["addr1"]).alias("roams"), F.min(F.when(m3, c("replay_counter"))).alias("m3_least"), F.max(F.when(m3, c("replay_counter"))).alias("m3_most"), F.bool_or(m3 & F.coalesce(c("_counter") > c("replay_counter"), F.lit(False))).alias("m3_falls"),
+        F.collect_set(F.when(gone & c("reason_code").isNotNull(), F.struct(c("reason_code").alias("reason"), c("_reasons").alias("n")))).alias("gone_reasons"),
         F.min(F.when(_is("probe_request"), t)).alias("t_probe"), F.min(F.when(_is("beacon", "probe_response"), t)).alias("t_beacon"), F.min(F.when(_is("auth", "sae_commit"), t)).alias("t_auth"), F.max(F.when(_is("auth", "sae_confirm"), t)).alias("t_auth_end"),
         F.min(F.when(_is("assoc_request", "reassoc_request"), t)).alias("t_assoc"), F.min(F.when(assoc, t)).alias("t_assoc_end"), F.min(F.when(_is("eapol_m1"), t)).alias("t_m1"), F.max(F.when(_is("eapol_m4"), t)).alias("t_m4"), F.max(F.when(_is("eapol_m1", "eapol_m2", "eapol_m3", "eapol_m4"), t)).alias("t_eapol"),
     ).withColumn("retry_rate", F.when(c("n_data_frames") > 0, c("data_retries") / c("n_data_frames")).otherwise(0.0))
@@ -107,74 +114,119 @@ def roam_sequence(frames: DataFrame) -> DataFrame:
     return out.withColumns({"transitions": F.size("sequence") - 1, "pingpong": F.size(F.array_distinct("sequence")) < F.size("sequence")})
 
 
-def _finding(rows: DataFrame, name: str, severity: Column | str, value: Column, detail: Column) -> DataFrame:
+def _finding(name: str, when: Column, severity: Column | str, value: Column, detail: Column) -> Column:
+    """An array of the finding, empty unless when."""
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    return rows.select("capture_id", F.lit(name).alias("detector"), severity.alias("severity"), value.cast("double").alias("value"), detail.alias("detail"))
+    one = F.struct(F.lit(name).alias("detector"), severity.alias("severity"), value.cast("double").alias("value"), F.coalesce(detail, F.lit("")).alias("detail"))
+    return F.filter(F.array(one), lambda x: F.coalesce(when, F.lit(False)))
 
 
-def detect_excessive_retries(facts: DataFrame) -> DataFrame:
+def _excessive_retries() -> Column:
     c = F.col("retry_rate")
-    return _finding(facts.where((F.col("n_data_frames") >= 10) & (c >= 0.20)), "excessive_retries", F.when(c >= 0.40, "critical").otherwise("warning"), c, F.concat(F.col("data_retries"), F.lit("/"), F.col("n_data_frames")))
+    return _finding("excessive_retries", (F.col("n_data_frames") >= 10) & (c >= 0.20), F.when(c >= 0.40, "critical").otherwise("warning"), c, F.concat(F.col("data_retries"), F.lit("/"), F.col("n_data_frames")))
 
 
-def detect_weak_signal(facts: DataFrame) -> DataFrame:
+def _weak_signal() -> Column:
     c = F.col("rssi_min")
-    return _finding(facts.where(c <= -80), "weak_signal", F.when(c <= -88, "critical").otherwise("warning"), c, F.format_string("mean %.6f", "rssi_mean"))
+    return _finding("weak_signal", c <= -80, F.when(c <= -88, "critical").otherwise("warning"), c, F.format_string("mean %.6f", "rssi_mean"))
 
 
-def detect_rssi_collapse(facts: DataFrame) -> DataFrame:
+def _rssi_collapse() -> Column:
     c = F.col("rssi_thirds_drop")
-    return _finding(facts.where((F.col("n_rssi") >= 8) & (c >= 12)), "rssi_collapse", F.when(F.col("n_deauth") > 0, "critical").otherwise("warning"), c, F.lit(""))
+    return _finding("rssi_collapse", (F.col("n_rssi") >= 8) & (c >= 12), F.when(F.col("n_deauth") > 0, "critical").otherwise("warning"), c, F.lit(""))
+
+
+def _deauth_flood() -> Column:
+    """With the time from the first to the last, and how often each reason was given."""
+    reasons = F.array_join(F.transform(F.array_sort("gone_reasons"), lambda x: F.concat(x["reason"], F.lit(":"), x["n"])), " ")
+    return _finding("deauth_flood", F.col("n_deauth") >= 5, "critical", F.col("n_deauth"), F.concat_ws(" ", F.format_string("%.2f s", "deauth_window_s"), F.nullif(reasons, F.lit(""))))
+
+
+def _eapol_retransmissions() -> Column:
+    """A finding for each message seen more than twice, with who stopped answering."""
+    of = lambda i: _finding("eapol_retransmission", F.col(f"m{i}") > 2, "critical", F.col(f"m{i}"), F.lit(f"M{i} " + ("station" if i % 2 else "AP")))
+    return F.concat(*map(of, (1, 2, 3, 4)))
+
+
+def _key_reinstallation() -> Column:
+    """M3 again after the handshake was complete, and whether the replay counters increase."""
+    up = (F.col("m3_least") < F.col("m3_most")) & ~F.col("m3_falls")
+    return _finding("key_reinstallation", (F.col("m3") >= 2) & (F.col("m4") > 0) & (F.col("m3_after_m4") > 0), "critical", F.col("m3_after_m4"), F.when(up, "increasing").otherwise("not increasing"))
+
+
+def _incomplete_handshake() -> Column:
+    c = F.col
+    missing = F.array_compact(F.array(*(F.when(c(f"m{i}") == 0, F.lit(f"M{i}")) for i in (1, 2, 3, 4))))
+    return _finding("incomplete_handshake", ((c("m1") > 0) | (c("m2") > 0)) & ~((c("m3") > 0) & (c("m4") > 0)), "critical", F.lit(0.0), F.array_join(missing, ", "))
+
+
+def _roam_churn() -> Column:
+    many = F.size("roams") - 1
+    again = F.size(F.array_distinct("roams")) < F.size("roams")
+    return _finding("roam_churn", many >= 3, F.when(again, "critical").otherwise("warning"), many, F.array_join("roams", " > "))
+
+
+def _bad_fcs() -> Column:
+    rate = F.col("n_bad") / F.col("n_frames")
+    return _finding("bad_fcs", (F.col("n_bad") > 0) & (rate >= 0.05), F.when(rate < 0.20, "warning").otherwise("critical"), rate, F.lit(""))
+
+
+def _unprotected_mgmt() -> Column:
+    own = F.col("akm").isNotNull() & ~F.col("akm").isin("SAE", "FT-SAE", "OWE") & (F.col("n_unprotected") > 0)
+    return _finding("unprotected_management_frames", own, "info", F.col("n_unprotected"), F.col("akm"))
+
+
+FINDINGS = (_excessive_retries, _weak_signal, _rssi_collapse, _deauth_flood, _eapol_retransmissions, _key_reinstallation, _incomplete_handshake, _roam_churn, _bad_fcs, _unprotected_mgmt)
+
+
+def found(facts: DataFrame, *findings) -> DataFrame:
+    """capture_id, detector, severity, value, detail: what the given findings (all by default) make of each capture, in one projection."""
+    return facts.select("capture_id", F.inline(F.concat(*(f() for f in findings or FINDINGS))))
+
+
+def detect_excessive_retries(facts: DataFrame) -> DataFrame:
+    return found(facts, _excessive_retries)
+
+
+def detect_weak_signal(facts: DataFrame) -> DataFrame:
+    return found(facts, _weak_signal)
+
+
+def detect_rssi_collapse(facts: DataFrame) -> DataFrame:
+    return found(facts, _rssi_collapse)
 
 
 def detect_deauth_flood(facts: DataFrame) -> DataFrame:
-    return _finding(facts.where("n_deauth >= 5"), "deauth_flood", "critical", F.col("n_deauth"), F.format_string("%.2f s", "deauth_window_s"))
+    return found(facts, _deauth_flood)
 
 
 def detect_eapol_retransmissions(facts: DataFrame) -> DataFrame:
-    """A finding for each message seen more than twice, with who stopped answering."""
-    each = F.array(*(F.struct(F.lit(f"M{i}").alias("message"), F.col(f"m{i}").alias("n"), F.lit("station" if i % 2 else "AP").alias("silent")) for i in (1, 2, 3, 4)))
-    rows = facts.select("capture_id", F.inline(F.filter(each, lambda x: x["n"] > 2)))
-    return _finding(rows, "eapol_retransmission", "critical", F.col("n"), F.concat_ws(" ", "message", "silent"))
+    return found(facts, _eapol_retransmissions)
 
 
-def detect_key_reinstallation(facts: DataFrame, frames: DataFrame | None = None) -> DataFrame:
-    """M3 again after the handshake was complete; with frames, whether the replay counters increase."""
-    rows = facts.where("m3 >= 2 and m4 > 0 and m3_after_m4 > 0")
-    detail = F.lit("")
-    if frames is not None:
-        m3 = with_kind(frames).where((F.col("kind") == "eapol_m3") & F.col("replay_counter").isNotNull())
-        falls = m3.withColumn("_falls", F.coalesce(F.lag("replay_counter").over(by_frame()) > F.col("replay_counter"), F.lit(False)))
-        up = falls.groupBy("capture_id").agg(((F.countDistinct("replay_counter") > 1) & ~F.bool_or("_falls")).alias("_up"))
-        rows, detail = rows.join(up, "capture_id", "left"), F.when(F.col("_up"), "increasing").otherwise("not increasing")
-    return _finding(rows, "key_reinstallation", "critical", F.col("m3_after_m4"), detail)
+def detect_key_reinstallation(facts: DataFrame) -> DataFrame:
+    return found(facts, _key_reinstallation)
 
 
 def detect_incomplete_handshake(facts: DataFrame) -> DataFrame:
-    missing = F.array_compact(F.array(*(F.when(F.col(f"m{i}") == 0, F.lit(f"M{i}")) for i in (1, 2, 3, 4))))
-    return _finding(facts.where("(m1 > 0 or m2 > 0) and not (m3 > 0 and m4 > 0)"), "incomplete_handshake", "critical", F.lit(0.0), F.array_join(missing, ", "))
+    return found(facts, _incomplete_handshake)
 
 
-def detect_roam_churn(roams: DataFrame) -> DataFrame:
-    return _finding(roams.where("transitions >= 3"), "roam_churn", F.when(F.col("pingpong"), "critical").otherwise("warning"), F.col("transitions"), F.array_join("sequence", " > "))
+def detect_roam_churn(facts: DataFrame) -> DataFrame:
+    return found(facts, _roam_churn)
 
 
 def detect_bad_fcs(facts: DataFrame) -> DataFrame:
-    rate = F.col("n_bad") / F.col("n_frames")
-    return _finding(facts.where((F.col("n_bad") > 0) & (rate >= 0.05)), "bad_fcs", F.when(rate < 0.20, "warning").otherwise("critical"), rate, F.lit(""))
+    return found(facts, _bad_fcs)
 
 
 def detect_unprotected_mgmt(facts: DataFrame) -> DataFrame:
-    own = facts.where(F.col("akm").isNotNull() & ~F.col("akm").isin("SAE", "FT-SAE", "OWE") & (F.col("n_unprotected") > 0))
-    return _finding(own, "unprotected_management_frames", "info", F.col("n_unprotected"), F.col("akm"))
+    return found(facts, _unprotected_mgmt)
 
 
 def scan_captures(frames: DataFrame) -> DataFrame:
-    """The findings of all detectors."""
-    facts = capture_facts(frames)
-    plain = (detect_excessive_retries, detect_weak_signal, detect_rssi_collapse, detect_deauth_flood, detect_eapol_retransmissions, detect_incomplete_handshake, detect_bad_fcs, detect_unprotected_mgmt)
-    found = [d(facts) for d in plain] + [detect_key_reinstallation(facts, frames), detect_roam_churn(roam_sequence(frames))]
-    return reduce(DataFrame.unionByName, found)
+    """The findings of all detectors: one reading of the frames, one shuffle, one aggregate."""
+    return found(capture_facts(frames))
 
 
 def rank_anomalies(found: DataFrame) -> DataFrame:
@@ -236,18 +288,17 @@ def collapse_data_frames(frames: DataFrame) -> DataFrame:
     """Runs of data frames, closed by any other frame or after the frame 1 s or more from the run's first: n, retries, their share, and a warning over 20%. The greedy cut is a fold over each run, which ends at any other frame."""
     rows = with_kind(frames).withColumns({"ms": (F.col("time_s") * 1000).cast("long"), "is_data": (F.col("ftype") == 2) & F.col("key_info").isNull()})
     rows = rows.withColumn("run", F.sum((~F.col("is_data")).cast("int")).over(by_frame())).where("is_data")
-    ordered = F.array_sort(F.collect_list(F.struct("frame_index", "ms", "retry")))
-    runs = rows.groupBy("capture_id", "run").agg(ordered.alias("f"))
-    item = "array<struct<frame_index:int,ms:bigint,retry:boolean,bucket:bigint>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("bucket"), F.array().cast(item).alias("out"))
+    # the frames that begin a bucket, from a fold over the run's clock; each frame then belongs to the last that has begun
+    ordered = F.array_sort(F.collect_list(F.struct("frame_index", "ms")))
+    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<int>").alias("begins"))
 
     def step(s: Column, x: Column) -> Column:
         at = F.coalesce(s["at"], x["ms"])
-        done = x["ms"] - at >= 1000
-        here = F.struct(x["frame_index"].alias("frame_index"), x["ms"].alias("ms"), x["retry"].alias("retry"), s["bucket"].alias("bucket"))
-        return F.struct(F.when(~done, at).alias("at"), F.when(done, s["bucket"] + 1).otherwise(s["bucket"]).alias("bucket"), F.concat(s["out"], F.array(here)).alias("out"))
+        return F.struct(F.when(x["ms"] - at < 1000, at).alias("at"), F.when(s["at"].isNull(), F.concat(s["begins"], F.array(x["frame_index"]))).otherwise(s["begins"]).alias("begins"))
 
-    each = runs.select("capture_id", "run", F.inline(F.aggregate("f", start, step, lambda s: s["out"])))
+    begins = rows.groupBy("capture_id", "run").agg(ordered.alias("f")).select("capture_id", "run", F.explode(F.aggregate("f", start, step, lambda s: s["begins"])).alias("frame_index"), F.lit(1).alias("begin"))
+    run = W.partitionBy("capture_id", "run").orderBy("frame_index")
+    each = rows.join(begins, ["capture_id", "run", "frame_index"], "left").withColumn("bucket", F.count("begin").over(run))
     out = each.groupBy("capture_id", "run", "bucket").agg(F.min("frame_index").alias("frame_index"), F.min("ms").alias("monotonic_ms"), F.count("*").alias("n"), F.count_if("retry").alias("retries"))
     share = F.col("retries") / F.col("n")
     return out.withColumns({"retry_share": share, "severity": F.when(share > 0.2, "warning").otherwise("info")})

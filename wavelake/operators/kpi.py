@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kpi as f
+from ..session import written
 
 #: Baselines have a row for each scope; beyond this many they are joined by shuffle.
 MOST_BROADCAST_SCOPES = 100_000
@@ -69,7 +70,7 @@ def baselines(kpi: DataFrame, window: int = 200, min_n: int = 8) -> DataFrame:
 
 def kpi_vs_baseline(kpi: DataFrame, base: DataFrame, most: int = MOST_BROADCAST_SCOPES) -> DataFrame:
     """Every usable sample with its scope's baseline, if there is one. The baselines are broadcast if they are at most `most`."""
-    right = base.drop("unit")
+    right = written(base.drop("unit"), "baselines")  # computed once, for its size and for the join
     small = right.limit(most + 1).count() <= most
     return usable(kpi).withColumn("scope_key", f.scope_key()).join(F.broadcast(right) if small else right, "scope_key", "left")
 
@@ -91,7 +92,11 @@ def verdicts(joined: DataFrame, min_n: int = 8, min_relative: float = 0.25, z: t
         .when(c("got_worse") & ((F.abs("z") >= z[0]) | (c("ratio") >= ratio[0])), "warning")
         .otherwise("ok")
     )
-    return out.withColumn("verdict", verdict)
+    regressed = c("verdict").isin("critical", "warning")
+    by_z = F.abs("z") >= F.when(c("verdict") == "critical", z[1]).otherwise(z[0])
+    why = F.when(regressed & by_z, "z-score").when(regressed, F.format_string("%.1fx worse than baseline", "ratio")).when(c("verdict") == "improved", "improved")
+    noisy = F.when(c("noisy") & (c("verdict") != "improved"), "noisy baseline")
+    return out.withColumn("verdict", verdict).withColumn("reason", F.concat_ws(", ", why, noisy))
 
 
 def detect_regressions(kpi: DataFrame, base: DataFrame, **limits) -> DataFrame:

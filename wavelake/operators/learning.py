@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 
 SUBSAMPLE = 256
+#: The score that cuts off the outliers is off by 1 / RANKS of all rows in rank at most.
+RANKS = 100_000
 HISTORY = ("runs", "pass_rate", "flake_rate", "transitions", "transition_rate", "longest_streak")
 
 
@@ -72,9 +74,10 @@ def isolation_forest(cells: DataFrame, contamination: float = 0.05, seed: int =
         reason = f"only {n} rows, need {min_rows}" if n < min_rows else "no feature is present across all rows"
         return cells.select("run_id").distinct().select("run_id", F.lit(None).cast("double").alias("score"), F.lit(False).alias("is_anomaly"), F.lit(False).alias("trained"), F.lit(reason).alias("reason"))
     size = min(SUBSAMPLE, n)
-    tree = spark.range(trees).select(F.col("id").alias("tree"))
-    keep = min(1.0, 4.0 * size / n)  # enough candidates for each tree, so that no tree sorts all rows
-    drawn = wide.crossJoin(F.broadcast(tree)).withColumn("h", F.xxhash64("run_id", "tree", F.lit(seed))).where(F.pmod("h", F.lit(1_000_000)) < int(1_000_000 * keep))
+    keep = int(min(1.0, 4.0 * size / n) * (1 << 40))  # enough candidates for each tree, so that no tree sorts all rows
+    # each row is copied for the trees that want it alone
+    wants = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("run_id", t.cast("long"), F.lit(seed)), F.lit(1 << 40)) < keep)
+    drawn = wide.withColumn("tree", F.explode(wants).alias("tree")).withColumn("tree", F.col("tree").cast("long")).withColumn("h", F.xxhash64("run_id", "tree", F.lit(seed)))
     drawn = drawn.withColumn("r", F.row_number().over(W.partitionBy("tree").orderBy("h"))).where(F.col("r") <= size)
     depth = int(np.ceil(np.log2(max(size, 2))))
 
@@ -95,13 +98,13 @@ def isolation_forest(cells: DataFrame, contamination: float = 0.05, seed: int =
                 x = np.stack(b["x"].to_numpy())
                 yield pd.DataFrame({"run_id": b["run_id"], "score": 2 ** (-np.mean([walk(t, x) for t in shared.value], 0) / scale)})
 
-    scored = wide.mapInPandas(score, f"run_id {dict(cells.dtypes)['run_id']}, score double")
-    cut = scored.agg(F.percentile("score", 1 - contamination).alias("cut"))
+    scored = written(wide.mapInPandas(score, f"run_id {dict(cells.dtypes)['run_id']}, score double"), "scores")
+    cut = scored.agg(F.percentile_approx("score", 1 - contamination, RANKS).alias("cut"))
     return scored.crossJoin(F.broadcast(cut)).select("run_id", "score", (F.col("score") > F.col("cut")).alias("is_anomaly"), F.lit(True).alias("trained"), F.lit("").alias("reason"))
 
 
 def flake_classifier(history: DataFrame, truth: DataFrame, seed: int = 42, trees: int = 200, test: float = 0.3, key: str = "nodeid") -> DataFrame | None:
-    """key, truth, predicted, in_test, with precision, recall, f1, trusted (five positives in the test part at least) of a random forest on history features; None for fewer than eight rows or one class."""
+    """key, truth, predicted, in_test, with precision, recall, f1, trusted (five positives in the test part at least) and importances (features with their share, the greatest first) of a random forest on history features; None for fewer than eight rows or one class."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
@@ -110,7 +113,7 @@ def flake_classifier(history: DataFrame, truth: DataFrame, seed: int = 42, trees
     rows = labelled_intersection(history, truth, key).withColumn("label", F.col("truth").cast("double"))
     w = W.partitionBy("label").orderBy(F.xxhash64(key, F.lit(seed)))
     n = F.count("*").over(W.partitionBy("label"))
-    rows = rows.withColumns({"in_test": F.row_number().over(w) <= F.round(n * test), "n": n, "all": F.count("*").over(W.partitionBy())})
+    rows = rows.withColumns({"in_test": F.row_number().over(w) <= F.round(n * test), "n": n}).crossJoin(F.broadcast(rows.agg(F.count("*").alias("all"))))
     rows = VectorAssembler(inputCols=list(HISTORY), outputCol="features").transform(rows.withColumns({c: F.col(c).cast("double") for c in HISTORY}).withColumn("weight", F.col("all") / (2 * F.col("n")))).persist()
     if rows.count() < 8 or rows.select("label").distinct().count() < 2:
         return None
@@ -120,4 +123,6 @@ def flake_classifier(history: DataFrame, truth: DataFrame, seed: int = 42, trees
     score = out.where("in_test").agg(F.count_if(c("predicted") & c("truth")).alias("tp"), F.count_if(c("predicted") & ~c("truth")).alias("fp"), F.count_if(~c("predicted") & c("truth")).alias("fn"))
     share = lambda x: F.when(c("tp") + c(x) > 0, c("tp") / (c("tp") + c(x))).otherwise(0.0)
     score = score.select(share("fp").alias("precision"), share("fn").alias("recall"), F.when(2 * c("tp") + c("fp") + c("fn") > 0, 2 * c("tp") / (2 * c("tp") + c("fp") + c("fn"))).otherwise(0.0).alias("f1"), (c("tp") + c("fn") >= 5).alias("trusted"))
-    return out.crossJoin(F.broadcast(score))
+    weights = sorted(zip(HISTORY, model.featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+    told = F.array(*(F.struct(F.lit(k).alias("feature"), F.lit(v).alias("importance")) for k, v in weights))
+    return out.crossJoin(F.broadcast(score)).withColumn("importances", told)

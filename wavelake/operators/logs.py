@@ -7,12 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import logs as f
-from ..session import ship
+from ..session import numbered, ship
 
 WILD = "<*>"
 
@@ -49,7 +49,7 @@ def parse_mixed_log(raw: DataFrame) -> DataFrame:
         F.coalesce(F.last("_ms", ignorenulls=True).over(w), F.lit(0)).alias("monotonic_ms"),
         pick("level", F.lit("INFO")).alias("level"),
         pick("component", F.lit("unparsed")).alias("component"),
-        pick("message", F.col("raw")).alias("message"),
+        pick("message", F.regexp_replace("raw", r"^\s+|\s+$", "")).alias("message"),
         F.when(is_sim, "sim").when(is_unified, "unified").otherwise("unparsed").alias("source"),
     )
     return out.withColumn("fields", f.extract_fields(F.col("message")))
@@ -73,33 +73,57 @@ def transitions(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("message").contains("state transition")).select("tag", "line_no", "monotonic_ms", get("from").alias("from"), get("event").alias("event"), get("to").alias("to")).where("`from` is not null and `to` is not null")
 
 
+def _is_transition() -> Column:
+    return F.col("message").contains("state transition") & F.element_at("fields", "from").isNotNull() & F.element_at("fields", "to").isNotNull()
+
+
 def state_path(lines: DataFrame) -> DataFrame:
-    """The last six states of each tag, and the final one."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "to"))), lambda x: x["to"])
-    out = transitions(lines).groupBy("tag").agg(F.count("*").alias("n_transitions"), ordered.alias("states"))
-    last = F.slice("states", F.greatest(F.lit(1), F.size("states") - 5), 6)
-    return out.select("tag", "n_transitions", F.array_join(last, ">").alias("path"), F.element_at("states", -1).alias("final_state"))
+    """The last six states of each tag, and the final one. No more than six of a tag's transitions are gathered."""
+    out = _with_rank(lines).groupBy("tag").agg(F.count_if("_is").alias("n_transitions"), _last_states().alias("states")).where("n_transitions > 0")
+    return out.select("tag", "n_transitions", F.array_join("states", ">").alias("path"), F.element_at("states", -1).alias("final_state"))
+
+
+def _with_rank(lines: DataFrame) -> DataFrame:
+    """lines with _is (a transition) and _rank: 1 for the last transition of a tag, 2 for the one before."""
+    rows = lines.withColumn("_is", F.coalesce(_is_transition(), F.lit(False)))
+    return rows.withColumn("_rank", F.count_if("_is").over(W.partitionBy("tag").orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def _last_states() -> Column:
+    own = F.when(F.col("_is") & (F.col("_rank") <= 6), F.struct("line_no", F.element_at("fields", "to").alias("to")))
+    return F.transform(F.array_sort(F.collect_list(own)), lambda x: x["to"])
 
 
 def illegal_transitions(lines: DataFrame, legal: DataFrame) -> DataFrame:
     """Transitions that the table (from, event, to) hasn't, and whether the line before ended in another state."""
     w = W.partitionBy("tag").orderBy("line_no")
     seen = transitions(lines).withColumn("broken", F.coalesce(F.lag("to").over(w) != F.col("from"), F.lit(False)))
-    return seen.join(F.broadcast(legal), ["from", "event", "to"], "left_anti")
+    return seen.join(legal, ["from", "event", "to"], "left_anti")
 
 
 def log_summary(lines: DataFrame) -> DataFrame:
-    """One row for each tag: totals, errors, duration, levels and components, codes, path."""
-    r, s = f.int_field(F.col("fields"), "reason"), f.int_field(F.col("fields"), "status")
-    order = lambda x: F.transform(F.array_sort(F.filter(F.collect_list(F.struct("line_no", x.alias("x"))), lambda y: y["x"].isNotNull())), lambda y: y["x"])
-    base = lines.groupBy("tag").agg(
-        F.count("*").alias("total"), F.count_if(F.col("level") == "ERROR").alias("n_errors"), F.count_if(F.col("level") == "WARN").alias("n_warnings"),
-        (F.max_by("monotonic_ms", "line_no") - F.min_by("monotonic_ms", "line_no")).alias("duration_ms"), order(r).alias("reason_codes"), order(F.when(s != 0, s)).alias("status_codes"),
+    """One row for each tag: totals, errors, duration, levels and components, codes, path. Lines are counted once by (tag, level, component) and these cells rolled up; lines that come from parse_mixed_log lie by tag already, so nothing is shuffled again."""
+    c = F.col
+    r, s = f.int_field(c("fields"), "reason"), f.int_field(c("fields"), "status")
+    coded = lambda x, ok: F.collect_list(F.when(ok, F.struct("line_no", x.alias("x"))))
+    rows = _with_rank(lines).withColumns({"_r": r, "_s": s})
+    own = F.when(c("_is") & (c("_rank") <= 6), F.struct("line_no", F.element_at("fields", "to").alias("x")))
+    cells = rows.groupBy("tag", "level", "component").agg(
+        F.count("*").alias("n"), F.min(F.struct("line_no", "monotonic_ms")).alias("first"), F.max(F.struct("line_no", "monotonic_ms")).alias("last"),
+        coded(c("_r"), c("_r").isNotNull()).alias("reasons"), coded(c("_s"), c("_s") != 0).alias("statuses"), F.count_if("_is").alias("moves"), F.collect_list(own).alias("states"),
+    )
+    flat = lambda x: F.transform(F.array_sort(F.flatten(F.collect_list(x))), lambda y: y["x"])
+    out = cells.groupBy("tag").agg(
+        F.sum("n").alias("total"), F.sum(F.when(c("level") == "ERROR", c("n")).otherwise(0)).alias("n_errors"), F.sum(F.when(c("level") == "WARN", c("n")).otherwise(0)).alias("n_warnings"),
+        (F.max("last")["monotonic_ms"] - F.min("first")["monotonic_ms"]).alias("duration_ms"), flat("reasons").alias("reason_codes"), flat("statuses").alias("status_codes"),
+        F.collect_list(F.struct("level", "component", "n")).alias("cells"), F.sum("moves").alias("n_transitions"), flat("states").alias("states"),
     )
-    for column in ("level", "component"):
-        each = lines.groupBy("tag", column).agg(F.count("*").alias("n"))
-        base = base.join(each.groupBy("tag").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(f"by_{column}")), "tag")
-    return base.join(state_path(lines), "tag", "left").fillna(0, ["n_transitions"])
+
+    def by(name: str) -> Column:
+        total = lambda x: F.aggregate(F.filter("cells", lambda y: y[name] == x), F.lit(0).cast("long"), lambda n, y: n + y["n"])
+        return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.transform("cells", lambda y: y[name]))), lambda x: F.struct(x.alias(name), total(x).alias("n"))))
+
+    return out.withColumns({"by_level": by("level"), "by_component": by("component"), "path": F.nullif(F.array_join("states", ">"), F.lit("")), "final_state": F.try_element_at("states", F.lit(-1))}).drop("cells", "states")
 
 
 def distinct_statements(lines: DataFrame, scope: list[str]) -> DataFrame:
@@ -153,24 +177,27 @@ def drain_templates(lines: DataFrame, scope: list[str] | None = None, threshold:
     kinds = dict(lines.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in scope), "length int, key1 string, key2 string, tokens array<string>, hits long", f"first struct<tag:{kinds['tag']},line_no:{kinds['line_no']}>", "examples array<string>"])
     out = rows.groupBy(*scope, "length", "key1", "key2").applyInPandas(mine, schema)
-    order = W.partitionBy(*scope).orderBy("first") if scope else W.orderBy("first")  # templates are few: one for each statement of the programs
-    return out.withColumn("template_id", F.row_number().over(order).cast("long"))
+    if scope:
+        return out.withColumn("template_id", F.row_number().over(W.partitionBy(*scope).orderBy("first")).cast("long"))
+    return numbered(out, "first", "template_id").withColumn("template_id", F.col("template_id").cast("long") + 1)
 
 
 def match_template(lines: DataFrame, templates: DataFrame, threshold: float = 0.5) -> DataFrame:
     """lines with the best template of their length (the earliest among equals), or none. Distinct statements are matched, not lines."""
     rows = lines.withColumn("tokens", f.tokens(F.col("message"))).withColumn("length", F.size("tokens"))
     known = templates.select("template_id", F.col("tokens").alias("pattern"), "length", "key1", "key2")
-    own = rows.select("tokens", "length").distinct()
-    one = lambda i, key: (F.col(key) == WILD) | (F.col(key) == F.coalesce(F.get("tokens", F.lit(i)), F.lit("")))
-    pairs = own.join(known, "length").where(one(0, "key1") & one(1, "key2"))
+    # a statement goes to the leaves of its own first tokens and to the shared ones
+    one = lambda i: F.array_distinct(F.array(F.coalesce(F.get("tokens", F.lit(i)), F.lit("")), F.lit(WILD)))
+    own = rows.select("tokens", "length").distinct().withColumn("key1", F.explode(one(0))).withColumn("key2", F.explode(one(1)))
+    pairs = own.join(known, ["length", "key1", "key2"])
     score = F.aggregate(F.zip_with("tokens", "pattern", lambda a, b: ((a == b) | (b == WILD)).cast("int")), F.lit(0), lambda n, x: n + x) / F.col("length")
     best = pairs.withColumn("score", score).where(F.col("score") >= threshold).groupBy("tokens").agg(F.max_by("template_id", F.struct("score", -F.col("template_id"))).alias("template_id"))
     return rows.join(best, "tokens", "left").drop("tokens", "length")
 
 
 def top_templates(templates: DataFrame, k: int = 25) -> DataFrame:
-    return templates.withColumn("rank", F.row_number().over(W.orderBy(F.desc("hits"), "template_id"))).where(F.col("rank") <= k)
+    first = templates.orderBy(F.desc("hits"), "template_id").limit(k)  # only these are ranked in one task
+    return first.withColumn("rank", F.row_number().over(W.orderBy(F.desc("hits"), "template_id")))
 
 
 def compression_ratio(lines: DataFrame, templates: DataFrame) -> DataFrame:

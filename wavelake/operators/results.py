@@ -188,9 +188,10 @@ def upsert_templates(base: DataFrame, hits: DataFrame) -> DataFrame:
     return base.unionByName(new).groupBy("template").agg(F.sum("hit_count").alias("hit_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
-def insert_ignore(base: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of unseen keys, one for each."""
-    return rows.dropDuplicates(keys).join(base.select(*keys).distinct(), keys, "left_anti")
+def insert_ignore(base: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of unseen keys, the first in order of each."""
+    fresh = rows.join(base.select(*keys).distinct(), keys, "left_anti")
+    return fresh.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_rank = 1").drop("_rank")
 
 
 def close_run(runs: DataFrame, ends: DataFrame) -> DataFrame:

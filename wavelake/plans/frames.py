@@ -38,7 +38,7 @@ S = {
     "excessive_retries": "SELECT capture_id, 'excessive_retries' AS detector, CASE WHEN retry_rate >= 0.40 THEN 'critical' ELSE 'warning' END AS severity, retry_rate AS value, data_retries || '/' || n_data_frames AS detail FROM facts WHERE n_data_frames >= 10 AND retry_rate >= 0.20",
     "weak_signal": "SELECT capture_id, 'weak_signal' AS detector, CASE WHEN rssi_min <= -88 THEN 'critical' ELSE 'warning' END AS severity, CAST(rssi_min AS DOUBLE) AS value, printf('mean %.6f', rssi_mean) AS detail FROM facts WHERE rssi_min <= -80",
     "rssi_collapse": "SELECT capture_id, 'rssi_collapse' AS detector, CASE WHEN n_deauth > 0 THEN 'critical' ELSE 'warning' END AS severity, rssi_thirds_drop AS value, '' AS detail FROM facts WHERE n_rssi >= 8 AND rssi_thirds_drop >= 12",
-    "deauth_flood": "SELECT capture_id, 'deauth_flood' AS detector, 'critical' AS severity, CAST(n_deauth AS DOUBLE) AS value, printf('%.2f s', deauth_window_s) AS detail FROM facts WHERE n_deauth >= 5",
+    "deauth_flood": f"SELECT facts.capture_id, 'deauth_flood' AS detector, 'critical' AS severity, CAST(n_deauth AS DOUBLE) AS value, concat_ws(' ', printf('%.2f s', deauth_window_s), why) AS detail FROM facts LEFT JOIN (SELECT capture_id, string_agg(reason_code || ':' || c, ' ' ORDER BY reason_code) AS why FROM (SELECT capture_id, reason_code, count(*) AS c FROM k WHERE {GONE} AND reason_code IS NOT NULL GROUP BY ALL) GROUP BY capture_id) USING (capture_id) WHERE n_deauth >= 5",
     "eapol_retransmission": " UNION ALL ".join(f"SELECT capture_id, 'eapol_retransmission' AS detector, 'critical' AS severity, CAST(m{i} AS DOUBLE) AS value, 'M{i} {'station' if i % 2 else 'AP'}' AS detail FROM facts WHERE m{i} > 2" for i in (1, 2, 3, 4)),
     "key_reinstallation": "SELECT capture_id, 'key_reinstallation' AS detector, 'critical' AS severity, CAST(m3_after_m4 AS DOUBLE) AS value, CASE WHEN up THEN 'increasing' ELSE 'not increasing' END AS detail FROM facts LEFT JOIN ups USING (capture_id) WHERE m3 >= 2 AND m4 > 0 AND m3_after_m4 > 0",
     "incomplete_handshake": "SELECT capture_id, 'incomplete_handshake' AS detector, 'critical' AS severity, CAST(0 AS DOUBLE) AS value, concat_ws(', ', CASE WHEN m1 = 0 THEN 'M1' END, CASE WHEN m2 = 0 THEN 'M2' END, CASE WHEN m3 = 0 THEN 'M3' END, CASE WHEN m4 = 0 THEN 'M4' END) AS detail FROM facts WHERE (m1 > 0 OR m2 > 0) AND NOT (m3 > 0 AND m4 > 0)",
@@ -134,9 +134,9 @@ for _name, _d, _run in (
     ("detect_rssi_collapse", "rssi_collapse", lambda s, d: op.detect_rssi_collapse(facts(s, d))),
     ("detect_deauth_flood", "deauth_flood", lambda s, d: op.detect_deauth_flood(facts(s, d))),
     ("detect_eapol_retransmissions", "eapol_retransmission", lambda s, d: op.detect_eapol_retransmissions(facts(s, d))),
-    ("detect_key_reinstallation", "key_reinstallation", lambda s, d: op.detect_key_reinstallation(facts(s, d), frames(s, d))),
+    ("detect_key_reinstallation", "key_reinstallation", lambda s, d: op.detect_key_reinstallation(facts(s, d))),
     ("detect_incomplete_handshake", "incomplete_handshake", lambda s, d: op.detect_incomplete_handshake(facts(s, d))),
-    ("detect_roam_churn", "roam_churn", lambda s, d: op.detect_roam_churn(op.roam_sequence(frames(s, d)))),
+    ("detect_roam_churn", "roam_churn", lambda s, d: op.detect_roam_churn(facts(s, d))),
     ("detect_bad_fcs", "bad_fcs", lambda s, d: op.detect_bad_fcs(facts(s, d))),
     ("detect_unprotected_mgmt", "unprotected_management_frames", lambda s, d: op.detect_unprotected_mgmt(facts(s, d))),
 ):

@@ -115,10 +115,10 @@ def kpi_vs_baseline(spark, sf):
     return rounded(op.kpi_vs_baseline(k, op.baselines(k)).select("id", "scope_key", "value", "n", "median", "mad"), "median", "mad")
 
 
-@query("detect_regressions", f"{REGRESSIONS} SELECT id, run_id, scope_key, value, {r('z', 'relative', 'ratio')}, noisy, verdict FROM found")
+@query("detect_regressions", f"{REGRESSIONS} SELECT id, run_id, scope_key, value, {r('z', 'relative', 'ratio')}, noisy, verdict, concat_ws(', ', CASE WHEN verdict IN ('critical', 'warning') THEN CASE WHEN abs(z) >= CASE verdict WHEN 'critical' THEN 7.0 ELSE 3.5 END THEN 'z-score' ELSE format('{{:.1f}}x worse than baseline', ratio) END WHEN verdict = 'improved' THEN 'improved' END, CASE WHEN noisy AND verdict <> 'improved' THEN 'noisy baseline' END) AS reason FROM found")
 def detect_regressions(spark, sf):
     k = table(spark, sf, "kpi")
-    return rounded(op.detect_regressions(k, op.baselines(k)).select("id", "run_id", "scope_key", "value", "z", "relative", "ratio", "noisy", "verdict"), "z", "relative", "ratio")
+    return rounded(op.detect_regressions(k, op.baselines(k)).select("id", "run_id", "scope_key", "value", "z", "relative", "ratio", "noisy", "verdict", "reason"), "z", "relative", "ratio")
 
 
 @query("regression_report", f"{REGRESSIONS} SELECT id, scope_key, verdict, count(*) FILTER (verdict IN ('critical', 'warning')) OVER (PARTITION BY scope_key) AS regressions FROM found WHERE verdict <> 'ok'")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import kpi as kp
 from ..operators import learning as op
 from ..operators import results as rs
+from ..session import scratch
 from ..sources import store
 from .fixtures import ctes, table
 from .logs import raw
@@ -16,15 +15,9 @@ from .registry import query
 from .results import truth
 
 
-def place(spark, what):
-    """A new path in the shared folder."""
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="wavelake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+place = scratch
+#: Lines of a log file, and ids of a manifest: so neither is longer than a task can hold.
+LINES, MANIFEST = 100_000, 1_000_000
 
 
 @query("isolation_forest")
@@ -44,13 +37,14 @@ def scan_store(spark, sf):
 
 @query("read_log_text", f"{ctes('log_raw')} SELECT tag, line_no, raw FROM log_raw")
 def read_log_text(spark, sf):
-    """The derived logs, written as text files of one tag each, and read again."""
-    at = place(spark, "logs")
+    """The derived logs, written as text files of LINES lines of one tag, and read again."""
+    at, lines = place(spark, "logs"), raw(spark, sf)
+    part = F.floor((F.col("line_no") - 1) / LINES).cast("long").alias("part")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
-    files = raw(spark, sf).groupBy("tag").agg(F.array_join(ordered, "\n").alias("value"))
-    files.repartition("tag").write.partitionBy("tag").text(at)
-    got = store.read_log_text(spark, f"{at}/tag=*/*.txt")
-    return got.select(F.regexp_extract("path", "tag=([^/]+)/", 1).alias("tag"), "line_no", "raw")
+    lines.groupBy("tag", part).agg(F.array_join(ordered, "\n").alias("value")).write.partitionBy("tag", "part").text(at)
+    got = store.read_log_text(spark, f"{at}/tag=*/part=*/*.txt")
+    before = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int") * LINES
+    return got.select(F.regexp_extract("path", "tag=([^/]+)/", 1).alias("tag"), (F.col("line_no") + before).alias("line_no"), "raw")
 
 
 @query("decode_json_columns", "SELECT event_id, user_id, event_type AS kind FROM events")
@@ -59,14 +53,16 @@ def decode_json_columns(spark, sf):
     return store.decode_json_columns(text, params="user_id bigint, kind string").select("event_id", "params.user_id", "params.kind")
 
 
-@query("read_manifest")
+@query("read_manifest", f"{ctes('results')} SELECT 'deterministic' AS kind, 'r' || id AS tag, 'wpa2' AS scenario, 'NONE' AS fault, CAST(NULL AS BOOLEAN) AS fired, outcome = 'passed' AS ok, CAST(NULL AS INT) AS n_transitions FROM results WHERE id % 3 > 0 UNION ALL SELECT 'flake', 'r' || id, NULL, 'NONE', attempt = 1, NULL, NULL FROM results WHERE id % 3 = 0")
 def read_manifest(spark, sf):
-    """A manifest of the derived runs, written as JSON and read again."""
-    at = place(spark, "manifest")
-    r = table(spark, sf, "results").where("attempt = 1 and run_id <= 40")
-    runs = r.select(F.struct(F.concat(F.lit("r"), "id").alias("tag"), F.lit("wpa2").alias("scenario"), F.lit("NONE").alias("fault"), F.col("id").alias("seed"), F.struct(F.struct((F.col("outcome") == "passed").alias("ok")).alias("result")).alias("summary")).alias("x"))
-    runs.agg(F.collect_list("x").alias("deterministic")).withColumn("flake", F.array().cast("array<struct<tag:string>>")).write.json(at)
-    return store.read_manifest(spark, at)
+    """A manifest of each derived run, written as a line of JSON and read again."""
+    at, c = place(spark, "manifest"), F.col
+    r = table(spark, sf, "results")
+    tag, seed, fixed = F.concat(F.lit("r"), "id").alias("tag"), c("id").alias("seed"), c("id") % 3 > 0
+    one = F.struct(tag, F.lit("wpa2").alias("scenario"), F.lit("NONE").alias("fault"), seed, F.struct(F.struct((c("outcome") == "passed").alias("ok")).alias("result")).alias("summary"))
+    flaky = F.struct(tag, F.lit("NONE").alias("fault"), seed, F.lit(True).alias("injected"), (c("attempt") == 1).alias("fired"))
+    r.groupBy("run_id", F.floor(c("id") / MANIFEST).alias("part")).agg(F.collect_list(F.when(fixed, one)).alias("deterministic"), F.collect_list(F.when(~fixed, flaky)).alias("flake")).drop("run_id", "part").write.json(at)
+    return store.read_manifest(spark, at, lines=True).select("kind", "tag", "scenario", "fault", "fired", "ok", F.when(c("transitions").isNotNull(), F.size("transitions")).alias("n_transitions"))
 
 
 @query("artifact_catalog")
@@ -74,9 +70,12 @@ def artifact_catalog(spark, sf):
     return store.artifact_catalog(spark, sf, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "kind", "sha256")
 
 
-@query("list_captures")
+@query("list_captures", f"{ctes('frames')} SELECT DISTINCT 'capture_id=' || capture_id AS name FROM frames WHERE capture_id LIKE '%1%' ORDER BY name LIMIT 40")
 def list_captures(spark, sf):
-    return store.list_captures(spark, sf, "S", 5, "*.parquet")
+    """The derived frames, written as a folder for each capture; at most 40 names, as the operator's users ask for."""
+    at = place(spark, "captures")
+    table(spark, sf, "frames").write.partitionBy("capture_id").parquet(at)
+    return store.list_captures(spark, at, "1", 40, "*.parquet").where("size > 0").select("name")
 
 
 @query("append_facts", f"{ctes('kpi')} SELECT id, run_id, value FROM kpi")

@@ -13,7 +13,7 @@ LOG = ctes("log_raw")
 SIM = f.SIM_LINE.replace("'", "''")
 PARSED = f"""{LOG}, p AS (SELECT *, regexp_matches(raw, '{SIM}') AS is_sim, regexp_extract(raw, '{SIM}', 2) AS ms_text FROM log_raw WHERE trim(raw) <> ''),
 q AS (SELECT tag, event_id, line_no, raw, is_sim, coalesce(last_value(CASE WHEN is_sim THEN CAST(ms_text AS BIGINT) END IGNORE NULLS) OVER (PARTITION BY tag ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) AS monotonic_ms,
- CASE WHEN is_sim THEN regexp_extract(raw, '{SIM}', 3) ELSE 'INFO' END AS level, CASE WHEN is_sim THEN regexp_extract(raw, '{SIM}', 4) ELSE 'unparsed' END AS component, CASE WHEN is_sim THEN regexp_extract(raw, '{SIM}', 5) ELSE raw END AS message FROM p)"""
+ CASE WHEN is_sim THEN regexp_extract(raw, '{SIM}', 3) ELSE 'INFO' END AS level, CASE WHEN is_sim THEN regexp_extract(raw, '{SIM}', 4) ELSE 'unparsed' END AS component, CASE WHEN is_sim THEN regexp_extract(raw, '{SIM}', 5) ELSE trim(raw) END AS message FROM p)"""
 # values of a key=value field, the last one of a key
 FIELD = lambda key: f"list_last(regexp_extract_all(message, '\\b{key}=(\\S+)', 1))"
 FIELDS = f"{PARSED}, l AS (SELECT *, {FIELD('reason')} AS reason, {FIELD('status')} AS status, {FIELD('from')} AS f_from, {FIELD('event')} AS f_event, {FIELD('to')} AS f_to FROM q)"

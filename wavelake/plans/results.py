@@ -167,11 +167,10 @@ def upsert_templates(spark, sf):
     return op.upsert_templates(base, e.where("event_id % 2 = 1").select(F.col("event_type").alias("template"), F.col("event_id").alias("seen")))
 
 
-@query("insert_ignore", f"{RESULTS}, m AS (SELECT run_id, concat_ws('/', CAST(run_id % 4 AS VARCHAR), nodeid) AS member FROM results) SELECT DISTINCT member FROM m WHERE run_id % 2 = 0 AND member NOT IN (SELECT member FROM m WHERE run_id % 3 = 0 AND member < '2/tests/p')")
+@query("insert_ignore", f"{RESULTS}, m AS (SELECT id, run_id, concat_ws('/', CAST(run_id % 4 AS VARCHAR), nodeid) AS member FROM results) SELECT member, min(id) AS id FROM m WHERE run_id % 2 = 0 AND member NOT IN (SELECT member FROM m WHERE run_id % 3 = 0 AND member < '2/tests/p') GROUP BY member")
 def insert_ignore(spark, sf):
-    r = results(spark, sf)
-    new = r.where("run_id % 2 = 0").select(F.concat_ws("/", F.col("run_id") % 4, "nodeid").alias("member"))
-    return op.insert_ignore(r.where("run_id % 3 = 0").select(F.concat_ws("/", F.col("run_id") % 4, "nodeid").alias("member")).where("member < '2/tests/p'"), new, ["member"])
+    r = results(spark, sf).select("id", "run_id", F.concat_ws("/", F.col("run_id") % 4, "nodeid").alias("member"))
+    return op.insert_ignore(r.where("run_id % 3 = 0 and member < '2/tests/p'"), r.where("run_id % 2 = 0").select("member", "id"), ["member"], "id")
 
 
 @query("close_run", f"{RESULTS}, runs AS (SELECT run_id, max(id) AS finished_at, CAST(NULL AS INT) AS exit_status FROM results GROUP BY run_id) SELECT run_id, CASE WHEN run_id % 4 = 0 THEN run_id * 10 ELSE finished_at END AS finished_at, CASE WHEN run_id % 4 = 0 THEN 1 ELSE exit_status END AS exit_status FROM runs")

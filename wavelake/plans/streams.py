@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kpi as kp
 from ..operators import logs as lg
+from ..session import written
 from ..streaming import streams as st
 from .fixtures import ctes, table
 from .kpi import REGRESSIONS
@@ -15,12 +16,13 @@ from .registry import query
 
 
 def stream(spark, df):
-    """df as a stream of files that come in order of its first column: the lower half of its values, then the upper."""
+    """df as a stream of two batches: the lower half of the values of its first column, then the upper, each in many files by ranges of it."""
     at, key = place(spark, "source"), df.columns[0]
     middle = df.agg(F.percentile_approx(key, 0.5)).first()[0]
-    for half in (df.where(F.col(key) <= middle), df.where(F.col(key) > middle)):
-        half.coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    df.where(F.col(key) <= middle).repartitionByRange(key).write.parquet(at)
+    files = max(1, len(spark.read.schema(df.schema).parquet(at).inputFiles()))
+    df.where(F.col(key) > middle).repartitionByRange(files, key).write.mode("append").parquet(at)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(at)
 
 
 @query("stream_regressions", f"{REGRESSIONS} SELECT id, scope_key, verdict FROM found")
@@ -50,18 +52,12 @@ def stream_jitter(spark, sf):
     return got.groupBy("endpoint_name").agg(F.round(F.max_by("jitter", "batch"), 6).alias("jitter"))
 
 
-def last(spark, at):
-    """The newest version of a table kept by upsert_batches."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(at)
-    names = [int(x.getPath().getName()) for x in hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)]
-    return spark.read.parquet(f"{at}/{max(names)}")
-
-
 @query("stream_template_counts")
 def stream_template_counts(spark, sf):
     l, at = lines(spark, sf).select("line_no", "tag", "message"), place(spark, "counts")
-    st.run(stream(spark, l), place(spark, "checkpoint"), each=st.upsert_batches(at, st.count_templates(lg.drain_templates(l))))
-    return last(spark, at)
+    templates = written(lg.drain_templates(l), "templates")
+    st.run(stream(spark, l), place(spark, "checkpoint"), each=st.append_changes(at, lambda batch: st.template_counts(batch, templates)))
+    return st.sum_counts(st.changes(spark, at, "template_id long, hits long"))
 
 
 @query("stream_results_dedup", f"{ctes('results')} SELECT run_id, nodeid, attempt, id, outcome FROM results")
@@ -69,5 +65,5 @@ def stream_results_dedup(spark, sf):
     r = table(spark, sf, "results").select("id", "run_id", "nodeid", "attempt", "outcome")
     both = r.unionByName(r.where("id % 5 = 0").withColumn("id", F.col("id") - 1_000_000))
     at = place(spark, "latest")
-    st.run(stream(spark, both), place(spark, "checkpoint"), each=st.upsert_batches(at, st.latest_results))
-    return last(spark, at).select("run_id", "nodeid", "attempt", "id", "outcome")
+    st.run(stream(spark, both), place(spark, "checkpoint"), each=st.append_changes(at, st.latest_results))
+    return st.latest_results(st.changes(spark, at, both.schema)).select("run_id", "nodeid", "attempt", "id", "outcome")

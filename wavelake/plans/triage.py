@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import failures as fa
 from ..operators import frames as fr
+from ..operators import kpi as kp
 from ..operators import logs as lg
 from ..operators import timeline as tl
 from ..operators import triage as op
+from ..session import written
 from .fixtures import ctes, table
 from .frames import facts
 from .logs import PARSED, lines
@@ -15,7 +18,7 @@ from .registry import query
 
 DATA = "ftype = 2 AND key_info IS NULL"
 SEVERITY = "CASE level WHEN 'ERROR' THEN 'error' WHEN 'WARN' THEN 'warning' ELSE 'info' END"
-SAMPLES = "SELECT 'tag' || user_id AS tag, event_id AS monotonic_ms, event_id AS id, 'p' || (event_id % 3) AS probe, value, 'ms' AS unit FROM events WHERE event_id % 3 = 0"
+SAMPLES = "SELECT 'tag' || user_id AS tag, event_id AS monotonic_ms, event_id AS id, 'p' || (event_id % 3) AS probe, value, 'ms' AS unit FROM events"
 EVENTS = f"""{PARSED}, ev AS (SELECT tag, monotonic_ms, 2 AS source_rank, line_no AS seq, 'log' AS source, component || ':' AS label, message AS detail, {SEVERITY} AS severity FROM q
 UNION ALL SELECT tag, monotonic_ms, 1, CAST(id AS INT), 'kpi', probe, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) || unit, 'info' FROM ({SAMPLES}))"""
 
@@ -40,6 +43,7 @@ def error_context(spark, sf):
 
 @query("head_tail_events", f"{EVENTS}, e2 AS (SELECT * FROM ev WHERE tag NOT LIKE '%7'  OR severity <> 'error'), fe AS (SELECT *, min(monotonic_ms) FILTER (severity = 'error') OVER (PARTITION BY tag) AS f FROM e2), h AS (SELECT *, f IS NOT NULL AND abs(monotonic_ms - f) <= 1200 AS near FROM fe), r AS (SELECT *, row_number() OVER (PARTITION BY tag, near ORDER BY monotonic_ms, source_rank, seq) AS a, row_number() OVER (PARTITION BY tag ORDER BY monotonic_ms DESC, source_rank DESC, seq DESC) AS b FROM h) SELECT tag, monotonic_ms, source, seq FROM r WHERE (near AND a <= 30) OR (f IS NULL AND b <= 30)")
 def head_tail_events(spark, sf):
+    """Tags that end in 7 lose their errors first, so that there are logs with and without an error window."""
     e = events(spark, sf).where("tag not like '%7' or severity <> 'error'")
     return tl.head_tail_events(e).select("tag", "monotonic_ms", "source", "seq")
 
@@ -87,21 +91,28 @@ def triage_accuracy(spark, sf):
 
 
 NAMES = ("header", "forensics", *op.DROPPED)
-SECTIONS = f"SELECT CAST(event_id AS STRING) AS tag, name, repeat('x', CAST((event_id * 37 + place * 911) % 4000 AS INT)) AS text FROM events CROSS JOIN (VALUES {', '.join(f'({x!r}, {i})' for i, x in enumerate(NAMES))}) AS n(name, place) WHERE event_id % 20 = 0"
+SECTIONS = f"SELECT CAST(event_id AS STRING) AS tag, name, repeat('x', CAST((event_id * 37 + place * 911) % 400 AS INT)) AS text FROM events CROSS JOIN (VALUES {', '.join(f'({x!r}, {i})' for i, x in enumerate(NAMES))}) AS n(name, place)"
 
 
-@query("trim_to_budget", f"WITH s AS ({SECTIONS}), p AS (SELECT *, length(text) AS size, CASE name {' '.join(f'WHEN {x!r} THEN {i}' for i, x in enumerate(op.DROPPED, 1))} ELSE 99 END AS place FROM s), t AS (SELECT *, sum(size) OVER (PARTITION BY tag) AS total, coalesce(sum(size) OVER (PARTITION BY tag ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM p), d AS (SELECT *, place < 99 AND total - gone > 12000 AS dropped FROM t) SELECT tag, name, size, bool_or(dropped) OVER (PARTITION BY tag) AS truncated FROM d QUALIFY NOT dropped")
+@query("trim_to_budget", f"WITH s AS ({SECTIONS}), p AS (SELECT *, length(text) AS size, CASE name {' '.join(f'WHEN {x!r} THEN {i}' for i, x in enumerate(op.DROPPED, 1))} ELSE 99 END AS place FROM s), t AS (SELECT *, sum(size) OVER (PARTITION BY tag) AS total, coalesce(sum(size) OVER (PARTITION BY tag ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM p), d AS (SELECT *, place < 99 AND total - gone > 1200 AS dropped FROM t) SELECT tag, name, size, bool_or(dropped) OVER (PARTITION BY tag) AS truncated FROM d QUALIFY NOT dropped")
 def trim_to_budget(spark, sf):
     s = spark.sql(SECTIONS.replace("FROM events", "FROM {e}"), e=table(spark, sf, "events"))
-    return op.trim_to_budget(s).select("tag", "name", F.col("size").cast("long").alias("size"), "truncated")
+    return op.trim_to_budget(s, 300).select("tag", "name", F.col("size").cast("long").alias("size"), "truncated")
 
 
 @query("failure_bundle")
 def failure_bundle(spark, sf):
     frames = table(spark, sf, "frames")
-    own = lines(spark, sf).withColumn("tag", F.concat(F.lit("cap"), F.substr("tag", F.lit(4))))
+    own = written(lines(spark, sf).withColumn("tag", F.concat(F.lit("cap"), F.substr("tag", F.lit(4)))), "lines")
+    every = written(fr.capture_facts(frames), "facts")
     window = tl.head_tail_events(tl.timeline(own, frames))
-    return op.failure_bundle(fr.connection_forensics(facts(spark, sf)), window, fr.rank_anomalies(fr.scan_captures(frames)), lg.log_summary(own))
+    forensics, mined = fr.connection_forensics(every), written(lg.drain_templates(own), "templates")
+    hits = lg.match_template(own, mined).where("template_id is not null").groupBy("tag", "template_id").agg(F.count("*").alias("hits"))
+    templates = hits.join(mined.select("template_id", F.array_join("tokens", " ").alias("text")), "template_id")
+    clusters = fa.cluster_failures(fa.failure_signature(own, lg.state_path(own), forensics))
+    kpi = table(spark, sf, "kpi")
+    judged = kp.detect_regressions(kpi, kp.baselines(kpi)).join(table(spark, sf, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("cap"), "user_id").alias("tag")), "id")
+    return op.failure_bundle(forensics, window, fr.rank_anomalies(fr.found(every)), lg.log_summary(own), templates, clusters, judged)
 
 
 RADIO = "SELECT event_id, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '149 (5GHz, 80MHz)' WHEN 1 THEN '6 (2.4GHz, 20MHz)' WHEN 2 THEN '37 (6GHz, 160MHz)' WHEN 3 THEN '' ELSE ' 44' END AS channel_text, CASE CAST(event_id % 3 AS INT) WHEN 0 THEN concat('-', CAST(event_id % 90 AS STRING), ' dBm / -89 dBm') WHEN 1 THEN '-64 dBm' ELSE 'garbage' END AS signal_text, CASE CAST(event_id % 4 AS INT) WHEN 0 THEN '802.11be' WHEN 1 THEN 'Wi-Fi 6' WHEN 2 THEN '802.11ac' ELSE '802.11n' END AS phy_text, CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'spairport_security_mode_wpa3_personal' WHEN 1 THEN 'WPA2 Enterprise' WHEN 2 THEN 'wpa2_personal' WHEN 3 THEN 'none' WHEN 4 THEN '802.1X' ELSE 'SAE' END AS security_text FROM events"

@@ -23,9 +23,9 @@ def read_log_text(spark: SparkSession, glob: str) -> DataFrame:
     return lines.where(F.trim("raw") != "").select("path", (F.col("at") + 1).alias("line_no"), "raw")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """kind, tag, scenario, fault, fired, ok, transitions: a row for each run of a corpus manifest."""
-    m = spark.read.schema(MANIFEST).json(path, multiLine=True)
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """kind, tag, scenario, fault, fired, ok, transitions: a row for each run of corpus manifests, one to a file, or to a line."""
+    m = spark.read.schema(MANIFEST).json(path, multiLine=not lines)
     fixed = m.select(F.inline("deterministic")).select(F.lit("deterministic").alias("kind"), "tag", "scenario", "fault", F.lit(None).cast("boolean").alias("fired"), F.col("summary.result.ok").alias("ok"), F.col("summary.transitions").alias("transitions"))
     flaky = m.select(F.inline("flake")).select(F.lit("flake").alias("kind"), "tag", F.lit(None).cast("string").alias("scenario"), "fault", "fired", F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast("array<string>").alias("transitions"))
     return fixed.unionByName(flaky)
@@ -46,11 +46,12 @@ def artifact_catalog(spark: SparkSession, folder: str, pattern: str = "*") -> Da
 
 
 def list_captures(spark: SparkSession, folder: str, contains: str = "", limit: int = 100, pattern: str = "*.pcap") -> DataFrame:
-    """name, size of the files whose stem contains a text, in any case; no content is read."""
+    """name, size of the first captures, files or folders of files below folder, whose stem contains a text, in any case; no content is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    top = folder.rstrip("/").rpartition("/")[2]
+    name = F.element_at(F.split(F.substring_index("path", f"/{top}/", -1), "/"), 1)
     stem = F.lower(F.regexp_replace(name, r"\.[^.]*$", ""))
-    return files.where(stem.contains(contains.lower())).select(name.alias("name"), F.col("length").alias("size")).orderBy("name").limit(limit)
+    return files.where(stem.contains(contains.lower())).groupBy(name.alias("name")).agg(F.sum("length").alias("size")).orderBy("name").limit(limit)
 
 
 def append_facts(df: DataFrame, path: str, *partitions: str) -> None:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kpi as fk
@@ -27,43 +28,48 @@ def stream_kpi_rollup(samples: DataFrame, window: str = "1 hour", late: str = "1
 
 
 def stream_jitter(samples: DataFrame, *keys: str) -> DataFrame:
-    """The jitter of each key after each batch: state is the last value and the jitter so far. Samples of a batch are taken in order of id."""
+    """The jitter of each key after each batch: state is the last value and the jitter so far. Samples of a batch are taken in order of id: a key's id and value are held, two numbers a sample, so the source's limits on a batch bound it."""
     ship(samples.sparkSession)
     kinds = dict(samples.dtypes)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, jitter = state.get if state.exists else (None, 0.0)
-        for value in pd.concat(list(batches)).sort_values("id")["value"]:
+        chunks = [(b["id"].to_numpy(), b["value"].to_numpy()) for b in batches]
+        ids, values = (np.concatenate(x) for x in zip(*chunks, strict=True))
+        for value in values[np.argsort(ids, kind="stable")].tolist():
             jitter, last = jitter + (0.0 if last is None else (abs(value - last) - jitter) / 16), value
         state.update((last, jitter))
         yield pd.DataFrame([(*key, jitter)], columns=[*keys, "jitter"])
 
-    return usable(samples).groupBy(*keys).applyInPandasWithState(step, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", jitter double", "last double, jitter double", "update", "NoTimeout")
+    return usable(samples).select(*keys, "id", "value").groupBy(*keys).applyInPandasWithState(step, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", jitter double", "last double, jitter double", "update", "NoTimeout")
 
 
-def upsert_batches(path: str, update):
-    """A foreachBatch function that keeps a table in versions under path: update(old or None, batch) is the next. A repeated batch writes the version that it wrote before."""
+def append_changes(path: str, change):
+    """A foreachBatch function that keeps a table as changes under path: change(batch) is written once for each batch, and merged when read. A repeated batch writes the change that it wrote before; what is there is never read or written again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{path}/{number - 1}") if number else None
-        update(old, batch).write.mode("overwrite").parquet(f"{path}/{number}")
+        change(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def count_templates(templates: DataFrame):
-    """An update that counts the lines of each template."""
+def changes(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All changes under path, with the number of their batch."""
+    return spark.read.schema(schema).parquet(path)
 
-    def update(old: DataFrame | None, lines: DataFrame) -> DataFrame:
-        new = match_template(lines, templates).where("template_id is not null").groupBy("template_id").agg(F.count("*").alias("hits"))
-        return (new if old is None else old.unionByName(new)).groupBy("template_id").agg(F.sum("hits").alias("hits"))
 
-    return update
+def template_counts(lines: DataFrame, templates: DataFrame) -> DataFrame:
+    """template_id, hits of the lines; sum_counts() merges those of many batches."""
+    return match_template(lines, templates).where("template_id is not null").groupBy("template_id").agg(F.count("*").alias("hits"))
 
 
-def latest_results(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """An update that keeps the newest record of each (run, test, attempt)."""
-    return upsert_latest(batch.limit(0) if old is None else old, batch, ["run_id", "nodeid", "attempt"], "id")
+def sum_counts(all_changes: DataFrame) -> DataFrame:
+    return all_changes.groupBy("template_id").agg(F.sum("hits").alias("hits"))
+
+
+def latest_results(records: DataFrame) -> DataFrame:
+    """The newest record of each (run, test, attempt), of a batch or of the changes of many."""
+    return upsert_latest(records.limit(0), records, ["run_id", "nodeid", "attempt"], "id")
 
 
 def run(stream: DataFrame, checkpoint: str, sink: str | None = None, each=None, mode: str = "append") -> None:
