@@ -95,7 +95,7 @@ def verdicts(joined: DataFrame, min_n: int = 8, min_relative: float = 0.25, z: t
     regressed = c("verdict").isin("critical", "warning")
     by_z = F.abs("z") >= F.when(c("verdict") == "critical", z[1]).otherwise(z[0])
     why = F.when(regressed & by_z, "z-score").when(regressed, F.format_string("%.1fx worse than baseline", "ratio")).when(c("verdict") == "improved", "improved")
-    noisy = F.when(c("noisy") & (c("verdict") != "improved"), "noisy baseline")
+    noisy = F.when((c("noisy") if "noisy" in joined.columns else F.lit(False)) & (c("verdict") != "improved"), "noisy baseline")
     return out.withColumn("verdict", verdict).withColumn("reason", F.concat_ws(", ", why, noisy))
 
 
