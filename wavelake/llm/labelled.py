@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: About how many labelled rows a classifier is fitted on at most: the rows of least hash. Nothing else is sampled.
 SAMPLE = 20_000
 
@@ -16,7 +18,7 @@ def fold(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text, label (0 or 1) of about sample rows outside fold 0. The drawn labels are few, whatever the tables' sizes, so they are broadcast and texts stay where they are."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    own = own.persist()
+    own = written(own, "labels")
     n = own.count()
     if n > sample:
         most = 2**32
