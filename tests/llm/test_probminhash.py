@@ -19,6 +19,8 @@ def jaccards(a, b):
     x, y = weights(a), weights(b)
     every = set(x) | set(y)
     j = len(set(x) & set(y)) / len(every) if every else 0.0
+    if max(x.values(), default=1) == max(y.values(), default=1) == 1:
+        return j, j  # with all weights 1 the sum below is this
     return sum(1 / sum(max(x.get(o, 0) / x[g], y.get(o, 0) / y[g]) for o in every) for g in x if g in y), j
 
 
@@ -90,7 +92,7 @@ def test_classes_against_all_pairs(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
 
 
-def test_large_mixed_buckets_lose_no_link(spark):
+def test_large_mixed_buckets_lose_no_link(spark, monkeypatch):
     """Texts of a passage that all share and a part of their own: all are in each other's buckets, few are alike."""
     rnd, texts = random.Random(4), []
     shared = [f"s{i}" for i in range(60)]
@@ -104,10 +106,28 @@ def test_large_mixed_buckets_lose_no_link(spark):
     assert 60 < len(set(want.values())) < len(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     # one band of one row: nearly all are in one bucket, so all is up to the lists
-    for options in ({}, {"bands": 30, "rows": 1, "small": 2}):
+    for options, block in (({}, 8_000_000), ({"bands": 30, "rows": 1, "small": 2}, 8_000_000), ({"bands": 30, "rows": 1, "small": 2}, 9_000)):
+        monkeypatch.setattr(p, "BLOCK", block)
         assert {r.doc_id: r.class_id for r in p.near_classes(df, **options).collect()} == want
 
 
+def test_links_within_join_what_is_alike():
+    rnd, texts = random.Random(12), []
+    for g in range(6):
+        base = [f"g{g % 3}w{rnd.randrange(40)}" for _ in range(60)]
+        texts += [edited(rnd, base, k) for k in (0, 1, 2, 3, 5)] + [" ".join(base + base[:6] * k) for k in (1, 4, 30)]
+    doc, s, n = p.shingles(pa.array(texts))
+    sets = [s[doc == i] for i in range(len(texts))]
+    times = [None if (n[doc == i] == 1).all() else n[doc == i] for i in range(len(texts))]
+    links = p.links_within(np.arange(len(texts)), np.arange(len(texts)), sets, times, 0.8)
+    assert all(max(jaccards(texts[u], texts[v])) >= 0.8 - 1e-9 and u > v for u, v, _ in links)
+    label = list(range(len(texts)))
+    for u, v, _ in links:
+        label = [label[v] if x == label[u] else x for x in label]
+    want = brute(list(enumerate(texts)))
+    assert {frozenset(i for i in want if want[i] == c) for c in want.values()} == {frozenset(i for i in want if label[i] == c) for c in label}
+
+
 def test_one_id_with_different_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(4, a, "one"), (4, b, "two"), (4, b, "three"), (9, b, "four"), (3, a + " x", "five"), (None, a, "six")]

@@ -12,8 +12,8 @@ pairs of 0.8 plain Jaccard are candidates as surely, however often their shingle
 Equal texts are one member. In a bucket of at most SMALL members all pairs are candidates. In
 a larger one every member is held against the least, then, if it is in another class still,
 against a pseudo-random one: n - 1 pairs each, which put large classes together. What such
-buckets hold of different classes after that goes to rare_pairs(): all pairs that share a
-shingle that is rare among them, which no pair of 0.8 can do without. So no link that a bucket
+buckets hold of different classes after that goes to links_apart(), which compares all of it
+inside tasks by lists of shingles. So no link that a bucket
 has is lost, and a bucket's pairs are never written out. Candidates are verified on all their
 shingles (64-bit hashes of the words): exact probability Jaccard or exact Jaccard of 0.8 or
 more. Links are joined by components().
@@ -29,17 +29,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import SPACE_WORDS, U64, Block, mix, text_batches, window_hashes
+from .blocks import SPACE_WORDS, U64, Block, mix, ranges, text_batches, window_hashes
 from .bpe import binary
 from .components import components
 from .common import id_and_text, small_batches, written
 
 WORDS, ALIKE, BANDS, ROWS, SMALL = 5, 0.8, 24, 4, 8
-#: Members of a list that one task pairs with all others.
-LIST = 500
+#: Bytes of shingles in a block of a cluster.
+BLOCK = 8_000_000
 
 
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,37 +185,79 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("bucket")
 
 
-def rare_pairs(left: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
-    """u > v: all pairs of left (id, label) of different labels that can reach alike; no other pair can.
-
-    Shingles are ordered by how many of left have them, rarest first. Of two texts of a likeness of
-    alike, shared shingles have at least the share alike of either's shingles (or of their
-    times), so the first shared one comes before the last shingles that are less than that
-    share. Only lists of such shingles are paired: what is common to many texts is in none unless
-    a text is made of it almost wholly. A list with many members is split on both sides."""
+def links_within(ids: np.ndarray, classes: np.ndarray, sets: list, times: list, alike: float) -> list[tuple[int, int, float]]:
+    """Links (u > v, similarity) that put together all members of a group that are alike and of different classes: exactly, over all pairs of different classes, by the lists of the shingles. Two classes that have come together are one from then on."""
+    n, size = len(ids), np.fromiter(map(len, sets), np.int64, len(sets))
+    kinds, classes = np.unique(classes, return_inverse=True)
+    if len(kinds) < 2 or not size.sum():
+        return []
+    weights = [np.ones(k) if t is None else t.astype(float) for k, t in zip(size.tolist(), times, strict=True)]
+    often = np.fromiter((t is not None for t in times), bool, n)
+    off = np.concatenate([[0], np.cumsum(size)])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    owner, share = np.repeat(np.arange(n), size)[order], np.concatenate([w / max(1.0, w.sum()) for w in weights])
+    posted, first = share[order], np.searchsorted(code[order], np.arange(code.max() + 2))
+    out = []
+    # a pair of different classes has a member that isn't of the largest one
+    for x in np.flatnonzero(classes != np.bincount(classes).argmax()).tolist():
+        other = classes != classes[x]
+        if not other.any():
+            continue
+        own = code[off[x] : off[x + 1]]
+        many = first[own + 1] - first[own]
+        at = ranges(first[own], many)
+        common = np.bincount(owner[at], minlength=n)
+        alike_to = np.where(common > 0, common / np.maximum(1, size[x] + size - common), 0.0)
+        if often[x] or often.any():
+            # a probability Jaccard of alike needs that share of both sides in common
+            mine, theirs = np.bincount(owner[at], np.repeat(share[off[x] : off[x + 1]], many), n), np.bincount(owner[at], posted[at], n)
+            for y in np.flatnonzero(other & (often | often[x]) & (alike_to < alike) & (mine >= alike - 1e-9) & (theirs >= alike - 1e-9)).tolist():
+                alike_to[y] = max(alike_to[y], likeness(sets[x], sets[y], times[x], times[y])[0])
+        near = np.flatnonzero(other & (alike_to >= alike - 1e-12))
+        while len(near):
+            y = int(near[0])
+            out.append((max(int(ids[x]), int(ids[y])), min(int(ids[x]), int(ids[y])), float(alike_to[y])))
+            classes[classes == classes[y]] = classes[x]
+            near = near[classes[near] != classes[x]]
+    return out
+
+
+def links_apart(left: DataFrame, stars: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
+    """u, v, similarity: links that put together all members of left (id, label) that share a bucket, have different labels and are alike. stars: (u, v) that lead from each member to the least of its buckets.
+
+    Members that buckets connect are a cluster, which holds every pair of each of its buckets once.
+    A cluster of more than BLOCK bytes of shingles is cut into blocks, and every two blocks meet in
+    a task. No pair is written: only links are."""
+    cluster = components(stars).select("id", F.col("label").alias("cluster"))
+    rows = left.join(cluster, "id").join(sets, "id")
+    rows = written(rows.select("cluster", "id", "label", "shingles", "times"), "clusters")
+    blocks = rows.groupBy("cluster").agg((F.floor(F.sum(F.octet_length("shingles") + F.coalesce(F.octet_length("times"), F.lit(0))) / BLOCK) + 1).cast("int").alias("blocks"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cluster", "blocks")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own")))
+    dealt = rows.join(blocks, "cluster").withColumn("own", own).select("*", F.explode(others).alias("other"))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label", "shingles", "times")
+    dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
 
     def run(batches):
+        key, rows = None, []
+
+        def done():
+            links = links_within(*(np.array([r[i] for r in rows]) for i in (0, 1)), [r[2] for r in rows], [r[3] for r in rows], alike) if rows else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["u", "v", "similarity"])
+
         for b in batches:
-            for at in range(b.num_rows):
-                s, t = b.column(2)[at], b.column(3)[at]
-                s = np.frombuffer(s.as_buffer(), np.int64)
-                times = np.frombuffer(t.as_buffer(), np.uint32).astype(np.int64) if t.is_valid else np.ones(len(s), np.int64)
-                n, full = len(s), lambda x: pa.array(np.full(len(s), x, np.int64))  # noqa: B023
-                yield pa.RecordBatch.from_arrays([full(b.column(0)[at].as_py()), full(b.column(1)[at].as_py()), pa.array(s), pa.array(times), full(n), full(int(times.sum()))], ["id", "label", "shingle", "times", "n", "total"])
-
-    each = left.join(sets, "id").select("id", "label", "shingles", "times").mapInArrow(run, "id long, label long, shingle long, times long, n long, total long")
-    each = written(each, "each")
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle", "often")
-    last = W.partitionBy("id").orderBy(F.col("often").desc(), F.col("shingle").desc()).rowsBetween(W.unboundedPreceding, 0)
-    rest = each.join(often, "shingle").withColumn("rest", F.count("*").over(last)).withColumn("rest_times", F.sum("times").over(last))
-    lists = rest.where((F.col("rest") >= F.col("n") * alike - 1e-9) | (F.col("rest_times") >= F.col("total") * alike - 1e-9)).select("shingle", "id", "label", "n", (F.col("n") < F.col("total")).alias("repeats"))
-    lists = written(lists, "lists")
-    long = lists.groupBy("shingle").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("shingle", F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
-    own = lists.join(long, "shingle")
-    u = own.select("shingle", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.col("id").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("repeats").alias("ru"))
-    v = own.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("id").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("repeats").alias("rv"))
-    size = F.least("nu", "nv") >= F.greatest("nu", "nv") * alike - 1e-9
-    return u.join(v, ["shingle", "part"]).where((F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv")) & (size | F.col("ru") | F.col("rv"))).select("u", "v").distinct()
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            ids, labels = b.column(3).to_pylist(), b.column(4).to_pylist()
+            for i, k in enumerate(keys):
+                if k != key:
+                    yield done()
+                    key, rows = k, []
+                shingle, time = b.column(5)[i], b.column(6)[i]
+                rows.append((ids[i], labels[i], np.frombuffer(shingle.as_buffer().to_pybytes(), U64), np.frombuffer(time.as_buffer().to_pybytes(), np.uint32) if time.is_valid else None))
+        yield done()
+
+    return dealt.mapInArrow(run, "u long, v long, similarity double")
 
 
 def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
@@ -256,15 +297,16 @@ def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows
     again = own.join(named, "bucket").where("label <> its").select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
     again = written(again.join(pairs, ["u", "v"], "left_anti"), "again")
     if again.head(1):
-        links = links.unionByName(verified(again, sets, alike).select("u", "v"))
-        labels = written(components(links), "labels")
-        pairs = pairs.unionByName(again)
-    # all other pairs of different classes that can be alike
-    last = rare_pairs(left().select("id", "label").distinct(), sets, alike)
-    last = written(last.join(pairs, ["u", "v"], "left_anti"), "last")
-    if last.head(1):
-        links = links.unionByName(verified(last, sets, alike).select("u", "v"))
+        links = links.unionByName(written(verified(again, sets, alike).select("u", "v"), "links"))
         labels = written(components(links), "labels")
+    # all other pairs of different classes that are alike
+    own = written(left().join(sizes.select("bucket", "least"), "bucket").select("id", "label", "least"), "left")
+    if own.head(1):
+        stars = own.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
+        more = written(links_apart(own.select("id", "label").distinct(), stars, sets, alike).select("u", "v"), "more")
+        if more.head(1):
+            links = links.unionByName(more)
+            labels = written(components(links), "labels")
     named = members.join(labels, "id", "left").select("text_key", F.col("doc_id").alias("text_id"), F.coalesce("label", "id").alias("label"))
     named = written(named, "named")
     classes = named.groupBy("label").agg(F.min(F.struct("text_id", "text_key")).alias("least")).select("label", F.col("least.text_id").alias("class_id"), F.col("least.text_key").alias("class_key"))
