@@ -11,8 +11,8 @@ from .common import written
 SAMPLE = 20_000
 
 
-def fold(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5))
+def fold(doc_id: str = "doc_id", of: int = 5) -> Column:
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(of))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int = SAMPLE) -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, hard_negatives, license_scan, lm_scoring, order_minhash, probminhash, quality, records, substring_dedup, toxicity
+from . import bpe, decontamination, hard_negatives, language_id, license_scan, lm_scoring, order_minhash, probminhash, quality, records, substring_dedup, toxicity
 from .common import documents, scratch
 from .labelled import fold, predictions
 
@@ -97,6 +97,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.usable(vectors), F.col("id") % 100 == 0)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    held_out = fold(of=4) == 2
+    found = language_id.predict(docs, language_id.fit(docs, ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_license_scan": op2_license_scan,
@@ -109,5 +116,6 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_byte_bpe": op10_byte_bpe,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_language_id": op13_language_id,
 }
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op12_hard_negatives": hard_negatives.ORACLE}
