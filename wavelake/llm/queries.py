@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, hard_negatives, language_id, license_scan, lm_scoring, order_minhash, probminhash, quality, records, substring_dedup, toxicity
+from . import bpe, conversation_repair, decontamination, hard_negatives, language_id, license_scan, lm_scoring, order_minhash, probminhash, quality, records, substring_dedup, toxicity
 from .common import documents, scratch
 from .labelled import fold, predictions
 
@@ -92,6 +92,10 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash_digest(order_minhash.edited_pairs(documents(spark, sf_dir)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
     return hard_negatives.mine(hard_negatives.usable(vectors), F.col("id") % 100 == 0)
@@ -115,6 +119,7 @@ QUERIES = {
     "op8_probminhash": op8_probminhash,
     "op9_order_minhash": op9_order_minhash,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_language_id": op13_language_id,
 }
