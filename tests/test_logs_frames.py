@@ -1,5 +1,6 @@
 """Log lines, captures and triage on literals."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from wavelake.functions import logs as f
@@ -130,8 +131,10 @@ def test_clusters(spark):
     assert fa.cluster_failures(df.withColumn("signature", F.lit(" "))).count() == 0
 
 
-def test_clusters_against_plain_dbscan(spark):
-    """Weights, cosines, cores and borders in plain code on whole signatures."""
+@pytest.mark.parametrize("min_samples,block", [(1, 5), (2, 5), (3, 7), (4, 512)])
+def test_clusters_against_plain_dbscan(spark, monkeypatch, min_samples, block):
+    """Weights over all rows, cosines, cores and borders in plain code on whole signatures, some of which repeat."""
+    monkeypatch.setattr(fa.cosine, "BLOCK", block)
     import math
     import random
     from collections import Counter
@@ -145,6 +148,7 @@ def test_clusters_against_plain_dbscan(spark):
         for _ in range(rnd.choice([0, 1, 3, 8, 20])):
             w[rnd.randrange(len(w))] = rnd.choice(words)
         texts[f"t{i:02d}"] = " ".join(w)
+    texts |= {f"u{i:02d}": texts["t03"] for i in range(6)}
 
     def grams(t):
         out = Counter()
@@ -159,16 +163,13 @@ def test_clusters_against_plain_dbscan(spark):
     tf = {k: grams(t) for k, t in texts.items()}
     df = Counter(g for c in tf.values() for g in c)
     vec = {}
-    same = {t: min(k for k in texts if texts[k] == t) for t in texts.values()}
-    reps = sorted(set(same.values()))
-    df = Counter(g for k in reps for g in tf[k])
-    for k in reps:
-        v = {g: (1 + math.log(n)) * (math.log((1 + len(reps)) / (1 + df[g])) + 1) for g, n in tf[k].items()}
+    for k in texts:
+        v = {g: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[g])) + 1) for g, n in tf[k].items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         vec[k] = {g: x / size for g, x in v.items()}
     near = lambda a, b: sum(x * vec[b].get(g, 0) for g, x in vec[a].items()) >= 0.65 - 1e-12
-    around = {k: [o for o in texts if near(same[texts[k]], same[texts[o]])] for k in texts}
-    core = {k for k in texts if len(around[k]) >= 3}
+    around = {k: [o for o in texts if near(k, o)] for k in texts}
+    core = {k for k in texts if len(around[k]) >= min_samples}
     group: dict = {}
     for k in sorted(core):
         todo = [k] if k not in group else []
@@ -177,7 +178,7 @@ def test_clusters_against_plain_dbscan(spark):
             if x not in group:
                 group[x] = k
                 todo += [o for o in around[x] if o in core]
-    got = {r.tag: r.label for r in fa.cluster_failures(spark.createDataFrame(list(texts.items()), "tag string, signature string"), min_samples=3).collect()}
+    got = {r.tag: r.label for r in fa.cluster_failures(spark.createDataFrame(list(texts.items()), "tag string, signature string"), min_samples=min_samples).collect()}
     of = lambda keys: {frozenset(k for k in keys if got[k] == x) for x in {got[k] for k in keys}}
     assert of(core) == {frozenset(k for k in core if group[k] == x) for x in set(group.values())}
     for k in set(texts) - core:
@@ -185,6 +186,23 @@ def test_clusters_against_plain_dbscan(spark):
         assert got[k] in roots if roots else got[k] == -1
 
 
+def test_weights_are_of_all_rows(spark):
+    """100 equal signatures and one that differs in a word: what all share weighs little, so the one is noise."""
+    rows = [(f"t{i:03d}", "handshake timed out waiting") for i in range(100)] + [("u", "handshake timed out never")]
+    got = {r.tag: r.label for r in fa.cluster_failures(spark.createDataFrame(rows, "tag string, signature string")).collect()}
+    assert got.pop("u") == -1 and set(got.values()) == {0}
+
+
+def test_one_bug_of_many_signatures(spark):
+    """20,000 different signatures of one bug and 200 of another: links are written by vector, not by pair."""
+    detail = F.concat_ws(" ", *(F.concat(F.lit(f"step{i}="), F.pmod(F.floor(F.col("id") / 12**i), F.lit(12))) for i in range(4)))
+    text = F.concat(F.lit("4-way handshake timed out waiting for M3 from the access point stage:associated path:SCANNING>AUTHENTICATING>ASSOCIATING degraded_weak_signal missing_m3 retransmitting "), detail)
+    other = F.concat(F.lit("DHCPNAK received, no address was given to interface en0; lease refused by the upstream server of this subnet "), detail)
+    df = spark.range(20_200).select(F.format_string("t%05d", "id").alias("tag"), F.when(F.col("id") < 20_000, text).otherwise(other).alias("signature"))
+    got = fa.cluster_failures(df).groupBy("label").count().collect()
+    assert sorted((r["label"], r["count"]) for r in got) == [(0, 20_000), (1, 200)]
+
+
 def test_bundle(spark):
     capture_ = capture(spark, "c1", ["beacon", "auth"]).unionByName(capture(spark, "c2", ["beacon"]))
     facts = fr.capture_facts(capture_)

@@ -57,7 +57,25 @@ SELECT concat('cap', CAST(user_id AS STRING)) AS capture_id, CAST(rn AS INT) AS
  CASE WHEN m = 0 THEN CASE CAST(user_id % 3 AS INT) WHEN 0 THEN 'PSK' WHEN 1 THEN 'SAE' ELSE NULL END END AS rsn_akm
 FROM k"""
 
-BASE = {"kpi": (KPI, "events"), "results": (RESULTS, "orders"), "log_raw": (LOG_RAW, "events"), "frames": (FRAMES, "events")}
+#: A failure for each customer: ten kinds of bug, each in many wordings, and some that are like no other.
+FAILED = r"""SELECT concat('run', CAST(c_custkey AS STRING)) AS tag, CASE WHEN c_custkey % 11 = 10 THEN NULL ELSE concat('bug', CAST(c_custkey % 11 AS STRING)) END AS fault,
+ CASE CAST(c_custkey % 11 AS INT)
+  WHEN 10 THEN md5(CAST(c_custkey AS STRING))
+  ELSE concat(CASE CAST(c_custkey % 11 AS INT)
+   WHEN 0 THEN '4-way handshake timed out waiting for M3 final_state:IDLE path:ASSOCIATING>KEYING stage:associated handshake incomplete m2 retransmitted missing_m3'
+   WHEN 1 THEN 'PMK mismatch MIC failure in M2 wrong passphrase reason=23 final_state:FAILED stage:associated credentials rejected by authenticator missing_m3'
+   WHEN 2 THEN 'DHCPNAK received no lease offered address request declined by server final_state:CONFIGURING stage:data connected and passed data'
+   WHEN 3 THEN 'scan complete networks=0 access point never heard on any channel final_state:SCANNING stage:none the AP was never heard'
+   WHEN 4 THEN 'beacon lost rssi collapsed while roaming away deauthenticated reason=34 final_state:IDLE stage:keyed degraded_rssi_collapse degraded_weak_signal'
+   WHEN 5 THEN 'authentication rejected status=13 unsupported algorithm SAE required by network final_state:AUTHENTICATING stage:scanned authentication rejected'
+   WHEN 6 THEN 'association denied status=17 too many stations already joined this cell final_state:ASSOCIATING stage:authenticated association rejected'
+   WHEN 7 THEN 'medium busy airtime exhausted retries climbing frames dropped transmit queue stalled final_state:CONNECTED stage:data degraded_high_retry'
+   WHEN 8 THEN 'DNS lookup servfail resolver unreachable name not found upstream outage final_state:CONNECTED stage:data connected, no data seen'
+   ELSE 'firmware assertion watchdog fired chip reset driver reloading interface down unexpectedly final_state:RESET stage:keyed connected, then lost' END,
+   ' attempt ', CAST(c_custkey % 5 AS STRING), ' of ', lower(c_mktsegment), ' fleet') END AS signature
+FROM customer"""
+
+BASE = {"failed": (FAILED, "customer"), "kpi": (KPI, "events"), "results": (RESULTS, "orders"), "log_raw": (LOG_RAW, "events"), "frames": (FRAMES, "events")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

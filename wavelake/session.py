@@ -57,6 +57,7 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with a number from 0 in the order of a column of distinct values: ranges are numbered inside, and start where those before them end. Only the size of each range reaches the driver."""
     spark = df.sparkSession
+    df = written(df, "to-number")  # drawing the ranges would compute it once more
     ranges = written(df.repartitionByRange(order).sortWithinPartitions(order).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id() % F.lit(1 << 33)}), "ranges")
     upto, first = 0, []
     for r in sorted(ranges.groupBy("_range").agg(F.count("*").alias("n")).collect(), key=lambda r: r["_range"]):
