@@ -35,6 +35,16 @@ def packet_loss_pct(sent: Column, received: Column) -> Column:
     return F.when(sent <= 0, 0.0).otherwise(100.0 * (sent - received) / sent)
 
 
+#: Least scores of the opinion classes, and least signal-to-noise ratios (dB) of the link classes.
+OPINIONS = ((4.3, "excellent"), (4.0, "good"), (3.6, "fair"), (3.1, "poor"))
+LINKS = ((40, "excellent"), (25, "good"), (15, "fair"))
+
+
+def _class(value: Column, least: tuple, otherwise: str) -> Column:
+    """The first class that value reaches."""
+    return F.coalesce(*(F.when(value >= limit, name) for limit, name in least), F.lit(otherwise))
+
+
 def mos_estimate(rtt: Column, jitter: Column, loss: Column) -> Column:
     """Mean opinion score, 1 to 5, of the simplified E-model."""
     latency = rtt + 2 * jitter + 10.0
@@ -44,11 +54,11 @@ def mos_estimate(rtt: Column, jitter: Column, loss: Column) -> Column:
 
 
 def classify_mos(mos: Column) -> Column:
-    return F.when(mos >= 4.3, "excellent").when(mos >= 4.0, "good").when(mos >= 3.6, "fair").when(mos >= 3.1, "poor").otherwise("unacceptable")
+    return _class(mos, OPINIONS, "unacceptable")
 
 
 def link_quality(snr: Column) -> Column:
-    return F.when(snr >= 40, "excellent").when(snr >= 25, "good").when(snr >= 15, "fair").otherwise("poor")
+    return _class(snr, LINKS, "poor")
 
 
 def quantile(sorted_values: Column, p: float) -> Column:

@@ -10,16 +10,19 @@ SIM_LINE = r"^(\d{4}-\d{2}-\d{2}T[\d:.]+Z)\s+\[\s*(\d+)ms\]\s+<(\w+)\s*>\s+(\S+?
 UNIFIED_LINE = r"^(\d{4}-\d{2}-\d{2} [\d:.]+)\s+(\S+)\s+([A-Za-z0-9_.-]+)(?:\[[\d:]+\])?\s*(?:\[([^\]]*)\]\s*)?(.*)$"
 LEVEL_FLAGS = {"Df": "DEBUG", "I": "INFO", "Nt": "NOTICE", "Er": "ERROR", "Wn": "WARN", "Ft": "ERROR", "<Notice>": "NOTICE"}
 KEY_VALUE = r'(\w+)=("[^"]*"|\S+)'
+MAC = r"\b(?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}\b"
+ADDRESS = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
+MOMENT = r"\b\d{4}-\d{2}-\d{2}T[\d:.]+Z?\b"
 MASKS = (
-    (r"\b(?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}\b", "<MAC>"),
-    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "<IP>"),
+    (MAC, "<MAC>"),
+    (ADDRESS, "<IP>"),
     (r"\b0x[0-9a-fA-F]+\b", "<HEX>"),
     (r"\b[0-9a-fA-F]{16,}\b", "<HEX>"),
-    (r"\b\d{4}-\d{2}-\d{2}T[\d:.]+Z?\b", "<TIME>"),
+    (MOMENT, "<TIME>"),
     (r"\b\d+\.\d+\b", "<FLOAT>"),
     (r"\b\d+\b", "<NUM>"),
 )
-VOLATILE = (MASKS[0][0], MASKS[1][0], MASKS[4][0], r"elapsed_ms=\d+", r"timeout_ms=\d+", r"total_ms=\d+", r"\bseed=\d+", r"\baid=\d+", r"\breplay=\d+", r"\brssi=-?\d+")
+VOLATILE = (MAC, ADDRESS, MOMENT, r"elapsed_ms=\d+", r"timeout_ms=\d+", r"total_ms=\d+", r"\bseed=\d+", r"\baid=\d+", r"\breplay=\d+", r"\brssi=-?\d+")
 ERRORS = ("ERROR", "WARN")
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import frames as f
+from ..session import ship
 
 #: Severities from the worst, detectors in order.
 SEVERITIES = ("critical", "warning", "info")
@@ -31,8 +35,11 @@ def frame_flags(raw: DataFrame) -> DataFrame:
 
 
 def frames_of_kind(kinds: DataFrame, *wanted: str, limit: int = 50) -> DataFrame:
-    """The first frames of the kinds of each capture."""
-    return kinds.where(F.col("kind").isin(*wanted)).withColumn("rank", F.row_number().over(by_frame())).where(F.col("rank") <= limit)
+    """The first frames of the kinds of each capture; of a capture without any, a row without a frame that names the kinds that it has (present)."""
+    present = F.array_join(F.array_sort(F.collect_set("kind")), ", ")
+    none = kinds.groupBy("capture_id").agg(present.alias("present"), F.count_if(F.col("kind").isin(*wanted)).alias("_n")).where("_n = 0").drop("_n")
+    found = kinds.where(F.col("kind").isin(*wanted)).withColumn("rank", F.row_number().over(by_frame())).where(F.col("rank") <= limit)
+    return found.unionByName(none, allowMissingColumns=True)
 
 
 def _is(*kinds: str) -> Column:
@@ -77,11 +84,13 @@ def capture_facts(frames: DataFrame) -> DataFrame:
         F.collect_set(F.when(gone & c("reason_code").isNotNull(), F.struct(c("reason_code").alias("reason"), c("_reasons").alias("n")))).alias("gone_reasons"),
         F.min(F.when(_is("probe_request"), t)).alias("t_probe"), F.min(F.when(_is("beacon", "probe_response"), t)).alias("t_beacon"), F.min(F.when(_is("auth", "sae_commit"), t)).alias("t_auth"), F.max(F.when(_is("auth", "sae_confirm"), t)).alias("t_auth_end"),
         F.min(F.when(_is("assoc_request", "reassoc_request"), t)).alias("t_assoc"), F.min(F.when(assoc, t)).alias("t_assoc_end"), F.min(F.when(_is("eapol_m1"), t)).alias("t_m1"), F.max(F.when(_is("eapol_m4"), t)).alias("t_m4"), F.max(F.when(_is("eapol_m1", "eapol_m2", "eapol_m3", "eapol_m4"), t)).alias("t_eapol"),
+        F.map_filter(F.create_map(*(x for k in f.KINDS for x in (F.lit(k), F.count_if(_is(k))))), lambda _, n: n > 0).alias("by_kind"),
     ).withColumn("retry_rate", F.when(c("n_data_frames") > 0, c("data_retries") / c("n_data_frames")).otherwise(0.0))
 
 
 def capture_summary(frames: DataFrame) -> DataFrame:
-    return capture_facts(frames).select("capture_id", "n_frames", "duration_s", "n_data_frames", "retry_rate", "rssi_first", "rssi_last", "ssid", "akm", "n_deauth", "n_eapol")
+    """The headline numbers of each capture, with its frames of each kind that it has (by_kind)."""
+    return capture_facts(frames).select("capture_id", "n_frames", "duration_s", "n_data_frames", "retry_rate", "rssi_first", "rssi_last", "ssid", "akm", "n_deauth", "n_eapol", "by_kind")
 
 
 def bssid_ranking(frames: DataFrame) -> DataFrame:
@@ -284,21 +293,67 @@ def reconcile_frames(ours: DataFrame, theirs: DataFrame, fields: tuple[str, ...]
     return both.select(*keys, F.inline(F.array_compact(F.array(lone, *differ))))
 
 
+def _next_far(ms: np.ndarray, at: int, end: int, from_ms: int) -> int:
+    """The first place from at to end whose clock is 1 s or more after from_ms, or end."""
+    step = 64
+    while at < end:
+        far = np.flatnonzero(ms[at : min(end, at + step)] - from_ms >= 1000)
+        if len(far):
+            return at + int(far[0])
+        at, step = at + step, 2 * step
+    return end
+
+
 def collapse_data_frames(frames: DataFrame) -> DataFrame:
-    """Runs of data frames, closed by any other frame or after the frame 1 s or more from the run's first: n, retries, their share, and a warning over 20%. The greedy cut is a fold over each run, which ends at any other frame."""
-    rows = with_kind(frames).withColumns({"ms": (F.col("time_s") * 1000).cast("long"), "is_data": (F.col("ftype") == 2) & F.col("key_info").isNull()})
-    rows = rows.withColumn("run", F.sum((~F.col("is_data")).cast("int")).over(by_frame())).where("is_data")
-    # the frames that begin a bucket, from a fold over the run's clock; each frame then belongs to the last that has begun
-    ordered = F.array_sort(F.collect_list(F.struct("frame_index", "ms")))
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<int>").alias("begins"))
-
-    def step(s: Column, x: Column) -> Column:
-        at = F.coalesce(s["at"], x["ms"])
-        return F.struct(F.when(x["ms"] - at < 1000, at).alias("at"), F.when(s["at"].isNull(), F.concat(s["begins"], F.array(x["frame_index"]))).otherwise(s["begins"]).alias("begins"))
-
-    begins = rows.groupBy("capture_id", "run").agg(ordered.alias("f")).select("capture_id", "run", F.explode(F.aggregate("f", start, step, lambda s: s["begins"])).alias("frame_index"), F.lit(1).alias("begin"))
-    run = W.partitionBy("capture_id", "run").orderBy("frame_index")
-    each = rows.join(begins, ["capture_id", "run", "frame_index"], "left").withColumn("bucket", F.count("begin").over(run))
-    out = each.groupBy("capture_id", "run", "bucket").agg(F.min("frame_index").alias("frame_index"), F.min("ms").alias("monotonic_ms"), F.count("*").alias("n"), F.count_if("retry").alias("retries"))
-    share = F.col("retries") / F.col("n")
-    return out.withColumns({"retry_share": share, "severity": F.when(share > 0.2, "warning").otherwise("info")})
+    """Runs of data frames, closed by any other frame or after the frame 1 s or more from the run's first: n, retries, their share, and a warning over 20%. The cut is greedy, so frames go in order through one task of their capture, a batch at a time: only the bucket that is open is carried on. Frames without a clock open none and close none."""
+    ship(frames.sparkSession)
+    c = F.col
+    rows = with_kind(frames).select("capture_id", c("frame_index").cast("long").alias("frame_index"), (c("time_s") * 1000).cast("long").alias("ms"), ((c("ftype") == 2) & c("key_info").isNull()).alias("data"), F.coalesce(c("retry"), F.lit(False)).cast("long").alias("retry"))
+    rows = rows.where("ms is not null or not coalesce(data, false)").withColumns({"data": F.coalesce("data", F.lit(False)), "ms": F.coalesce("ms", F.lit(0))})
+    kind = dict(frames.dtypes)
+
+    types = to_arrow_schema(rows.select("capture_id", "frame_index", c("ms").alias("monotonic_ms"), c("ms").alias("n"), c("ms").alias("retries")).schema)
+
+    def told(buckets: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in buckets], types.field(k).type) for k, i in enumerate((0, 1, 3, 4, 5))], types.names)
+
+    def cut(batches):
+        held: list | None = None  # capture, first frame, its clock, least clock, n, retries
+        for b in batches:
+            capture = b.column(0).dictionary_encode()
+            code = capture.indices.fill_null(-1).to_numpy()
+            index, ms, data, retry = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
+            value = lambda i: capture.dictionary[int(code[i])].as_py() if code[i] >= 0 else None  # noqa: B023, E731
+            # runs end where another frame or another capture comes
+            breaks = np.flatnonzero(~data | (np.diff(code, prepend=code[:1]) != 0))
+            ends = np.append(breaks, len(code))
+            total, out, at = np.concatenate([[0], np.cumsum(retry)]), [], 0
+            while at < len(code):
+                if not data[at]:
+                    if held:
+                        out.append(held)
+                    held, at = None, at + 1
+                    continue
+                if held and held[0] != value(at):
+                    out.append(held)
+                    held = None
+                fresh = held is None
+                end = int(ends[np.searchsorted(ends, at, "right")])
+                start = int(ms[at]) if fresh else held[2]
+                last = _next_far(ms, at, end, start)
+                upto = min(last + 1, end)
+                least = int(ms[at:upto].min())
+                n, again = upto - at, int(total[upto] - total[at])
+                held = [value(at), int(index[at]), start, least, n, again] if fresh else [*held[:3], min(held[3], least), held[4] + n, held[5] + again]
+                if last < end:
+                    out.append(held)
+                    held = None
+                at = upto
+            if out:
+                yield told(out)
+        if held:
+            yield told([held])
+
+    out = rows.repartition("capture_id").sortWithinPartitions("capture_id", "frame_index").mapInArrow(cut, f"capture_id {kind['capture_id']}, frame_index long, monotonic_ms long, n long, retries long")
+    share = c("retries") / c("n")
+    return out.withColumns({"frame_index": c("frame_index").cast(kind["frame_index"]), "retry_share": share, "severity": F.when(share > 0.2, "warning").otherwise("info")})

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import logs as f
-from ..session import numbered, ship
+from ..session import numbered, ship, written
 
 WILD = "<*>"
 
@@ -132,17 +132,54 @@ def distinct_statements(lines: DataFrame, scope: list[str]) -> DataFrame:
     return rows.groupBy(*scope, "tokens").agg(F.count("*").alias("n"), F.min(F.struct("tag", "line_no")).alias("first"), F.min_by("message", F.struct("tag", "line_no")).alias("example"))
 
 
-def drain_templates(lines: DataFrame, scope: list[str] | None = None, threshold: float = 0.5, max_children: int = 100) -> DataFrame:
+#: Statements or templates of a leaf that one task mines at first.
+CHUNK = 2000
+
+
+def _mined(group: pd.DataFrame, keys: list[str], threshold: float) -> pd.DataFrame:
+    """Templates of one leaf's statements (tokens, hits, first, examples) in order of first: each joins the template that it is most like, the earliest among equals, or is a new one. What a template and a statement differ in becomes a wildcard. Templates can be mined like statements: a wildcard is like a wildcard alone."""
+    group = group.assign(_t=[x["tag"] for x in group["first"]], _l=[x["line_no"] for x in group["first"]]).sort_values(["_t", "_l"], kind="stable")
+    width = len(group["tokens"].iloc[0])
+    names, codes = {WILD: 0}, np.empty((len(group), width), np.int32)
+    for i, tokens in enumerate(group["tokens"]):
+        codes[i] = [names.setdefault(t, len(names)) for t in tokens]
+    found, members, n = np.empty((16, width), np.int32), [], 0
+    for i in range(len(codes)):
+        own = codes[i]
+        like = ((found[:n] == own) | (found[:n] == 0)).sum(1)
+        j = int(like.argmax()) if n else 0
+        if n and like[j] / width >= threshold:
+            found[j][found[j] != own] = 0
+            members[j].append(i)
+        else:
+            if n == len(found):
+                found = np.concatenate([found, np.empty_like(found)])
+            found[n] = own
+            members.append([i])
+            n += 1
+    word, hits, examples = list(names), group["hits"].to_numpy(), group["examples"].tolist()
+    first = group["first"].tolist()
+    out = pd.DataFrame({"tokens": [[word[c] for c in row] for row in found[:n]], "hits": [int(hits[m].sum()) for m in members], "first": [first[m[0]] for m in members], "examples": [[x for i in m[:3] for x in examples[i]][:3] for m in members]})
+    for k in keys:
+        out[k] = group[k].iloc[0]
+    return out[[*keys, "tokens", "hits", "first", "examples"]]
+
+
+def drain_templates(lines: DataFrame, scope: list[str] | None = None, threshold: float = 0.5, max_children: int = 100, chunk: int = CHUNK) -> DataFrame:
     """template_id, tokens, hits, examples of each scope (all lines by default).
 
     Repeats of a statement never change a template, so distinct ones are mined, in order of
     their first line. A statement belongs to a leaf by its number of tokens and its first two
     tokens; a token of signs, or one that comes after max_children others, goes to a shared
-    branch. Leaves are independent and mined by a grouped map; each holds distinct statements
-    only. Hits are those of the statements that a template has taken in.
+    branch. Leaves are independent. A leaf of more than `chunk` statements is cut into chunks in this order, which are
+    mined by tasks of their own; their templates, in order, are then mined like statements, in chunks of twice the size, until a leaf
+    is one chunk. The result is that of one pass where
+    kinds of statements are apart. Where they run into each other it can differ: on made-up streams of one vocabulary under 2 % of the lines were
+    in other templates, and up to 16 % where half-wild templates take in whole kinds, in an order that chunks change. Hits are those of the statements that a template has taken in.
     """
     scope = scope or []
-    ship(lines.sparkSession)
+    spark = lines.sparkSession
+    ship(spark)
     rows = distinct_statements(lines, scope).withColumn("length", F.size("tokens"))
     parent, keys = [*scope, "length"], []
     for i, key in ((0, "key1"), (1, "key2")):
@@ -154,29 +191,16 @@ def drain_templates(lines: DataFrame, scope: list[str] | None = None, threshold:
         seen = seen.withColumn(key, F.when((F.col("_own") == WILD) | (rank > max_children), WILD).otherwise(F.col("_own"))).drop("_seen")
         rows = rows.join(seen, [*parent, *keys, "_own"]).drop("_own")
         keys.append(key)
-
-    def mine(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(_t=[x["tag"] for x in group["first"]], _l=[x["line_no"] for x in group["first"]]).sort_values(["_t", "_l"], kind="stable")
-        found: list[list] = []
-        for tokens, n, first, example in zip(group["tokens"], group["n"], group["first"], group["example"], strict=True):
-            tokens = np.array(tokens, object)
-            same = [((t[0] == tokens) | (t[0] == WILD)).mean() for t in found]
-            if same and max(same) >= threshold:
-                t = found[int(np.argmax(same))]
-                t[0] = np.where(t[0] == tokens, t[0], WILD)
-                t[1] += n
-                if len(t[3]) < 3:
-                    t[3].append(example)
-            else:
-                found.append([tokens, n, first, [example]])
-        out = pd.DataFrame({"tokens": [list(t[0]) for t in found], "hits": [t[1] for t in found], "first": [t[2] for t in found], "examples": [t[3] for t in found]})
-        for k in [*scope, "length", "key1", "key2"]:
-            out[k] = group[k].iloc[0]
-        return out[[*scope, "length", "key1", "key2", "tokens", "hits", "first", "examples"]]
-
-    kinds = dict(lines.dtypes)
+    leaf, kinds = [*scope, "length", "key1", "key2"], dict(lines.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in scope), "length int, key1 string, key2 string, tokens array<string>, hits long", f"first struct<tag:{kinds['tag']},line_no:{kinds['line_no']}>", "examples array<string>"])
-    out = rows.groupBy(*scope, "length", "key1", "key2").applyInPandas(mine, schema)
+    rows = written(rows.select(*leaf, "tokens", F.col("n").alias("hits"), "first", F.array("example").alias("examples")), "statements")
+    mine = lambda group: _mined(group, leaf, threshold)
+    while (rows.groupBy(*leaf).count().agg(F.max("count")).first()[0] or 0) > chunk:
+        # places are in order of leaf and first line, so a leaf's chunks are in its order
+        placed = numbered(rows.withColumn("_order", F.struct(*leaf, "first")), "_order", "place")
+        rows = written(placed.groupBy(*leaf, F.floor(F.col("place") / chunk).alias("_chunk")).applyInPandas(mine, schema), "templates")
+        chunk *= 2
+    out = rows.groupBy(*leaf).applyInPandas(mine, schema)
     if scope:
         return out.withColumn("template_id", F.row_number().over(W.partitionBy(*scope).orderBy("first")).cast("long"))
     return numbered(out, "first", "template_id").withColumn("template_id", F.col("template_id").cast("long") + 1)

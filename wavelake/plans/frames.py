@@ -88,14 +88,15 @@ def ieee_code_name(spark, sf):
     return table(spark, sf, "events").select("event_id", f.reason_name(F.col("event_id") % 60).alias("reason"), f.status_name(F.col("event_id") % 60).alias("status"))
 
 
-@query("frames_of_kind", f"{KINDS} SELECT capture_id, frame_index, kind FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) AS rank FROM k WHERE kind IN ('deauth', 'disassoc', 'auth')) WHERE rank <= 3")
+@query("frames_of_kind", f"{KINDS} SELECT capture_id, frame_index, kind, NULL AS present FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY frame_index) AS rank FROM k WHERE kind IN ('disassoc', 'auth')) WHERE rank <= 3 UNION ALL SELECT capture_id, NULL, NULL, string_agg(DISTINCT kind, ', ' ORDER BY kind) FROM k GROUP BY capture_id HAVING count(*) FILTER (kind IN ('disassoc', 'auth')) = 0")
 def frames_of_kind(spark, sf):
-    return op.frames_of_kind(op.with_kind(frames(spark, sf)), "deauth", "disassoc", "auth", limit=3).select("capture_id", "frame_index", "kind")
+    return op.frames_of_kind(op.with_kind(frames(spark, sf)), "disassoc", "auth", limit=3).select("capture_id", "frame_index", "kind", "present")
 
 
-@query("capture_summary", f"{FACTS} SELECT capture_id, n_frames, round(duration_s, 3) AS duration_s, n_data_frames, round(retry_rate, 6) AS retry_rate, rssi_first, rssi_last, ssid, akm, n_deauth, n_eapol FROM facts")
+@query("capture_summary", f"{FACTS} SELECT capture_id, n_frames, round(duration_s, 3) AS duration_s, n_data_frames, round(retry_rate, 6) AS retry_rate, rssi_first, rssi_last, ssid, akm, n_deauth, n_eapol, by_kind FROM facts JOIN (SELECT capture_id, string_agg(kind || '=' || n, ' ' ORDER BY kind) AS by_kind FROM (SELECT capture_id, kind, count(*) AS n FROM k GROUP BY ALL) GROUP BY capture_id) USING (capture_id)")
 def capture_summary(spark, sf):
-    return op.capture_summary(frames(spark, sf)).withColumns({"duration_s": F.round("duration_s", 3), "retry_rate": F.round("retry_rate", 6)})
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("by_kind")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ")
+    return op.capture_summary(frames(spark, sf)).withColumns({"by_kind": told, "duration_s": F.round("duration_s", 3), "retry_rate": F.round("retry_rate", 6)})
 
 
 @query("bssid_ranking", f"{KINDS} SELECT capture_id, addr3, count(*) AS n, row_number() OVER (PARTITION BY capture_id ORDER BY count(*) DESC, min(frame_index)) AS rank FROM k WHERE ftype = 0 AND addr3 <> '' GROUP BY capture_id, addr3")

@@ -19,8 +19,8 @@ from .registry import query
 DATA = "ftype = 2 AND key_info IS NULL"
 SEVERITY = "CASE level WHEN 'ERROR' THEN 'error' WHEN 'WARN' THEN 'warning' ELSE 'info' END"
 SAMPLES = "SELECT 'tag' || user_id AS tag, event_id AS monotonic_ms, event_id AS id, 'p' || (event_id % 3) AS probe, value, 'ms' AS unit FROM events"
-EVENTS = f"""{PARSED}, ev AS (SELECT tag, monotonic_ms, 2 AS source_rank, line_no AS seq, 'log' AS source, component || ':' AS label, message AS detail, {SEVERITY} AS severity FROM q
-UNION ALL SELECT tag, monotonic_ms, 1, CAST(id AS INT), 'kpi', probe, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) || unit, 'info' FROM ({SAMPLES}))"""
+EVENTS = f"""{PARSED}, ev AS (SELECT tag, monotonic_ms, 2 AS source_rank, CAST(line_no AS BIGINT) AS seq, 'log' AS source, component || ':' AS label, message AS detail, {SEVERITY} AS severity FROM q
+UNION ALL SELECT tag, monotonic_ms, 1, id, 'kpi', probe, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) || unit, 'info' FROM ({SAMPLES}))"""
 
 
 def samples(spark, sf):
@@ -36,6 +36,19 @@ def timeline(spark, sf):
     return events(spark, sf)
 
 
+@query("timeline_summary", f"{EVENTS}, n AS (SELECT tag, source, count(*) AS n, min(monotonic_ms) AS a, max(monotonic_ms) AS b FROM ev GROUP BY tag, source) SELECT tag, CAST(sum(n) AS BIGINT) AS n_events, string_agg(source || '=' || n, ' ' ORDER BY source) AS n_by_source, max(b) - min(a) AS duration_ms FROM n GROUP BY tag")
+def timeline_summary(spark, sf):
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("n_by_source")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ")
+    return tl.timeline_summary(events(spark, sf)).withColumn("n_by_source", told)
+
+
+@query("around", f"{EVENTS}, pts AS (SELECT 'tag' || user_id AS tag, event_id AS at_ms FROM events WHERE event_type = 'error') SELECT ev.tag, ev.source, ev.seq, ev.monotonic_ms, pts.at_ms FROM ev JOIN pts ON pts.tag = ev.tag AND abs(ev.monotonic_ms - pts.at_ms) <= 500")
+def around(spark, sf):
+    """The events about each error of a log."""
+    points = table(spark, sf, "events").where("event_type = 'error'").select(F.concat(F.lit("tag"), "user_id").alias("tag"), F.col("event_id").alias("at_ms"))
+    return tl.around(events(spark, sf), points, 500).select("tag", "source", "seq", "monotonic_ms", "at_ms")
+
+
 @query("error_context", f"{EVENTS}, fe AS (SELECT *, min(monotonic_ms) FILTER (severity = 'error') OVER (PARTITION BY tag) AS first_error_ms FROM ev) SELECT tag, monotonic_ms, source, seq, first_error_ms FROM fe WHERE abs(monotonic_ms - first_error_ms) <= 800")
 def error_context(spark, sf):
     return tl.error_context(events(spark, sf), 800).select("tag", "monotonic_ms", "source", "seq", "first_error_ms")
@@ -63,9 +76,10 @@ def rule_diagnosis(spark, sf):
 
 
 BODY = """concat('{"root_cause": "c', CAST(event_id % 9 AS STRING), '", "confidence": ', CASE CAST(event_id % 5 AS INT) WHEN 0 THEN '"high"' WHEN 1 THEN '1.7' WHEN 2 THEN '-3' ELSE concat('0.', CAST(event_id % 100 AS STRING)) END, ', "suggested_owner": "', CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'dhcp' WHEN 1 THEN 'The DHCP server' WHEN 2 THEN 'supplicant' WHEN 3 THEN 'driver' WHEN 4 THEN 'nobody' WHEN 5 THEN ' ISP ' ELSE 'environment' END, '"', CASE WHEN event_id % 3 = 0 THEN '' ELSE ', "evidence": ["a", "b"]' END, '}')"""
-RESPONSE = f"CASE CAST(event_id % 4 AS INT) WHEN 0 THEN {BODY} WHEN 1 THEN concat('Here:', chr(10), '```json', chr(10), {BODY}, chr(10), '```') WHEN 2 THEN concat('I think ', {BODY}, ' is it') ELSE 'no idea' END AS response"
+NO_CAUSE = '{"root_cause": null, "confidence": 0.5}'
+RESPONSE = f"CASE CAST(event_id % 4 AS INT) WHEN 0 THEN {BODY} WHEN 1 THEN concat('Here:', chr(10), '```json', chr(10), {BODY}, chr(10), '```') WHEN 2 THEN concat('I think ', {BODY}, ' is it') ELSE CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'no idea' WHEN 1 THEN concat({BODY}, ' or ', {BODY}) ELSE '{NO_CAUSE}' END END AS response"
 RESPONSES = f"SELECT event_id, {RESPONSE} FROM events"
-PARSE = f"WITH r AS ({RESPONSES}), p AS (SELECT event_id, CASE WHEN event_id % 4 < 3 THEN regexp_extract(response, '(?s)(\\{{.*\\}})', 1) END AS j FROM r), v AS (SELECT event_id, j IS NOT NULL AS parsed, j ->> 'root_cause' AS root_cause, j ->> 'confidence' AS confidence, j ->> 'suggested_owner' AS owner, json_array_length(j, '$.evidence') AS n FROM p)"
+PARSE = f"WITH r AS ({RESPONSES}), p AS (SELECT event_id, CASE WHEN event_id % 4 < 3 OR event_id % 3 = 2 THEN regexp_extract(response, '(?s)(\\{{.*\\}})', 1) END AS j FROM r), v AS (SELECT event_id, j IS NOT NULL AS parsed, j ->> 'root_cause' AS root_cause, j ->> 'confidence' AS confidence, j ->> 'suggested_owner' AS owner, json_array_length(j, '$.evidence') AS n FROM p)"
 
 
 def responses(spark, sf):

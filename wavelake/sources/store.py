@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 #: Files of this many bytes or more are not read for their checksum.
 MOST_HASHED = 64 * 1024 * 1024
 MANIFEST = "deterministic array<struct<tag string, scenario string, fault string, seed bigint, pcap string, log string, summary struct<result struct<ok boolean>, transitions array<string>>>>, flake array<struct<tag string, fault string, seed bigint, injected boolean, fired boolean, pcap string, log string>>"
@@ -17,10 +20,18 @@ def scan_store(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_log_text(spark: SparkSession, glob: str) -> DataFrame:
-    """path, line_no, raw of the lines that aren't blank. A file is one row first, so that lines keep their order; invalid bytes are replaced."""
-    files = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "raw"))
-    return lines.where(F.trim("raw") != "").select("path", (F.col("at") + 1).alias("line_no"), "raw")
+    """path, line_no (from 1), raw of the lines that aren't blank; invalid bytes are replaced.
+
+    Files are read in splits that end at line ends, so a file of any size is many tasks. A first scan counts the lines of each split;
+    a line's number is that of the lines in the splits of its file before its own, plus its place in the split, which
+    is how far its row is from the split's first row. Both scans cut the files alike, as they read the same list of files under the same settings: files must
+    not change meanwhile.
+    """
+    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = written(lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")), "splits")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("path", "block", (before - F.col("first") + 1).alias("shift"))
+    return lines.join(F.broadcast(starts), ["path", "block"]).select("path", (F.col("id") + F.col("shift")).alias("line_no"), F.make_valid_utf8("value").alias("raw")).where(F.col("raw").rlike(r"\S"))
 
 
 def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
