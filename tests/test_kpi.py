@@ -75,3 +75,23 @@ def test_common_features(spark):
     assert [r.feature for r in op.common_features(cells).collect()] == ["a"]
     apart = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0)], "run_id long, feature string, value double")
     assert op.common_features(apart).count() == 0
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    """By ranks and by an aggregate: bit-equal; nulls, repeats, one value, no value, null keys."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from wavelake.operators import selection as se
+
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice([rnd.random() * 1e6, float(rnd.randrange(5)), -1.5])) for k in ("a", "b", None) for _ in range(rnd.randrange(500, 3000))] + [("one", 2.5), ("none", None), ("a", None), ("a", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    ps = (0.0, 0.25, 0.5, 0.95, 0.99, 1.0)
+    told = lambda x: sorted(map(tuple, x.collect()), key=str)
+    held = told(se.held_quantiles(df, ["k"], "v", ps))
+    assert [r for r in held if r[0] != "none"] == told(se.ranked_quantiles(df, ["k"], "v", ps))
+    assert told(se.quantiles(df, ["k"], "v", ps, held=600)) == held
+    big = spark.range(3_000_000).select(F.lit("g").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10_000_019)) / 7).alias("v"))
+    assert told(se.ranked_quantiles(big, ["k"], "v", (0.5, 0.99))) == told(se.held_quantiles(big, ["k"], "v", (0.5, 0.99)))

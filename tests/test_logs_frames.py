@@ -357,3 +357,25 @@ def test_triage(spark):
     left = tr.trim_to_budget(parts, 300).collect()
     assert {r.name for r in left} == {"header", "forensics"} and all(r.truncated for r in left)
     assert len(tr.trim_to_budget(parts, 500).collect()) == 4
+
+
+def test_dissections(spark):
+    """Hex and plain SSIDs, antennas, hex numbers, texts that are no numbers, what only one says, lost and malformed frames."""
+    ours = capture(spark, "c", ["beacon", "auth", "m1", "data"])
+    base = {i: {"type_subtype": "", "retry": "", "status_code": "", "reason_code": "", "ssid": "", "rssi": "", "eapol": "3" if i == 2 else "", "malformed": ""} for i in range(4)}
+    names = ["type_subtype", "retry", "status_code", "reason_code", "ssid", "rssi", "eapol", "malformed"]
+
+    def run(**changes):
+        rows = [("c", i, *({**base[i], **changes.get(f"f{i}", {})}[n] for n in names)) for i in range(4) if changes.get(f"f{i}", {}) is not None]
+        theirs = spark.createDataFrame(rows, "capture_id string, frame_index int, " + ", ".join(f"{n} string" for n in names))
+        found = sorted((r.frame_index, r.field, r.ours, r.theirs) for r in fr.reconcile_dissections(ours, theirs).collect())
+        return found, fr.reconciled_captures(ours, theirs).first()
+
+    first = min(r.frame_index for r in ours.collect())
+    assert first == 0
+    found, row = run()
+    assert found == [] and row.agrees and (row.n_ours, row.n_theirs, list(row.malformed)) == (4, 4, [])
+    found, row = run(f0={"type_subtype": "0x08"}, f1={"type_subtype": "11", "status_code": "x", "malformed": "1"}, f2={"eapol": ""}, f3=None)
+    assert found == [(2, "is_eapol", "true", "false")] and not row.agrees and (row.n_theirs, list(row.malformed)) == (3, [1])
+    found, _ = run(f0={"type_subtype": "0x0005"})
+    assert found == [(0, "type_subtype", "8", "5")]

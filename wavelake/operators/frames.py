@@ -293,6 +293,46 @@ def reconcile_frames(ours: DataFrame, theirs: DataFrame, fields: tuple[str, ...]
     return both.select(*keys, F.inline(F.array_compact(F.array(lone, *differ))))
 
 
+#: The type and subtype by which another dissector calls a kind.
+SUBTYPES = {"assoc_request": 0, "assoc_response": 1, "reassoc_request": 2, "reassoc_response": 3, "probe_request": 4, "probe_response": 5, "beacon": 8, "disassoc": 10, "auth": 11, "sae_commit": 11, "sae_confirm": 11, "deauth": 12}
+#: What a dissector's table of fields is read as: all text, as it prints them.
+DISSECTED = ("type_subtype", "retry", "status_code", "reason_code", "ssid", "rssi", "eapol", "malformed")
+
+
+def _printed_int(text: Column) -> Column:
+    """A number printed as decimal or as 0x hex, null if it is neither."""
+    return F.when(text.startswith("0x"), F.conv(F.nullif(F.regexp_extract(text, "^0x([0-9a-fA-F]+)$", 1), F.lit("")), 16, 10)).otherwise(F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)\s*$", 1), F.lit(""))).try_cast("long")
+
+
+def reconcile_dissections(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """capture_id, frame_index, field, ours, theirs wherever frames differ from what another dissector printed: theirs has capture_id, frame_index and the texts of DISSECTED (null or empty: it printed none). What only one of them says is no difference, but for whether a frame is EAPOL. An SSID may be printed as hex, a signal as one value for each antenna, of which the first counts; a text that is no number is passed over."""
+    c = F.col
+    own = with_kind(ours).select("capture_id", "frame_index", "kind", "status_code", "reason_code", "ssid", "retry", "rssi_dbm", c("key_info").isNotNull().alias("is_eapol"))
+    said = theirs.select("capture_id", "frame_index", *(F.coalesce(c(x).cast("string"), F.lit("")).alias(f"t_{x}") for x in DISSECTED))
+    both = own.join(said, ["capture_id", "frame_index"])
+    hexed = F.when((F.length("t_ssid") % 2 == 0) & c("t_ssid").rlike("^[0-9a-fA-F]+$"), F.make_valid_utf8(F.unhex("t_ssid").cast("string")))
+    known = f.choose(c("kind"), SUBTYPES, F.lit(None).cast("int")).cast("long")
+    compared = {
+        "type_subtype": (known, _printed_int(c("t_type_subtype"))), "status_code": (c("status_code").cast("long"), _printed_int(c("t_status_code"))), "reason_code": (c("reason_code").cast("long"), _printed_int(c("t_reason_code"))),
+        "ssid": (F.when(c("ssid") != "<hidden>", F.nullif(c("ssid"), F.lit(""))), F.nullif(F.coalesce(hexed, c("t_ssid")), F.lit(""))), "retry": (c("retry"), F.when(c("t_retry").isin("0", "1"), c("t_retry") == "1")),
+        "rssi_dbm": (c("rssi_dbm").cast("long"), _printed_int(F.get(F.split("t_rssi", ","), F.lit(0)))), "is_eapol": (c("is_eapol"), c("t_eapol") != ""),
+    }
+    rows = [F.when(a.isNotNull() & b.isNotNull() & (a != b), F.struct(F.lit(name).alias("field"), a.cast("string").alias("ours"), b.cast("string").alias("theirs"))) for name, (a, b) in compared.items()]
+    return both.select("capture_id", "frame_index", F.inline(F.array_compact(F.array(*rows))))
+
+
+def reconciled_captures(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """capture_id, n_ours, n_theirs, n_differences, malformed (the frames that the other dissector calls so, in order) and agrees: as many frames, and no difference. A capture that one of them lacks has 0 frames there."""
+    c = F.col
+    differ = reconcile_dissections(ours, theirs).groupBy("capture_id").agg(F.count("*").alias("n_differences"))
+    bad = F.array_sort(F.collect_list(F.when(F.coalesce(c("malformed").cast("string"), F.lit("")) != "", c("frame_index"))))
+    mine = ours.groupBy("capture_id").agg(F.count("*").alias("n_ours"))
+    other = theirs.groupBy("capture_id").agg(F.count("*").alias("n_theirs"), bad.alias("malformed"))
+    out = mine.join(other, "capture_id", "full_outer").join(differ, "capture_id", "left")
+    out = out.withColumns({x: F.coalesce(x, F.lit(0)) for x in ("n_ours", "n_theirs", "n_differences")} | {"malformed": F.coalesce("malformed", F.array().cast(dict(other.dtypes)["malformed"]))})
+    return out.withColumn("agrees", (c("n_ours") == c("n_theirs")) & (c("n_differences") == 0))
+
+
 def _next_far(ms: np.ndarray, at: int, end: int, from_ms: int) -> int:
     """The first place from at to end whose clock is 1 s or more after from_ms, or end."""
     step = 64

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kpi as f
 from ..session import written
+from .selection import quantiles
 
 #: Baselines have a row for each scope; beyond this many they are joined by shuffle.
 MOST_BROADCAST_SCOPES = 100_000
@@ -35,13 +36,15 @@ def newest_n_per_scope(kpi: DataFrame, n: int = 200) -> DataFrame:
 
 
 def series_summary(samples: DataFrame, *keys: str) -> DataFrame:
-    """Robust and plain statistics of value for each group. The second pass needs the median, so it is joined by group."""
-    first = samples.groupBy(*keys).agg(
-        F.count("value").alias("n"), F.median("value").alias("median"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stddev"),
-        F.percentile("value", 0.95).alias("p95"), F.percentile("value", 0.99).alias("p99"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-    ).where("n > 0")
-    second = samples.join(first.select(*keys, "median"), list(keys)).groupBy(*keys).agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
-    return first.join(second, list(keys)).withColumns({"jitter": F.col("mad") * 1.4826, "tail_ratio": F.when(F.col("median") != 0, F.col("p99") / F.col("median"))})
+    """Robust and plain statistics of value for each group, however large it is. The second pass needs the median, so it is joined by group."""
+    keys_ = list(keys)
+    plain = samples.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("stddev"), F.min("value").alias("min_value"), F.max("value").alias("max_value")).where("n > 0")
+    plain = written(plain, "plain-statistics")
+    first = quantiles(samples, keys_, "value", (0.5, 0.95, 0.99), sizes=plain).withColumnsRenamed({"q0_5": "median", "q0_95": "p95", "q0_99": "p99"})
+    first = written(plain.join(first, keys_), "statistics")
+    apart = samples.join(first.select(*keys, "median"), keys_).select(*keys, F.abs(F.col("value") - F.col("median")).alias("apart"))
+    second = quantiles(apart, keys_, "apart", (0.5,), sizes=plain).withColumnRenamed("q0_5", "mad")
+    return first.join(second, keys_).withColumns({"jitter": F.col("mad") * 1.4826, "tail_ratio": F.when(F.col("median") != 0, F.col("p99") / F.col("median"))})
 
 
 def probe_summary(kpi: DataFrame) -> DataFrame:
@@ -96,7 +99,14 @@ def verdicts(joined: DataFrame, min_n: int = 8, min_relative: float = 0.25, z: t
     by_z = F.abs("z") >= F.when(c("verdict") == "critical", z[1]).otherwise(z[0])
     why = F.when(regressed & by_z, "z-score").when(regressed, F.format_string("%.1fx worse than baseline", "ratio")).when(c("verdict") == "improved", "improved")
     noisy = F.when((c("noisy") if "noisy" in joined.columns else F.lit(False)) & (c("verdict") != "improved"), "noisy baseline")
-    return out.withColumn("verdict", verdict).withColumn("reason", F.concat_ws(", ", why, noisy))
+    against = F.concat(decimals(c("value")), F.lit(" against "), decimals(c("median")), F.lit(" +/- "), decimals(c("mad")))
+    figures = F.when(c("n").isNull(), F.concat(decimals(c("value")), F.lit(", no baseline yet"))).when(c("n") < min_n, F.concat(decimals(c("value")), F.lit(", baseline of "), c("n"), F.lit(" samples"))).otherwise(against)
+    return out.withColumn("verdict", verdict).withColumn("reason", F.concat_ws(", ", figures, why, noisy))
+
+
+def decimals(x: Column) -> Column:
+    """A number with two decimals; it is rounded to six first, so that the last bits of a sum don't show."""
+    return F.round(F.round(x, 6), 2).cast("decimal(38,2)").cast("string")
 
 
 def detect_regressions(kpi: DataFrame, base: DataFrame, **limits) -> DataFrame:
@@ -146,16 +156,15 @@ def common_features(cells: DataFrame) -> DataFrame:
 
 def robust_scale(cells: DataFrame) -> DataFrame:
     """(value - median) / IQR of each feature; without spread, value - median."""
-    q = cells.groupBy("feature").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return cells.join(q, "feature").select("run_id", "feature", ((F.col("value") - F.col("q")[1]) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias("scaled"))
+    q = quantiles(cells, ["feature"], "value", (0.25, 0.5, 0.75))
+    iqr = F.col("q0_75") - F.col("q0_25")
+    return cells.join(q, "feature").select("run_id", "feature", ((F.col("value") - F.col("q0_5")) / F.when(iqr == 0, 1.0).otherwise(iqr)).alias("scaled"))
 
 
 def mad_deviations(cells: DataFrame) -> DataFrame:
     """(value - median) / MAD of each feature; a MAD of 0 counts as 1e-9."""
-    middle = cells.groupBy("feature").agg(F.median("value").alias("median"))
-    apart = cells.join(middle, "feature")
-    spread = apart.groupBy("feature").agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("mad"))
+    apart = cells.join(quantiles(cells, ["feature"], "value", (0.5,)).withColumnRenamed("q0_5", "median"), "feature").withColumn("apart", F.abs(F.col("value") - F.col("median")))
+    spread = quantiles(apart.select("feature", "apart"), ["feature"], "apart", (0.5,)).withColumnRenamed("q0_5", "mad")
     return apart.join(spread, "feature").select("run_id", "feature", ((F.col("value") - F.col("median")) / F.when(F.col("mad") == 0, 1e-9).otherwise(F.col("mad"))).alias("deviation"))
 
 

@@ -186,3 +186,28 @@ def reconcile_frames(spark, sf):
 @query("collapse_data_frames")
 def collapse_data_frames(spark, sf):
     return op.collapse_data_frames(frames(spark, sf)).select("capture_id", "frame_index", "monotonic_ms", "n", "retries", F.round("retry_share", 6).alias("retry_share"), "severity")
+
+
+#: What another dissector printed of the frames: hex SSIDs, signals of two antennas, some fields wrong, missing or no numbers, some frames malformed or lost.
+PRINTED = """SELECT capture_id, frame_index, CASE WHEN ftype <> 0 THEN '' WHEN frame_index % 17 = 0 THEN '0x0e' WHEN frame_index % 2 = 0 THEN concat('0x', lower(hex(subtype))) ELSE CAST(subtype AS STRING) END AS type_subtype, CASE WHEN frame_index % 13 = 0 THEN '' WHEN frame_index % 41 = 0 THEN CASE WHEN retry THEN '0' ELSE '1' END WHEN retry THEN '1' ELSE '0' END AS retry,
+ CASE WHEN frame_index % 11 = 0 THEN 'n/a' ELSE CAST(status_code AS STRING) END AS status_code, CAST(CASE WHEN frame_index % 19 = 0 THEN reason_code + 1 ELSE reason_code END AS STRING) AS reason_code, CASE WHEN frame_index % 3 = 0 THEN ssid ELSE lower(hex(ssid)) END AS ssid, concat(CAST(CASE WHEN frame_index % 53 = 0 THEN -1 ELSE rssi_dbm END AS STRING), ',-99') AS rssi,
+ CASE WHEN key_info IS NOT NULL AND frame_index % 29 <> 0 THEN '3' END AS eapol, CASE WHEN frame_index % 37 = 0 THEN 'yes' END AS malformed FROM frames WHERE frame_index % 97 <> 0 OR capture_id LIKE '%1'"""
+NAMED = " ".join(f"WHEN '{k}' THEN {v}" for k, v in op.SUBTYPES.items())
+DIFFER = f"""{KINDS}, pr AS ({PRINTED.replace('AS STRING', 'AS VARCHAR')}), jo AS (SELECT k.capture_id, k.frame_index, CAST(CASE kind {NAMED} END AS BIGINT) AS o1, CASE WHEN starts_with(p.type_subtype, '0x') THEN CAST('0x' || substr(p.type_subtype, 3) AS BIGINT) ELSE TRY_CAST(p.type_subtype AS BIGINT) END AS t1, CAST(k.status_code AS BIGINT) AS o2, TRY_CAST(p.status_code AS BIGINT) AS t2, CAST(k.reason_code AS BIGINT) AS o3, TRY_CAST(p.reason_code AS BIGINT) AS t3,
+ nullif(k.ssid, '') AS o4, nullif(CASE WHEN regexp_full_match(p.ssid, '([0-9a-f][0-9a-f])+') THEN decode(unhex(p.ssid)) ELSE p.ssid END, '') AS t4, k.retry AS o5, CASE p.retry WHEN '1' THEN true WHEN '0' THEN false END AS t5, CAST(k.rssi_dbm AS BIGINT) AS o6, TRY_CAST(split_part(p.rssi, ',', 1) AS BIGINT) AS t6, k.key_info IS NOT NULL AS o7, coalesce(p.eapol, '') <> '' AS t7 FROM k JOIN pr p ON p.capture_id = k.capture_id AND p.frame_index = k.frame_index),
+ di AS ({' UNION ALL '.join(f"SELECT capture_id, frame_index, '{x}' AS field, CAST(o{i} AS VARCHAR) AS ours, CAST(t{i} AS VARCHAR) AS theirs FROM jo WHERE o{i} <> t{i}" for i, x in enumerate(('type_subtype', 'status_code', 'reason_code', 'ssid', 'retry', 'rssi_dbm', 'is_eapol'), 1))})"""
+
+
+def printed(spark, sf):
+    return spark.sql(PRINTED.replace("FROM frames", "FROM {fr}"), fr=frames(spark, sf))
+
+
+@query("reconcile_dissections", f"{DIFFER} SELECT * FROM di")
+def reconcile_dissections(spark, sf):
+    return op.reconcile_dissections(frames(spark, sf), printed(spark, sf))
+
+
+@query("reconciled_captures", f"""{DIFFER}, co AS (SELECT capture_id, count(*) AS n FROM k GROUP BY 1), ct AS (SELECT capture_id, count(*) AS n, array_to_string(list(frame_index ORDER BY frame_index) FILTER (malformed <> ''), ' ') AS malformed FROM pr GROUP BY 1), dn AS (SELECT capture_id, count(*) AS n FROM di GROUP BY 1)
+SELECT capture_id, co.n AS n_ours, coalesce(ct.n, 0) AS n_theirs, coalesce(dn.n, 0) AS n_differences, coalesce(ct.malformed, '') AS malformed, co.n = coalesce(ct.n, 0) AND coalesce(dn.n, 0) = 0 AS agrees FROM co LEFT JOIN ct USING (capture_id) LEFT JOIN dn USING (capture_id)""")
+def reconciled_captures(spark, sf):
+    return op.reconciled_captures(frames(spark, sf), printed(spark, sf)).withColumn("malformed", F.array_join("malformed", " "))

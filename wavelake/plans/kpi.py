@@ -109,13 +109,18 @@ def baselines(spark, sf):
     return rounded(rounded(op.baselines(table(spark, sf, "kpi")), "median", "mad", "p95", "p99"), "upper_bound", "lower_bound", "relative_mad", digits=8)
 
 
+def two(x: str) -> str:
+    """A number with two decimals."""
+    return f"CAST(CAST(round(CAST(CAST(round({x}, 6) AS VARCHAR) AS DECIMAL(38, 18)), 2) AS DECIMAL(38, 2)) AS VARCHAR)"
+
+
 @query("kpi_vs_baseline", f"{REGRESSIONS} SELECT id, scope_key, value, n, {r('median', 'mad')} FROM joined")
 def kpi_vs_baseline(spark, sf):
     k = table(spark, sf, "kpi")
     return rounded(op.kpi_vs_baseline(k, op.baselines(k)).select("id", "scope_key", "value", "n", "median", "mad"), "median", "mad")
 
 
-@query("detect_regressions", f"{REGRESSIONS} SELECT id, run_id, scope_key, value, {r('z', 'relative', 'ratio')}, noisy, verdict, concat_ws(', ', CASE WHEN verdict IN ('critical', 'warning') THEN CASE WHEN abs(z) >= CASE verdict WHEN 'critical' THEN 7.0 ELSE 3.5 END THEN 'z-score' ELSE format('{{:.1f}}x worse than baseline', ratio) END WHEN verdict = 'improved' THEN 'improved' END, CASE WHEN noisy AND verdict <> 'improved' THEN 'noisy baseline' END) AS reason FROM found")
+@query("detect_regressions", f"{REGRESSIONS} SELECT id, run_id, scope_key, value, {r('z', 'relative', 'ratio')}, noisy, verdict, concat_ws(', ', CASE WHEN n IS NULL THEN {two('value')} || ', no baseline yet' WHEN n < 8 THEN {two('value')} || ', baseline of ' || n || ' samples' ELSE {two('value')} || ' against ' || {two('median')} || ' +/- ' || {two('mad')} END, CASE WHEN verdict IN ('critical', 'warning') THEN CASE WHEN abs(z) >= CASE verdict WHEN 'critical' THEN 7.0 ELSE 3.5 END THEN 'z-score' ELSE format('{{:.1f}}x worse than baseline', ratio) END WHEN verdict = 'improved' THEN 'improved' END, CASE WHEN noisy AND verdict <> 'improved' THEN 'noisy baseline' END) AS reason FROM found")
 def detect_regressions(spark, sf):
     k = table(spark, sf, "kpi")
     return rounded(op.detect_regressions(k, op.baselines(k)).select("id", "run_id", "scope_key", "value", "z", "relative", "ratio", "noisy", "verdict", "reason"), "z", "relative", "ratio")
