@@ -56,14 +56,18 @@ def stream_jitter(spark, sf):
 def stream_template_counts(spark, sf):
     l, at = lines(spark, sf).select("line_no", "tag", "message"), place(spark, "counts")
     templates = written(lg.drain_templates(l), "templates")
-    st.run(stream(spark, l), place(spark, "checkpoint"), each=st.append_changes(at, lambda batch: st.template_counts(batch, templates)))
+    st.run(stream(spark, l), place(spark, "checkpoint"), each=st.append_changes(at, lambda batch: st.template_counts(batch, templates), st.sum_counts))
     return st.sum_counts(st.changes(spark, at, "template_id long, hits long"))
 
 
 @query("stream_results_dedup", f"{ctes('results')} SELECT run_id, nodeid, attempt, id, outcome FROM results")
 def stream_results_dedup(spark, sf):
-    r = table(spark, sf, "results").select("id", "run_id", "nodeid", "attempt", "outcome")
-    both = r.unionByName(r.where("id % 5 = 0").withColumn("id", F.col("id") - 1_000_000))
+    r = table(spark, sf, "results").select("id", "run_id", "nodeid", "attempt", "outcome", F.col("started_at").alias("ts"))
+    # each fifth record comes once more as it is, and once as an older one
+    old = r.where("id % 5 = 0")
+    both = r.unionByName(old).unionByName(old.withColumn("id", F.col("id") - 1_000_000))
     at = place(spark, "latest")
-    st.run(stream(spark, both), place(spark, "checkpoint"), each=st.append_changes(at, st.latest_results))
-    return st.latest_results(st.changes(spark, at, both.schema)).select("run_id", "nodeid", "attempt", "id", "outcome")
+    fresh = st.first_seen(stream(spark, both), ["run_id", "nodeid", "attempt", "id"], late="10000 days")
+    st.run(fresh, place(spark, "checkpoint"), each=st.append_changes(at, st.latest_results, st.latest_results))
+    got = st.changes(spark, at, both.withColumn("ts", F.col("ts").cast("timestamp")).schema)
+    return st.latest_results(got).select("run_id", "nodeid", "attempt", "id", "outcome")

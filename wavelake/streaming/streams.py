@@ -44,18 +44,52 @@ def stream_jitter(samples: DataFrame, *keys: str) -> DataFrame:
     return usable(samples).select(*keys, "id", "value").groupBy(*keys).applyInPandasWithState(step, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", jitter double", "last double, jitter double", "update", "NoTimeout")
 
 
-def append_changes(path: str, change):
-    """A foreachBatch function that keeps a table as changes under path: change(batch) is written once for each batch, and merged when read. A repeated batch writes the change that it wrote before; what is there is never read or written again."""
+def _folders(spark: SparkSession, path: str, kind: str) -> dict[int, str]:
+    """The complete folders kind=<number> under path, by their number."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return {}
+    names = [str(x.getPath().getName()) for x in fs.listStatus(at)]
+    return {int(n.partition("=")[2]): f"{path}/{n}" for n in names if n.startswith(f"{kind}=") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))}
+
+
+def append_changes(path: str, change, merge=None, every: int = 10):
+    """A foreachBatch function that keeps a table as changes under path: change(batch) is written once for each batch (batch=<number>), and merged when read. A repeated batch writes the change that it wrote before.
+
+    With merge (a function of all changes to what they come to, in the same columns), each `every`-th batch puts what is there together as upto=<number>, and what that holds is deleted, so no more than 2 * every
+    folders are there at any time. Readers take the newest complete upto and the batches after it, so a crash between writing and deleting changes nothing.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        change(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        if number <= max(_folders(spark, path, "upto"), default=-1):
+            return  # repeated after a crash, and merged already
+        own = change(batch)
+        own.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if merge and (number + 1) % every == 0:
+            old = [*_folders(spark, path, "upto").values(), *_folders(spark, path, "batch").values()]
+            merge(changes(spark, path, own.schema)).write.mode("overwrite").parquet(f"{path}/upto={number}")
+            hadoop = spark._jvm.org.apache.hadoop.fs
+            fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+            for folder in old:
+                fs.delete(hadoop.Path(folder), True)
 
     return write
 
 
 def changes(spark: SparkSession, path: str, schema) -> DataFrame:
-    """All changes under path, with the number of their batch."""
-    return spark.read.schema(schema).parquet(path)
+    """All changes under path: the newest merged ones and those since."""
+    merged, batches = _folders(spark, path, "upto"), _folders(spark, path, "batch")
+    newest = max(merged, default=-1)
+    paths = [*(merged[newest] for _ in range(newest >= 0)), *(at for n, at in sorted(batches.items()) if n > newest)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def first_seen(records: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
+    """records without repeats of their keys: a row counts once, and rows later than `late` behind the newest don't count. What is held for each key goes when the watermark has passed it."""
+    return records.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def template_counts(lines: DataFrame, templates: DataFrame) -> DataFrame:
@@ -72,8 +106,22 @@ def latest_results(records: DataFrame) -> DataFrame:
     return upsert_latest(records.limit(0), records, ["run_id", "nodeid", "attempt"], "id")
 
 
+#: Where state lives: on the executors' disks and in the checkpoint, not on the heap.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run(stream: DataFrame, checkpoint: str, sink: str | None = None, each=None, mode: str = "append") -> None:
-    """Drives a stream over all that is there: into a Parquet sink, or through each(batch, number)."""
+    """Drives a stream over all that is there: into a Parquet sink, or through each(batch, number). State is kept in RocksDB."""
+    key, spark = "spark.sql.streaming.stateStore.providerClass", stream.sparkSession
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        _driven(stream, checkpoint, sink, each, mode)
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
+
+
+def _driven(stream: DataFrame, checkpoint: str, sink: str | None, each, mode: str) -> None:
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").start(sink)
     query.awaitTermination()
