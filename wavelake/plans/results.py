@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import results as op
+from ..session import scratch
+from ..sources import versions as ver
 from .fixtures import ctes, table
 from .registry import query
 
@@ -160,6 +162,15 @@ def upsert_latest(spark, sf):
     return op.upsert_latest(r.where("id % 3 <> 0"), r.where("id % 2 = 0").withColumn("outcome", F.lit("rerun")), ["run_id", "nodeid", "attempt"], "id").select("run_id", "nodeid", "attempt", "outcome")
 
 
+@query("upsert_version", f"{RESULTS}, old AS (SELECT * FROM results WHERE id % 3 <> 0), new AS (SELECT id, run_id, nodeid, attempt, 'rerun' AS outcome FROM results WHERE id % 2 = 0) SELECT run_id, nodeid, attempt, coalesce(n.outcome, o.outcome) AS outcome FROM old o FULL JOIN new n USING (run_id, nodeid, attempt)")
+def upsert_version(spark, sf):
+    """The same change to a stored table of a partition for each ten runs."""
+    r, at, part = results(spark, sf).select("id", "run_id", "nodeid", "attempt", "outcome"), scratch(spark, "versions"), F.floor(F.col("run_id") / 10)
+    ver.put_partitions(r.where("id % 3 <> 0"), at, part, set())
+    ver.upsert_version(spark, at, r.where("id % 2 = 0").withColumn("outcome", F.lit("rerun")), ["run_id", "nodeid", "attempt"], "id", part)
+    return ver.read_version(spark, at, r.schema).select("run_id", "nodeid", "attempt", "outcome")
+
+
 @query("upsert_templates", "WITH base AS (SELECT event_type AS template, count(*) AS hit_count, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events WHERE event_id % 2 = 0 GROUP BY 1), hits AS (SELECT event_type AS template, 1 AS hit_count, event_id AS first_seen, event_id AS last_seen FROM events WHERE event_id % 2 = 1) SELECT template, CAST(sum(hit_count) AS BIGINT) AS hit_count, min(first_seen) AS first_seen, max(last_seen) AS last_seen FROM (SELECT * FROM base UNION ALL SELECT * FROM hits) GROUP BY template")
 def upsert_templates(spark, sf):
     e = table(spark, sf, "events")
