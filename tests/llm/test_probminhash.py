@@ -155,3 +155,39 @@ def test_copies_with_repeated_lines(spark):
     assert all(jaccards(texts[i], texts[i + 1])[0] < 0.4 and jaccards(texts[i], texts[i + 1])[1] == 1 for i in range(0, len(texts), 4))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.class_id for r in p.near_classes(df).collect()} == brute(rows)
+
+
+def test_many_short_texts_of_one_shingle():
+    """200,000 texts of six words with five in common: no link, and no time for each member that grows with the group."""
+    import time
+
+
+    n = 200_000
+    common = np.uint64(7)
+    sets = [np.sort(np.array([common, 1000 + i], np.uint64)) for i in range(n)]
+    began = time.perf_counter()
+    assert p.links_within(np.arange(n), np.arange(n), sets, [None] * n, 0.8) == []
+    assert time.perf_counter() - began < 60
+
+
+def test_links_of_a_group_are_all_pairs():
+    """Random sets and multisets against every pair of them: the same classes."""
+
+    for seed in range(12):
+        rnd = np.random.default_rng(seed)
+        base = rnd.integers(1, 2**62, 40).astype(np.uint64)
+        sets, times = [], []
+        for _ in range(60):
+            own = np.unique(rnd.choice(base[: rnd.integers(2, 40)], rnd.integers(1, 30)))
+            sets.append(own)
+            times.append(rnd.integers(1, 6, len(own)).astype(np.uint32) if rnd.random() < 0.4 else None)
+
+        def spread(links):
+            label = list(range(60))
+            for u, v, _ in links:
+                a, b = label[u], label[v]
+                label = [a if x == b else x for x in label]
+            return {frozenset(i for i in range(60) if label[i] == x) for x in label}
+
+        every = [(i, j, 1) for i in range(60) for j in range(i) if max(p.likeness(sets[i], sets[j], times[i], times[j])) >= 0.7 - 1e-12]
+        assert spread(every) == spread(p.links_within(np.arange(60), np.arange(60), sets, times, 0.7))

@@ -37,8 +37,8 @@ from .components import components
 from .common import id_and_text, small_batches, written
 
 WORDS, ALIKE, BANDS, ROWS, SMALL = 5, 0.8, 24, 4, 8
-#: Bytes of shingles in a block of a cluster.
-BLOCK = 8_000_000
+#: Bytes of shingles in a block of a cluster, and what each member counts beside its own.
+BLOCK, MEMBER = 8_000_000, 200
 
 
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,14 +198,21 @@ def links_within(ids: np.ndarray, classes: np.ndarray, sets: list, times: list,
     order = np.argsort(code, kind="stable")
     owner, share = np.repeat(np.arange(n), size)[order], np.concatenate([w / max(1.0, w.sum()) for w in weights])
     posted, first = share[order], np.searchsorted(code[order], np.arange(code.max() + 2))
-    out = []
+    many_of, out = np.diff(first), []
     # a pair of different classes has a member that isn't of the largest one
     for x in np.flatnonzero(classes != np.bincount(classes).argmax()).tolist():
-        other = classes != classes[x]
-        if not other.any():
-            continue
         own = code[off[x] : off[x + 1]]
-        many = first[own + 1] - first[own]
+        if not len(own):
+            continue
+        many = many_of[own]
+        # whoever is alike has that share of x's shingles, by number or by weight, so one of the rarest, as many as leave less than it
+        rarest = np.argsort(many, kind="stable")
+        even = np.full(len(own), 1 / len(own))
+        upto = max(_prefix(even, alike), _prefix(share[off[x] : off[x + 1]][rarest], alike))
+        at = ranges(first[own[rarest[:upto]]], many[rarest[:upto]])
+        if (classes[owner[at]] == classes[x]).all():
+            continue
+        other = classes != classes[x]
         at = ranges(first[own], many)
         common = np.bincount(owner[at], minlength=n)
         alike_to = np.where(common > 0, common / np.maximum(1, size[x] + size - common), 0.0)
@@ -223,16 +230,21 @@ def links_within(ids: np.ndarray, classes: np.ndarray, sets: list, times: list,
     return out
 
 
+def _prefix(mass: np.ndarray, alike: float) -> int:
+    """How many of the first shares of a whole leave less than alike."""
+    return int(np.searchsorted(np.cumsum(mass), 1 - alike + 1e-9, "right")) + 1
+
+
 def links_apart(left: DataFrame, stars: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     """u, v, similarity: links that put together all members of left (id, label) that share a bucket, have different labels and are alike. stars: (u, v) that lead from each member to the least of its buckets.
 
     Members that buckets connect are a cluster, which holds every pair of each of its buckets once.
-    A cluster of more than BLOCK bytes of shingles is cut into blocks, and every two blocks meet in
+    A cluster of more than BLOCK bytes of shingles, to which each member adds MEMBER, is cut into blocks, and every two blocks meet in
     a task. No pair is written: only links are."""
     cluster = components(stars).select("id", F.col("label").alias("cluster"))
     rows = left.join(cluster, "id").join(sets, "id")
     rows = written(rows.select("cluster", "id", "label", "shingles", "times"), "clusters")
-    blocks = rows.groupBy("cluster").agg((F.floor(F.sum(F.octet_length("shingles") + F.coalesce(F.octet_length("times"), F.lit(0))) / BLOCK) + 1).cast("int").alias("blocks"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cluster", "blocks")
+    blocks = rows.groupBy("cluster").agg((F.floor(F.sum(F.octet_length("shingles") + F.coalesce(F.octet_length("times"), F.lit(0)) + MEMBER) / BLOCK) + 1).cast("int").alias("blocks"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("cluster", "blocks")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: o != F.col("own")))
     dealt = rows.join(blocks, "cluster").withColumn("own", own).select("*", F.explode(others).alias("other"))
@@ -316,8 +328,8 @@ def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class, the one of least doc_id (of several texts with it, that of class_key); rows without doc_id stay."""
+    """docs with one row of each class, the one of least doc_id (of several texts with it, that of class_key; of several rows with both, that of the least hash of its columns); rows without doc_id stay."""
     kept = near_classes(docs, **options).where("doc_id is not null").select(F.struct(F.col("class_id").alias("doc_id"), F.col("class_key").alias("key")).alias("kept")).distinct()
     inner = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), key_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key")).alias("kept"), F.struct("*").alias("row"))
-    known = inner.where("kept.doc_id is not null").join(kept, "kept", "left_semi").dropDuplicates(["kept"])
+    known = inner.where("kept.doc_id is not null").join(kept, "kept", "left_semi").groupBy("kept").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return known.unionByName(inner.where("kept.doc_id is null")).select("row.*")
