@@ -2,9 +2,13 @@
 
 Windows of 13 normalised words of each benchmark item (an item of fewer words is one window)
 are broadcast as a sorted hash set and scanned for in the words of every document; what the
-hashes hit is verified word by word. Beyond MOST_WINDOWS windows the set is a bitmap of BITS
-hashes, and what hits it is joined to the windows by the words; documents are scanned once in
-either case, and the results are the same.
+hashes hit is verified word by word. Beyond MOST_WINDOWS windows or MOST_BYTES of their words the
+set is a bitmap of BITS hashes, and what hits it is joined to the windows by the words; documents
+are scanned once in either case, and the results are the same.
+
+Item ids are not broadcast: a window carries a hash of the set of items that have it (its owners), and
+the sets are joined to what was found, once for each different list of them. A window of very many items
+so costs no more than another; its ids meet in one row, as they do in the result.
 
 Words: A-Z lower-cased; runs of ASCII letters, digits and anything beyond ASCII. A null or
 empty text has no words and no hits; a null item has no windows, an item without item_id is
@@ -24,8 +28,8 @@ from .blocks import ALNUM_WORDS, LOWER, Block, ranges, text_batches, window_hash
 from .common import id_and_text, small_batches, written
 
 K = 13
-#: Windows in one broadcast: about 100 bytes each.
-MOST_WINDOWS = 500_000
+#: Windows in one broadcast, and bytes of their words.
+MOST_WINDOWS, MOST_BYTES = 500_000, 64 << 20
 #: Bits of the hash set of a larger benchmark: 16 MB.
 BITS = 1 << 27
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,18 +38,18 @@ _built: dict = {}
 
 
 def windows(benchmark: DataFrame, k: int = K) -> DataFrame:
-    """words (the k words of a window, one blank between), items (sorted ids of the items that have it)."""
+    """words (the k words of a window, one blank between), items (sorted ids of the items that have it), owners (a hash of items)."""
     words = F.regexp_extract_all(F.translate("text", UPPER, SMALL), F.lit(WORD), F.lit(0))
     rows = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item"), words.alias("w")).where("size(w) > 0")
     each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))
-    return rows.select("item", F.explode(each).alias("words")).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.select("item", F.explode(each).alias("words")).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("owners", F.sha2(F.to_json("items"), 256))
 
 
 class Index:
     """Windows by length, to be found in blocks of texts."""
 
-    def __init__(self, rows: list[tuple[str, list[str]]]):
-        self.items = [items for _, items in rows]
+    def __init__(self, rows: list[tuple[str, str]]):
+        self.owners = [owners for _, owners in rows]
         block = Block(pa.array([w for w, _ in rows], pa.large_string()))
         spans = block.words(ALNUM_WORDS)
         hashes, sizes = spans.hashes(True), spans.ends - spans.starts
@@ -99,7 +103,7 @@ def covered(n: int, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, rows) -> DataFrame:
-    """doc_id, n_words, hits (first word and number of words of each run of hit words), items, for a broadcast of windows."""
+    """doc_id, n_words, hits (first word and number of words of each run of hit words), owners (those of the windows that occur), for a broadcast of windows."""
 
     mark = uuid.uuid4().hex
 
@@ -112,11 +116,11 @@ def scan(docs: DataFrame, rows) -> DataFrame:
             spans = Block(b.column(1)).words(ALNUM_WORDS)
             at, k, entry = index.hits(spans)
             hits: list[list] = [[] for _ in range(b.num_rows)]
-            items: list[set] = [set() for _ in range(b.num_rows)]
+            owners: list[set] = [set() for _ in range(b.num_rows)]
             if len(at):
                 doc = np.searchsorted(spans.first, at, "right") - 1
                 for d, e in np.unique(np.stack([doc, entry], 1), axis=0).tolist():
-                    items[d].update(index.items[e])
+                    owners[d].add(index.owners[e])
                 hit = np.concatenate([covered(len(spans), at, k), [False]])
                 edge = np.diff(np.concatenate([[False], hit]).astype(np.int8))
                 edge[spans.first[:-1]] = np.where(hit[spans.first[:-1]], 1, edge[spans.first[:-1]])  # runs end with their text
@@ -127,12 +131,12 @@ def scan(docs: DataFrame, rows) -> DataFrame:
                 for d, s, n in zip(own.tolist(), (starts - spans.first[own]).tolist(), (ends - starts).tolist(), strict=True):
                     hits[d].append({"word": s, "n": n})
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(spans.counts), pa.array(hits, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                ["doc_id", "n_words", "hits", "items"],
+                [b.column(0), pa.array(spans.counts), pa.array(hits, pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))), pa.array([sorted(x) for x in owners], pa.list_(pa.string()))],
+                ["doc_id", "n_words", "hits", "owners"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, hits array<struct<word:long,n:long>>, items array<string>")
+    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, hits array<struct<word:long,n:long>>, owners array<string>")
 
 
 def candidates(docs: DataFrame, bitmap, lengths: list[int]) -> DataFrame:
@@ -183,23 +187,35 @@ def window_bits(grams: DataFrame) -> tuple[np.ndarray, list[int]]:
     return bits, lengths
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, most_windows: int = MOST_WINDOWS) -> DataFrame:
+def with_items(found: DataFrame, grams: DataFrame) -> DataFrame:
+    """found with the items of all its owners (sorted, each once); those of each different list of owners are put together once."""
+    some = found.where("size(owners) > 0").withColumn("list", F.sha2(F.to_json("owners"), 256))
+    lists = some.select("list", "owners").dropDuplicates(["list"]).select("list", F.explode("owners").alias("owners"))
+    each = lists.join(grams.select("owners", "items").dropDuplicates(["owners"]), "owners").select("list", F.explode("items").alias("item")).distinct()
+    named = some.join(each.groupBy("list").agg(F.array_sort(F.collect_list("item")).alias("items")), "list").drop("list", "owners")
+    return found.where("size(owners) = 0").drop("owners").withColumn("items", F.array().cast("array<string>")).unionByName(named)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, k: int = K, most_windows: int = MOST_WINDOWS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, hits, n_hit, items (sorted as strings), contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs, grams = id_and_text(docs), windows(benchmark, k)
-    if (n := grams.count()) <= most_windows:
-        rows = [(r.words, list(r["items"])) for r in grams.collect()] if n else []  # most_windows at most
-        out = scan(docs, spark.sparkContext.broadcast(rows))
+    docs, grams = id_and_text(docs), written(windows(benchmark, k), "windows")
+    size = grams.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= most_windows and size["bytes"] <= most_bytes:
+        once: dict[str, str] = {}  # equal owners are one string of the broadcast
+        rows = [(r.words, once.setdefault(r.owners, r.owners)) for r in grams.select("words", "owners").collect()]  # bounded just above
+        found = written(scan(docs, spark.sparkContext.broadcast(rows)), "found")
     else:
-        grams = written(grams, "windows")
         bits, lengths = window_bits(grams)
-        found = written(candidates(docs, spark.sparkContext.broadcast(bits), lengths).withColumn("row", F.monotonically_increasing_id()), "candidates")
+        maybe = written(candidates(docs, spark.sparkContext.broadcast(bits), lengths).withColumn("row", F.monotonically_increasing_id()), "candidates")
         # the words themselves are compared by the join
-        hits = found.select("row", F.inline("found")).join(grams, "words").select("row", "items", F.sequence("word", F.col("word") + F.col("n") - 1).alias("at"))
+        hits = written(maybe.select("row", F.inline("found")).join(grams.select("words", "owners"), "words").select("row", "owners", F.sequence("word", F.col("word") + F.col("n") - 1).alias("at")), "occurrences")
         words = hits.select("row", F.explode("at").alias("word")).distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("word", F.lit(1).cast("long").alias("n")))).alias("hits"))
-        items = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-        out = found.join(words, "row", "left").join(items, "row", "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<struct<word:bigint,n:bigint>>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+        owners = hits.groupBy("row").agg(F.array_sort(F.collect_set("owners")).alias("owners"))
+        found = maybe.join(words, "row", "left").join(owners, "row", "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast("array<struct<word:bigint,n:bigint>>")).alias("hits"), F.coalesce("owners", F.array().cast("array<string>")).alias("owners"))
+        found = written(found, "found")
+    out = with_items(found, grams)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["n"])
     out = out.withColumn("n_hit", n_hit)
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
