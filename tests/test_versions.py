@@ -1,11 +1,13 @@
-"""Versioned tables: what a change writes, who reads during it, and a change that never ends."""
+"""Versioned tables: what a change writes, who reads during it, and a change that never ends. Catalogues of files."""
 
+import hashlib
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from wavelake.operators.results import upsert_latest
+from wavelake.sources import store
 from wavelake.sources import versions as v
 
 SCHEMA = "id long, run_id long, outcome string"
@@ -50,3 +52,16 @@ def test_a_change_that_never_ends(spark, tmp_path, monkeypatch):
     assert told(v.read_version(spark, path, SCHEMA)) == told(rows)
     assert v.upsert_version(spark, path, updates, ["id"], "outcome", part) == 1
     assert told(v.read_version(spark, path, SCHEMA)) == [(1, 1, "c"), (2, 2, "b")]
+
+
+def test_artifact_catalog(spark, tmp_path, monkeypatch):
+    """Files of nested folders, of any ending, empty, and too large to be read for a checksum."""
+    files = {"a.PCAP": b"\xa1\xb2\x00", "deep/er/b.log": b"line\n", "deep/none": b"", "large.log": b"x" * 100}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(store, "MOST_HASHED", 100)
+    got = {r.path.partition(tmp_path.name + "/")[2]: (r["size"], r.kind, r.sha256) for r in store.artifact_catalog(spark, str(tmp_path)).collect()}
+    kinds = {"a.PCAP": "pcap", "deep/er/b.log": "log", "deep/none": "", "large.log": "log"}
+    assert got == {n: (len(c), kinds[n], None if len(c) >= 100 else hashlib.sha256(c).hexdigest()) for n, c in files.items() if c}
+    assert {r.path.rpartition("/")[2] for r in store.artifact_catalog(spark, str(tmp_path), "*.log").collect()} == {"b.log", "large.log"}

@@ -16,8 +16,8 @@ from .results import truth
 
 
 place = scratch
-#: Lines of a log file, and ids of a manifest: so neither is longer than a task can hold.
-LINES, MANIFEST = 100_000, 1_000_000
+#: Lines of a log file, and ids of a manifest: so neither is longer than a task can hold. Lines of an artifact.
+LINES, MANIFEST, PART = 100_000, 1_000_000, 1000
 
 
 @query("isolation_forest")
@@ -65,9 +65,13 @@ def read_manifest(spark, sf):
     return store.read_manifest(spark, at, lines=True).select("kind", "tag", "scenario", "fault", "fired", "ok", F.when(c("transitions").isNotNull(), F.size("transitions")).alias("n_transitions"))
 
 
-@query("artifact_catalog")
+@query("artifact_catalog", f"""{ctes('log_raw')}, files AS (SELECT 'tag=' || tag || '/part=' || (line_no - 1) // {PART} AS name, string_agg(raw, chr(10) ORDER BY line_no) || chr(10) AS content FROM log_raw GROUP BY tag, (line_no - 1) // {PART})
+SELECT name, strlen(content) AS size, 'txt' AS kind, sha256(content) AS sha256 FROM files""")
 def artifact_catalog(spark, sf):
-    return store.artifact_catalog(spark, sf, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "kind", "sha256")
+    """The derived log lines, written as text files of up to PART lines of a tag."""
+    at, log = place(spark, "artifacts"), table(spark, sf, "log_raw").withColumn("part", F.floor((F.col("line_no") - 1) / PART))
+    log.repartition("tag", "part").sortWithinPartitions("tag", "part", "line_no").select("tag", "part", "raw").write.partitionBy("tag", "part").text(at)
+    return store.artifact_catalog(spark, at, "*.txt").select(F.regexp_extract("path", r"([^/]+/[^/]+)/[^/]+$", 1).alias("name"), "size", "kind", "sha256")
 
 
 @query("list_captures", f"{ctes('frames')} SELECT DISTINCT 'capture_id=' || capture_id AS name FROM frames WHERE capture_id LIKE '%1%' ORDER BY name LIMIT 40")

@@ -123,29 +123,50 @@ def log_summary(spark, sf):
     return s.select("tag", "total", "n_errors", "n_warnings", "duration_ms", F.array_join("reason_codes", ",").alias("reason_codes"), F.array_join("status_codes", ",").alias("status_codes"), F.size("by_level").cast("long").alias("n_levels"), F.coalesce(F.element_at("by_component", "dhcp"), F.lit(0)).alias("n_dhcp"), "n_transitions", "path", "final_state")
 
 
-@query("drain_templates")
+# templates, as a fold over the distinct statements of each leaf in order of their first line; no length has over 100 first tokens here, so a leaf's keys are its tokens
+KEY = lambda i: f"CASE WHEN regexp_matches(coalesce(tokens[{i}], ''), '^<.*>$') THEN '<*>' ELSE coalesce(tokens[{i}], '') END"
+LIKE = lambda template, tokens: f"len(list_filter(range(1, len({template}) + 1), lambda k: {template}[k] = {tokens}[k] OR {template}[k] = '<*>'))"
+TEMPLATES = f"""WITH RECURSIVE{PARSED.removeprefix('WITH')}, tok AS (SELECT tag, line_no, message, list_filter(regexp_split_to_array({masked('message')}, '\\s+'), lambda x: x <> '') AS tokens FROM q),
+st AS (SELECT tokens, count(*) AS n, min(struct_pack(tag := tag, line_no := line_no)) AS first, arg_min(message, struct_pack(tag := tag, line_no := line_no)) AS example FROM tok WHERE len(tokens) > 0 GROUP BY tokens),
+leaves AS (SELECT *, len(tokens) AS width, {KEY(1)} AS key1, {KEY(2)} AS key2 FROM st), placed AS (SELECT *, row_number() OVER (PARTITION BY width, key1, key2 ORDER BY first) AS i FROM leaves),
+fold AS (SELECT width, key1, key2, i, [tokens] AS found, [n] AS hits, [first] AS firsts, [[example]] AS examples FROM placed WHERE i = 1
+ UNION ALL SELECT width, key1, key2, i,
+  CASE WHEN fits THEN list_transform(found, lambda t, j: CASE WHEN j = best THEN list_transform(t, lambda x, k: CASE WHEN x = tokens[k] THEN x ELSE '<*>' END) ELSE t END) ELSE list_append(found, tokens) END,
+  CASE WHEN fits THEN list_transform(hits, lambda x, j: CASE WHEN j = best THEN x + n ELSE x END) ELSE list_append(hits, n) END,
+  CASE WHEN fits THEN firsts ELSE list_append(firsts, first) END,
+  CASE WHEN fits THEN list_transform(examples, lambda x, j: CASE WHEN j = best AND len(x) < 3 THEN list_append(x, example) ELSE x END) ELSE list_append(examples, [example]) END
+ FROM (SELECT *, list_position(scores, list_max(scores)) AS best, list_max(scores) >= 0.5 * width AS fits
+  FROM (SELECT p.*, found, hits, firsts, examples, list_transform(found, lambda t: {LIKE('t', 'p.tokens')}) AS scores FROM fold o JOIN placed p ON p.width = o.width AND p.key1 = o.key1 AND p.key2 = o.key2 AND p.i = o.i + 1))),
+mined AS (SELECT width, key1, key2, unnest(found) AS pattern, unnest(hits) AS hits, unnest(firsts) AS first, unnest(examples) AS examples FROM fold QUALIFY row_number() OVER (PARTITION BY width, key1, key2 ORDER BY i DESC) = 1),
+templates AS (SELECT *, row_number() OVER (ORDER BY first) AS template_id FROM mined)"""
+MATCHED = f"""{TEMPLATES}, best AS (SELECT tokens, arg_min(template_id, struct_pack(miss := width - score, id := template_id)) AS template_id
+ FROM (SELECT l.tokens, template_id, l.width, {LIKE('pattern', 'l.tokens')} AS score FROM leaves l JOIN templates t ON l.width = t.width AND t.key1 IN (l.key1, '<*>') AND t.key2 IN (l.key2, '<*>')) WHERE score >= 0.5 * width GROUP BY tokens),
+matched AS (SELECT tag, line_no, template_id FROM tok LEFT JOIN best USING (tokens))"""
+
+
+@query("drain_templates", f"{TEMPLATES} SELECT template_id, array_to_string(pattern, ' ') AS text, hits, array_to_string(examples, ' | ') AS examples FROM templates")
 def drain_templates(spark, sf):
-    return op.drain_templates(lines(spark, sf)).select("template_id", "tokens", "hits", "examples")
+    return op.drain_templates(lines(spark, sf)).select("template_id", F.array_join("tokens", " ").alias("text"), "hits", F.array_join("examples", " | ").alias("examples"))
 
 
-@query("match_template")
+@query("match_template", f"{MATCHED} SELECT tag, line_no, template_id FROM matched")
 def match_template(spark, sf):
     l = lines(spark, sf)
     return op.match_template(l, op.drain_templates(l)).select("tag", "line_no", "template_id")
 
 
-@query("top_templates")
+@query("top_templates", f"{TEMPLATES} SELECT CAST(row_number() OVER (ORDER BY hits DESC, template_id) AS INT) AS rank, template_id, hits, array_to_string(pattern, ' ') AS text FROM templates ORDER BY hits DESC, template_id LIMIT 25")
 def top_templates(spark, sf):
     return op.top_templates(op.drain_templates(lines(spark, sf))).select("rank", "template_id", "hits", F.array_join("tokens", " ").alias("text"))
 
 
-@query("compression_ratio")
+@query("compression_ratio", f"{TEMPLATES} SELECT (SELECT count(*) FROM q) AS lines, (SELECT count(*) FROM templates) AS templates, 1 - (SELECT count(*) FROM templates) / (SELECT count(*) FROM q) AS ratio")
 def compression_ratio(spark, sf):
     l = lines(spark, sf)
     return op.compression_ratio(l, op.drain_templates(l))
 
 
-@query("template_histogram")
+@query("template_histogram", f"""{MATCHED} SELECT tag, '{{' || string_agg('"' || template_id || '":' || n, ',' ORDER BY template_id) || '}}' AS histogram FROM (SELECT tag, template_id, count(*) AS n FROM matched WHERE template_id IS NOT NULL GROUP BY tag, template_id) GROUP BY tag""")
 def template_histogram(spark, sf):
     l = lines(spark, sf)
     return op.template_histogram(op.match_template(l, op.drain_templates(l))).select("tag", F.to_json("histogram").alias("histogram"))

@@ -48,7 +48,7 @@ def decode_json_columns(df: DataFrame, **schemas: str) -> DataFrame:
 
 
 def artifact_catalog(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, size, kind, sha256 (null for large files, whose content isn't read)."""
+    """path, size, kind, sha256 (null for large files, whose content isn't read) of the files below folder. Empty files are left out, as Spark's scans of files do."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     small = files.where(F.col("length") < MOST_HASHED).select("path", F.col("length").alias("size"), kind.alias("kind"), F.sha2("content", 256).alias("sha256"))
