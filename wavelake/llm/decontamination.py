@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ALNUM_WORDS, LOWER, Block, ranges, text_batches, window_hashes
-from .common import id_and_text, small_batches, written
+from .common import bit_set, id_and_text, small_batches, written
 
 K = 13
 #: Windows in one broadcast, and bytes of their words.
@@ -178,13 +178,7 @@ def window_bits(grams: DataFrame) -> tuple[np.ndarray, list[int]]:
 
     hashed = grams.select(F.col("words").alias("text")).mapInArrow(run, "bit long, n long")
     lengths = sorted(r.n for r in hashed.select("n").distinct().collect())  # k at most
-    parts = hashed.groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bits = np.zeros(BITS // 8, np.uint8)
-    for r in parts:  # a built-in part p > 0 has the bits from (p - 1) * its size + 1; bit 0 is alone in part 0
-        own = np.flatnonzero(np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little"))
-        at = own + (r["part"] - 1) * 8 * len(r["bits"]) + 1 if r["part"] else own
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bits, lengths
+    return bit_set(hashed, BITS), lengths
 
 
 def with_items(found: DataFrame, grams: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ of one doc_id are members each. Only doc_id and text are read. An empty table gi
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 from .blocks import SPACE_WORDS, U64, Block, mix, ranges, text_batches, window_hashes
 from .bpe import binary
 from .components import components
-from .common import id_and_text, small_batches, written
+from .common import bit_set, id_and_text, small_batches, written
 
 WORDS, ALIKE, BANDS, ROWS, SMALL = 5, 0.8, 24, 4, 8
 #: Bytes of shingles in a block of a cluster, and what each member counts beside its own.
 BLOCK, MEMBER = 8_000_000, 200
+#: Bits of the set of texts that share a bucket: 16 MB.
+BITS = 1 << 27
 
 
 def shingles(texts: pa.Array, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,6 +275,19 @@ def links_apart(left: DataFrame, stars: DataFrame, sets: DataFrame, alike: float
     return dealt.mapInArrow(run, "u long, v long, similarity double")
 
 
+def maybe_wanted(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of keyed whose hash of (doc_id, text_key) is one of wanted's, so that few texts but those that the join keeps are shuffled for it."""
+    bit = F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(BITS)).alias("bit")
+    bits = keyed.sparkSession.sparkContext.broadcast(bit_set(wanted.select(bit), BITS))
+
+    @F.pandas_udf("boolean")
+    def has(at: pd.Series) -> pd.Series:
+        h = at.to_numpy()
+        return pd.Series(bits.value[h >> 3] >> (h & 7).astype(np.uint8) & 1 == 1)
+
+    return keyed.where(has(bit))
+
+
 def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """doc_id, text_key, text_id (least doc_id of the same text), class_id (least doc_id of the class), class_key (least text_key of the rows of class_id in the class), a row for each row of docs."""
     spark = docs.sparkSession
@@ -291,7 +307,8 @@ def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows
     pairs = written(_pairs_within(buckets, sizes, small).unionByName(stars).distinct(), "pairs")
     # all that share a bucket, so that the texts are read once for all rounds
     wanted = members.select("doc_id", "text_key", "id").join(buckets.join(sizes.select("bucket"), "bucket").select("id").distinct(), "id", "left_semi")
-    keyed = docs.withColumn("text_key", key_of(F.col("text")))
+    wanted = written(wanted, "wanted")
+    keyed = maybe_wanted(docs.withColumn("text_key", key_of(F.col("text"))), wanted)
     texts = keyed.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     sets = written(shingle_sets(texts), "sets")
     links = written(verified(pairs, sets, alike).select("u", "v"), "links")
