@@ -176,9 +176,9 @@ def verified(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", "ta", "tb").mapInArrow(run, "u long, v long, similarity double")
 
 
-def _pairs_within(rows: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """All pairs of the buckets of 2 to most members."""
-    own = rows.join(sizes.where(F.col("n").between(2, most)).select("bucket"), "bucket")
+def _pairs_within(shared: DataFrame, most: int) -> DataFrame:
+    """All pairs of the buckets of 2 to most members. shared: bucket, id, n."""
+    own = shared.where(F.col("n") <= most)
     other = own.select("bucket", F.col("id").alias("v"))
     return own.select("bucket", F.col("id").alias("u")).join(other, "bucket").where("u > v").select("u", "v")
 
@@ -302,18 +302,20 @@ def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows
     fresh = (F.col("band") < bands) | (F.col("bucket") != F.element_at("bands", F.greatest(F.col("band") - bands + 1, F.lit(1))))
     buckets = written(drawn_bands.where(fresh).select("id", "bucket"), "buckets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.min_by("id", F.xxhash64("id", "bucket")).alias("other")).where("n > 1")
-    sizes = written(sizes, "sizes")
-    stars = buckets.join(sizes.where(F.col("n") > small), "bucket").where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    pairs = written(_pairs_within(buckets, sizes, small).unionByName(stars).distinct(), "pairs")
+    sizes = written(sizes, "sizes")  # so that the join below can be split where a bucket is large
+    # most buckets have one member: all that follows reads the others alone
+    shared = written(buckets.join(sizes, "bucket"), "shared")
+    large = shared.where(F.col("n") > small)
+    stars = large.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    pairs = written(_pairs_within(shared, small).unionByName(stars).distinct(), "pairs")
     # all that share a bucket, so that the texts are read once for all rounds
-    wanted = members.select("doc_id", "text_key", "id").join(buckets.join(sizes.select("bucket"), "bucket").select("id").distinct(), "id", "left_semi")
+    wanted = members.select("doc_id", "text_key", "id").join(shared.select("id").distinct(), "id", "left_semi")
     wanted = written(wanted, "wanted")
     keyed = maybe_wanted(docs.withColumn("text_key", key_of(F.col("text"))), wanted)
     texts = keyed.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
     sets = written(shingle_sets(texts), "sets")
     links = written(verified(pairs, sets, alike).select("u", "v"), "links")
     labels = written(components(links), "labels")
-    large = buckets.join(sizes.where(F.col("n") > small).select("bucket", "other"), "bucket")
 
     def left() -> DataFrame:
         """The members of large buckets that hold different classes still."""
@@ -329,7 +331,7 @@ def near_classes(docs: DataFrame, alike: float = ALIKE, bands: int = BANDS, rows
         links = links.unionByName(written(verified(again, sets, alike).select("u", "v"), "links"))
         labels = written(components(links), "labels")
     # all other pairs of different classes that are alike
-    own = written(left().join(sizes.select("bucket", "least"), "bucket").select("id", "label", "least"), "left")
+    own = written(left().select("id", "label", "least"), "left")
     if own.head(1):
         stars = own.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
         more = written(links_apart(own.select("id", "label").distinct(), stars, sets, alike).select("u", "v"), "more")
