@@ -95,3 +95,24 @@ def test_quantiles_of_groups_of_any_size(spark):
     assert told(se.quantiles(df, ["k"], "v", ps, held=600)) == held
     big = spark.range(3_000_000).select(F.lit("g").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(10_000_019)) / 7).alias("v"))
     assert told(se.ranked_quantiles(big, ["k"], "v", (0.5, 0.99))) == told(se.held_quantiles(big, ["k"], "v", (0.5, 0.99)))
+
+
+def test_ratios_are_rounded_by_their_exact_value(spark):
+    import struct
+
+    # halves go to even, what only looks like a half in its shortest text goes where its bits are
+    values = [1747.25, 46.25, 2.75, 2.65, 3.35, 4.05, 9.95, 99.95, 2.5, 2.96, 1e9 + 0.25, 123456789.05, *(struct.unpack("<d", struct.pack("<Q", 0x4004000000000000 + i * 0x9E3779B97F))[0] for i in range(2000))]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", op.one_decimal(F.col("x")).alias("s")).collect()
+    assert [(r.x, r.s) for r in got if r.s != f"{r.x:.1f}"] == []
+    assert spark.createDataFrame([(float("inf"),)], "x double").select(op.one_decimal(F.col("x")).alias("s")).first().s == "inf"
+
+
+def test_queries_round_as_their_sql_does(spark):
+    import duckdb
+
+    from wavelake.plans.kpi import rounded
+
+    values = [0.6745 * (100.1 - 35.28) / 21.28, -0.6745 * (100.1 - 35.28) / 21.28, 0.1234565, 2.0000005, 1.0000015, -3.5, 0.0, 1e300, float("inf"), *(0.0000005 + i / 1e6 for i in range(500))]
+    got = [r.x for r in rounded(spark.createDataFrame([(x,) for x in values], "x double"), "x").collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("select round(cast(? as double), 6)", [x]).fetchall()[0][0] for x in values]

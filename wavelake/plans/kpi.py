@@ -23,8 +23,16 @@ ratios AS (SELECT *, (z > 0 AND up) OR (z < 0 AND down) AS got_worse, CASE WHEN
 found AS (SELECT *, CASE WHEN n IS NULL THEN 'no_baseline' WHEN n < 8 THEN 'insufficient_data' WHEN relative < 0.25 THEN 'ok' WHEN NOT got_worse AND (abs(z) > 3.5 OR inverse >= 2.5) THEN 'improved' WHEN got_worse AND (abs(z) >= 7 OR ratio >= 4) THEN 'critical' WHEN got_worse AND (abs(z) >= 3.5 OR ratio >= 2.5) THEN 'warning' ELSE 'ok' END AS verdict FROM ratios)"""
 
 
+def as_sql_rounds(x, digits):
+    """round() as DuckDB has it: of the product with a power of ten as a double, half away from zero. Spark's rounds the shortest text of a number, which differs where one of them is at a half."""
+    at = F.abs(x * F.lit(10.0**digits))
+    whole = F.floor(at)
+    near = (whole + F.when(at - whole >= 0.5, 1).otherwise(0)).cast("double") / F.lit(10.0**digits)
+    return F.when(at < 2.0**52, F.when(x < 0, -near).otherwise(near)).otherwise(x)
+
+
 def rounded(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: as_sql_rounds(F.col(c), digits) for c in columns})
 
 
 def r(*columns, digits=6):
