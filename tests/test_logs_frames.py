@@ -283,6 +283,27 @@ def test_clusters_against_plain_dbscan(spark, monkeypatch, min_samples, block):
         assert got[k] in roots if roots else got[k] == -1
 
 
+@pytest.mark.parametrize("min_samples,rare", [(2, 2), (3, 12)])
+def test_clusters_with_and_without_loose_vectors(spark, monkeypatch, min_samples, rare):
+    """Some vectors meet by blocks and others through rare n-grams; all the rest of these tests have loose ones alone."""
+    monkeypatch.setattr(fa.cosine, "RARE", rare)
+    test_clusters_against_plain_dbscan(spark, monkeypatch, min_samples, 5)
+
+
+def test_signatures_like_no_other_meet_in_no_block(spark):
+    """3,000 hashes, of which two differ in two signs, and a bug of many wordings."""
+    text = F.concat(F.lit("handshake timed out waiting for M3 step="), F.col("id") % 97)
+    df = spark.range(3200).select(F.format_string("t%04d", "id").alias("tag"), F.when(F.col("id") < 3000, F.md5(F.col("id").cast("string"))).otherwise(text).alias("signature"))
+    twin = df.where("tag = 't0007'").select(F.lit("u").alias("tag"), F.concat(F.substring("signature", 1, 30), F.lit("zz")).alias("signature"))
+    df = df.unionByName(twin)
+    reps = df.groupBy("signature").agg(F.min("tag").alias("tag"), F.count("*").alias("size"))
+    _, pairs, places, loose = fa.cosine.blocks(fa.tfidf_char_ngrams(reps), 0.65)
+    assert places.where("block % 2 = 1").count() > 2900 and pairs.count() <= 10
+    assert [(r.a, r.b) for r in loose.where("b = 'u'").collect()] == [("t0007", "u")]
+    got = {r.tag: r.label for r in fa.cluster_failures(df).collect()}
+    assert got["u"] == got["t0007"] >= 0 and sum(x < 0 for x in got.values()) == 2999 and len({got[f"t{i}"] for i in range(3000, 3200)}) == 1
+
+
 def test_weights_are_of_all_rows(spark):
     """100 equal signatures and one that differs in a word: what all share weighs little, so the one is noise."""
     rows = [(f"t{i:03d}", "handshake timed out waiting") for i in range(100)] + [("u", "handshake timed out never")]
