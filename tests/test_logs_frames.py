@@ -400,3 +400,11 @@ def test_dissections(spark):
     assert found == [(2, "is_eapol", "true", "false")] and not row.agrees and (row.n_theirs, list(row.malformed)) == (3, [1])
     found, _ = run(f0={"type_subtype": "0x0005"})
     assert found == [(0, "type_subtype", "8", "5")]
+
+
+def test_trimmed_sections_lie_in_many_tasks(spark):
+    parts = spark.range(2000).select(F.col("id").cast("string").alias("tag"), F.explode(F.array(F.lit("header"), F.lit("kpi"))).alias("name"), F.repeat(F.lit("x"), 900).alias("text"))
+    left = tr.trim_to_budget(parts, 300)
+    rows = left.select("tag", "name", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == 2000 and {r.name for r in rows} == {"header"}
+    assert len({r.p for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
