@@ -408,3 +408,14 @@ def test_trimmed_sections_lie_in_many_tasks(spark):
     rows = left.select("tag", "name", F.spark_partition_id().alias("p")).collect()
     assert len(rows) == 2000 and {r.name for r in rows} == {"header"}
     assert len({r.p for r in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_log_text_below_a_folder(spark, tmp_path):
+    from wavelake.sources import store
+
+    for name, text in (("tag=a/part=0", "x\ny"), ("tag=b/part=7", "z")):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "f.txt").write_text(text)
+    got = store.read_log_text(spark, str(tmp_path))
+    assert got.columns == ["path", "line_no", "raw"]
+    assert sorted((r.line_no, r.raw) for r in got.collect()) == [(1, "x"), (1, "z"), (2, "y")]

@@ -16,6 +16,8 @@ from .results import truth
 
 
 place = scratch
+#: Where a table is a file for each of many groups, tasks put their files in place themselves; else the driver does, one by one, at the end.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 #: Lines of a log file, and ids of a manifest: so neither is longer than a task can hold. Lines of an artifact.
 LINES, MANIFEST, PART = 100_000, 1_000_000, 1000
 
@@ -41,8 +43,8 @@ def read_log_text(spark, sf):
     at, lines = place(spark, "logs"), raw(spark, sf)
     part = F.floor((F.col("line_no") - 1) / LINES).cast("long").alias("part")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
-    lines.groupBy("tag", part).agg(F.array_join(ordered, "\n").alias("value")).write.partitionBy("tag", "part").text(at)
-    got = store.read_log_text(spark, f"{at}/tag=*/part=*/*.txt")
+    lines.groupBy("tag", part).agg(F.array_join(ordered, "\n").alias("value")).write.options(**BY_TASKS).partitionBy("tag", "part").text(at)
+    got = store.read_log_text(spark, at)
     before = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int") * LINES
     return got.select(F.regexp_extract("path", "tag=([^/]+)/", 1).alias("tag"), (F.col("line_no") + before).alias("line_no"), "raw")
 
@@ -70,7 +72,7 @@ SELECT name, strlen(content) AS size, 'txt' AS kind, sha256(content) AS sha256 F
 def artifact_catalog(spark, sf):
     """The derived log lines, written as text files of up to PART lines of a tag."""
     at, log = place(spark, "artifacts"), table(spark, sf, "log_raw").withColumn("part", F.floor((F.col("line_no") - 1) / PART))
-    log.repartition("tag", "part").sortWithinPartitions("tag", "part", "line_no").select("tag", "part", "raw").write.partitionBy("tag", "part").text(at)
+    log.repartition("tag", "part").sortWithinPartitions("tag", "part", "line_no").select("tag", "part", "raw").write.options(**BY_TASKS).partitionBy("tag", "part").text(at)
     return store.artifact_catalog(spark, at, "*.txt").select(F.regexp_extract("path", r"([^/]+/[^/]+)/[^/]+$", 1).alias("name"), "size", "kind", "sha256")
 
 
@@ -78,7 +80,7 @@ def artifact_catalog(spark, sf):
 def list_captures(spark, sf):
     """The derived frames, written as a folder for each capture; at most 40 names, as the operator's users ask for."""
     at = place(spark, "captures")
-    table(spark, sf, "frames").write.partitionBy("capture_id").parquet(at)
+    table(spark, sf, "frames").write.options(**BY_TASKS).partitionBy("capture_id").parquet(at)
     return store.list_captures(spark, at, "1", 40, "*.parquet").where("size > 0").select("name")
 
 

@@ -20,14 +20,14 @@ def scan_store(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def read_log_text(spark: SparkSession, glob: str) -> DataFrame:
-    """path, line_no (from 1), raw of the lines that aren't blank; invalid bytes are replaced.
+    """path, line_no (from 1), raw of the lines that aren't blank, in files or in all that lies below folders; invalid bytes are replaced. Many folders are better given by their top, which tasks list, than by a pattern, which the driver looks through.
 
     Files are read in splits that end at line ends, so a file of any size is many tasks. A first scan counts the lines of each split;
     a line's number is that of the lines in the splits of its file before its own, plus its place in the split, which
     is how far its row is from the split's first row. Both scans cut the files alike, as they read the same list of files under the same settings: files must
     not change meanwhile.
     """
-    lines = spark.read.text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    lines = spark.read.option("recursiveFileLookup", "true").text(glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     splits = written(lines.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")), "splits")
     before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = splits.select("path", "block", (before - F.col("first") + 1).alias("shift"))
