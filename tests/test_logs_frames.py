@@ -419,3 +419,24 @@ def test_log_text_below_a_folder(spark, tmp_path):
     got = store.read_log_text(spark, str(tmp_path))
     assert got.columns == ["path", "line_no", "raw"]
     assert sorted((r.line_no, r.raw) for r in got.collect()) == [(1, "x"), (1, "z"), (2, "y")]
+
+
+def test_tokens_are_cut_once_for_each_message(spark):
+    """No mask runs below a grouping of the lines by message, neither in mining nor in matching."""
+    said = ["deauth received reason=4", "deauth received reason=4", "deauth received reason=5", "lease 10.0.0.1 of 7", "lease 10.0.0.2 of 8", "", None]
+    lines = spark.createDataFrame([("t", i, x) for i, x in enumerate(said)], "tag string, line_no int, message string")
+    templates = op.drain_templates(lines)
+    matched = op.match_template(lines, templates)
+    assert matched.columns == ["tag", "line_no", "message", "template_id"]
+    assert [r.template_id for r in matched.orderBy("line_no").collect()] == [1, 1, 1, 2, 2, None, None]
+    assert sorted((r.tokens, r.hits, r.examples) for r in templates.collect()) == [(["deauth", "received", "reason=<NUM>"], 3, ["deauth received reason=4"]), (["lease", "<IP>", "of", "<NUM>"], 2, ["lease 10.0.0.1 of 7"])]
+    for df in (op.distinct_statements(lines, []), matched):
+        depth, grouped = None, 0
+        for row in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            at = len(row) - len(row.lstrip(" :+-"))
+            depth = None if depth is not None and at <= depth else depth
+            if depth is None and "Aggregate [message" in row:
+                depth, grouped = at, grouped + 1
+            elif depth is not None:
+                assert "regexp_replace" not in row, row
+        assert grouped
