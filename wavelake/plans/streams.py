@@ -54,7 +54,7 @@ def stream_jitter(spark, sf):
 
 @query("stream_template_counts")
 def stream_template_counts(spark, sf):
-    l, at = lines(spark, sf).select("line_no", "tag", "message"), place(spark, "counts")
+    l, at = written(lines(spark, sf).select("line_no", "tag", "message"), "lines"), place(spark, "counts")
     templates = written(lg.drain_templates(l), "templates")
     st.run(stream(spark, l), place(spark, "checkpoint"), each=st.append_changes(at, lambda batch: st.template_counts(batch, templates), st.sum_counts))
     return st.sum_counts(st.changes(spark, at, "template_id long, hits long"))
