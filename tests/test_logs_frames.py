@@ -1,5 +1,8 @@
 """Log lines, captures and triage on literals."""
 
+import math
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -430,13 +433,54 @@ def test_tokens_are_cut_once_for_each_message(spark):
     assert matched.columns == ["tag", "line_no", "message", "template_id"]
     assert [r.template_id for r in matched.orderBy("line_no").collect()] == [1, 1, 1, 2, 2, None, None]
     assert sorted((r.tokens, r.hits, r.examples) for r in templates.collect()) == [(["deauth", "received", "reason=<NUM>"], 3, ["deauth received reason=4"]), (["lease", "<IP>", "of", "<NUM>"], 2, ["lease 10.0.0.1 of 7"])]
-    for df in (op.distinct_statements(lines, []), matched):
-        depth, grouped = None, 0
-        for row in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
-            at = len(row) - len(row.lstrip(" :+-"))
-            depth = None if depth is not None and at <= depth else depth
-            if depth is None and "Aggregate [message" in row:
-                depth, grouped = at, grouped + 1
-            elif depth is not None:
-                assert "regexp_replace" not in row, row
-        assert grouped
+    assert_above_grouping(op.distinct_statements(lines, []), "message", "regexp_replace")
+    assert_above_grouping(matched, "message", "regexp_replace")
+
+
+def assert_above_grouping(df, key, what):
+    """No expression with `what` is below a grouping by key."""
+    depth, grouped = None, 0
+    for row in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        at = len(row) - len(row.lstrip(" :+-"))
+        depth = None if depth is not None and at <= depth else depth
+        if depth is None and f"Aggregate [{key}" in row:
+            depth, grouped = at, grouped + 1
+        elif depth is not None:
+            assert what not in row, row
+    assert grouped
+
+
+def test_ngrams_are_cut_once_for_each_word(spark):
+    own = spark.createDataFrame([("a", "Reason4 reason4  lost"), ("b", "reason4"), ("c", ""), ("d", None)], "tag string, signature string")
+    got = fa.tfidf_char_ngrams(own)
+    assert_above_grouping(got, "word", "substr")
+    w = {(r.tag, r.ngram): (r.df, r.weight) for r in got.collect()}
+    assert {t for t, _ in w} == {"a", "b"} and w["a", " rea"][0] == 2 and w["a", "lost"][0] == 1
+    # twice in a, once there: 1 + ln 2 times its inverse frequency
+    assert w["a", " rea"][1] / w["a", "lost"][1] == pytest.approx((1 + math.log(2)) * (math.log(5 / 3) + 1) / (math.log(5 / 2) + 1))
+
+
+def test_blocks_that_meet_are_not_written_pair_by_pair(spark, monkeypatch):
+    """All pairs of like signatures in blocks of three: nothing is dealt after blocks meet."""
+    monkeypatch.setattr(fa.cosine, "BLOCK", 3)
+    rows = [(f"t{i:02}", f"deauth received reason={i % 7} attempt {i % 5} of many") for i in range(40)]
+    t = fa.tfidf_char_ngrams(spark.createDataFrame(rows, "tag string, signature string"))
+    got = fa.signature_neighbours(t)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan.split("CartesianProduct")[0]
+    vectors = {}
+    for r in t.collect():
+        vectors.setdefault(r.tag, {})[r.ngram] = r.weight
+    want = {}
+    for a, x in vectors.items():
+        for b, y in vectors.items():
+            c = sum(w * y.get(g, 0.0) for g, w in x.items())
+            if a < b and c >= 0.65:
+                want[a, b] = round(c, 6)
+    assert {(r.a, r.b): round(r.cosine, 6) for r in got.collect()} == want and len(want) > 100
+
+
+def test_a_forest_of_links(spark):
+    told = [{"a": pa.array(["b", "c", "z"]), "b": pa.array(["a", "b", "z"])}, {"a": pa.array(["e", "c"]), "b": pa.array(["c", "a"])}, {"a": pa.array(["y"]), "b": pa.array(["x"])}]
+    got = fa.cosine.forest(told)
+    assert list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == [("b", "a"), ("c", "a"), ("e", "a"), ("y", "x")]
