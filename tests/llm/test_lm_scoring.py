@@ -188,3 +188,15 @@ def test_every_training_text_is_read_once(spark):
     moved = (m.unpack(before)["e"] != m.unpack(model.flat)["e"]).any(1)
     assert all(moved[u].all() for u in units)
     assert model.flat.dtype == np.float32
+
+
+def test_attention_sees_each_id_before():
+    model, rnd = some_model()
+    ids = some_ids(model, rnd, np.array([m.LENGTH - 2]))
+    lp = m.scored(model, m.Patches(ids, np.array([len(ids)]), model.units, model.shares))
+    for at in range(1, len(ids) - 3):
+        other = ids.copy()
+        other[at] = rnd.choice(np.flatnonzero(model.units.unit[:-1] != model.units.unit[ids[at]]))
+        got = m.scored(model, m.Patches(other, np.array([len(ids)]), model.units, model.shares))
+        # beyond the two next ids, whose shares it changes
+        assert (got[:at] == lp[:at]).all() and (got[at + 3 :] != lp[at + 3 :]).all()

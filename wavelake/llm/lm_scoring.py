@@ -1,11 +1,10 @@
 """Language-model scoring by a causal self-attention model trained in numpy.
 
-Texts are lower-cased (A-Z) words with one end. The model reads their byte-level subword ids in
-patches of PATCH ids: masked self-attention over the patches before it and a feed-forward layer
-say, for each patch, which classes of ids are likelier there than they are everywhere. An id's
-probability is
+Texts are lower-cased (A-Z) words with one end. The model reads their byte-level subword ids:
+masked self-attention over all ids before an id in its window and a feed-forward layer say, for
+each id, which classes of ids are likelier there than they are everywhere. An id's probability is
 
-    P(class | the two ids before it in its word, patches before) * P(unit | class, id before) * P(id | unit)
+    P(class | the two ids before it in its word, ids before) * P(unit | class, id before) * P(id | unit)
 
 where the first factor is the softmax of the network's output plus a fixed bias, the log share
 of the class after those two ids in training texts. The CONTEXTS most frequent pairs of ids have
@@ -15,7 +14,7 @@ for the attention to say. Units are the UNITS most frequent ids and two for all
 smoothed over everything that can be there, so the probabilities of all texts add up to at most
 1; an id that no training text has can be scored too.
 
-Scoring cuts a text into windows of LENGTH patches that overlap by LENGTH - STEP; a window scores
+Scoring cuts a text into windows of LENGTH ids that overlap by LENGTH - STEP; a window scores
 the ids that none before it has scored, so each id counts once. All windows of a batch go
 through at once, those of like size together.
 
@@ -47,14 +46,14 @@ from .bpe import Vocabulary, _given, built
 from .common import id_and_text, small_batches, written
 from .pretokens import Memory, per_text, pieces, spread
 
-#: Ids in a patch, patches in a window, and new patches of each window after the first.
-PATCH, LENGTH, STEP = 16, 8, 7
+#: Ids in a place of a window (one, so that attention sees each id before), places in a window, and new places of each window after the first.
+PATCH, LENGTH, STEP = 1, 32, 24
 WIDTH, HIDDEN = 16, 32
 UNITS, CONTEXTS = 2048, 1 << 14
 #: Classes of ids that begin a word and of others: an own one for the most frequent, bins for the rest. The end of a text is the last class.
 BEGIN, WITHIN, BINS = 39, 40, 10
 CLASSES = BEGIN + WITHIN + 1
-ROUNDS, BATCH, RATE = 2, 64, 0.03
+ROUNDS, BATCH, RATE = 2, 128, 0.015
 #: Weight of the coarser share in a finer one.
 SMOOTH = 5.0
 #: Words whose counts are broadcast at most.
@@ -63,6 +62,11 @@ NO_ROW = -1
 #: Bytes of text that a task works on at once: the more, the fewer distinct words a byte.
 BYTES = 2_000_000
 
+#: Windows that are scored at once.
+AT_ONCE = 64
+#: Logits are cut off at this, so that nothing is too large for its type.
+MOST = 40.0
+
 #: Rows of "e" that are no unit: before a text, and a place without an id, which is 0.
 BEFORE, NONE = UNITS, UNITS + 1
 
@@ -102,53 +106,81 @@ def rows_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return table.take(at, 0, mode="clip")
 
 
-def weights(z: np.ndarray) -> np.ndarray:
-    """exp(z) of logits from -40 to 40, in place: so nothing is too large for its type."""
-    np.clip(z, -40, 40, out=z)
+def reach(a: np.ndarray) -> float:
+    """The greatest length of a row of a."""
+    return float(np.einsum("...i,...i->...", a, a).max(initial=0)) ** 0.5
+
+
+def weights(z: np.ndarray, bound: float = np.inf) -> np.ndarray:
+    """exp(z) of logits from -MOST to MOST, in place. bound: no logit is larger, or less than -bound."""
+    if bound > MOST:
+        np.clip(z, -MOST, MOST, out=z)
     return np.exp(z, out=z)
 
 
-def hidden(w: dict, x: np.ndarray):
-    """(what goes into the output layer, and what backward() needs) for rows of patches (window, place, WIDTH)."""
+def output(w: dict, f: np.ndarray) -> np.ndarray:
+    """The weight of each class, for rows of hidden()."""
+    z = f @ w["out"]
+    z += w["bias"]
+    return weights(z, reach(f) * reach(w["out"].T) + float(np.abs(w["bias"]).max()))
+
+
+def folded(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The products of weights that attention needs: of queries and keys, of values and what they are turned into."""
+    return (w["q"] @ w["k"].T) * np.asarray(WIDTH**-0.5, w["q"].dtype), w["v"] @ w["o"]
+
+
+def hidden(w: dict, x: np.ndarray, old: int = 0):
+    """(what goes into the output layer, and what backward() needs) for rows of places (window, place, WIDTH). Only places from old on are asked for; they see those before, too."""
     n = x.shape[1]
     x = x + w["pos"][:n]
-    q, k, v = times(x, w["q"]), times(x, w["k"]), times(x, w["v"])
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(WIDTH**-0.5)
-    s = weights(s)
-    s *= MASK[:n, :n]
-    s /= s.sum(2, keepdims=True)
+    qv = times(x, np.concatenate(folded(w), 1))
+    q, v = qv[:, old:, :WIDTH], qv[:, :, WIDTH:]
+    s = weights(q @ x.transpose(0, 2, 1), reach(q) * reach(x))
+    s *= MASK[old:n, :n]
+    s /= (s @ np.ones(n, s.dtype))[:, :, None]
     c = s @ v
-    h = x + times(c, w["o"])
+    h = c + x[:, old:]
     r = times(h, w["w1"])
     r += w["b1"]
-    np.maximum(r, 0, out=r)
-    return h + times(r, w["w2"]), (x, q, k, v, s, c, h, r)
+    np.clip(r, 0, np.inf, out=r)
+    f = times(r, w["w2"])
+    f += h
+    return f, (x, q, v, s, c, h, r)
 
 
 def backward(w: dict, g: dict, f: np.ndarray, kept: tuple, dz: np.ndarray) -> np.ndarray:
-    """Adds the gradients of all weights but "e" to g, for the gradient dz of the output; returns that of x."""
-    x, q, k, v, s, c, h, r = kept
+    """Adds the gradients of all weights but "e" to g, for the gradient dz of the output at all places; returns that of x."""
+    x, q, v, s, c, h, r = kept
     two = lambda a: a.reshape(-1, a.shape[-1])
+    ones = np.ones(len(two(x)), x.dtype)
     g["out"] += two(f).T @ two(dz)
-    g["bias"] += two(dz).sum(0)
+    g["bias"] += ones @ two(dz)
     df = times(dz, w["out"].T)
     g["w2"] += two(r).T @ two(df)
     dr = times(df, w["w2"].T)
     dr *= r > 0
     g["w1"] += two(h).T @ two(dr)
-    g["b1"] += two(dr).sum(0)
-    dh = df + times(dr, w["w1"].T)
-    g["o"] += two(c).T @ two(dh)
-    dc = times(dh, w["o"].T)
-    ds, dv = dc @ v.transpose(0, 2, 1), s.transpose(0, 2, 1) @ dc
-    ds = s * (ds - (ds * s).sum(2, keepdims=True)) * np.asarray(WIDTH**-0.5, s.dtype)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] += two(x).T @ two(d)
-    dx = dh + times(dq, w["q"].T) + times(dk, w["k"].T) + times(dv, w["v"].T)
-    g["pos"][: x.shape[1]] += dx.sum(0)
-    return dx
+    g["b1"] += ones @ two(dr)
+    df += times(dr, w["w1"].T)
+    ds = df @ v.transpose(0, 2, 1)
+    ds -= np.einsum("...i,...i->...", df, c)[:, :, None]
+    ds *= s
+    back = ds.transpose(0, 2, 1) @ q
+    d = np.empty((*x.shape[:2], 2 * WIDTH), x.dtype)
+    np.matmul(ds, x, out=d[:, :, :WIDTH])
+    np.matmul(s.transpose(0, 2, 1), df, out=d[:, :, WIDTH:])
+    qk, vo = folded(w)
+    both = two(x).T @ two(d)
+    gq, gv = both[:, :WIDTH] * np.asarray(WIDTH**-0.5, x.dtype), both[:, WIDTH:]
+    g["q"] += gq @ w["k"]
+    g["k"] += gq.T @ w["q"]
+    g["v"] += gv @ w["o"].T
+    g["o"] += w["v"].T @ gv
+    df += back
+    df += times(d, np.concatenate([qk, vo], 1).T)
+    g["pos"][: x.shape[1]] += df.sum(0)
+    return df
 
 
 class Units:
@@ -219,13 +251,16 @@ class Shares:
 
 
 def totals(e: np.ndarray, row: np.ndarray, kind: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(share of each place's class times its weight in e, the sum of that over all classes, rows of after) for patches of places. The classes after a word's end have one share in all rows, so they are summed once for a patch."""
+    """(share of each place's class times its weight in e, the sum of that over all classes, rows of after). The classes after a word's end have one share in all rows."""
     after = rows_of(shares.after, row)
-    ext = np.concatenate([e[:, BEGIN : BEGIN + WITHIN], (e @ shares.starts)[:, None]], 1)
-    hit = rows_of(shares.after.ravel(), row * (WITHIN + 1) + rows_of(shares.column, kind))
+    nth = np.arange(len(e))
+    hit = rows_of(after.ravel(), nth * (WITHIN + 1) + rows_of(shares.column, kind))
     hit *= rows_of(shares.factor, kind)
-    hit *= rows_of(e.ravel(), (np.arange(len(e)) * CLASSES)[:, None] + kind)
-    return hit, (after @ ext[:, :, None])[:, :, 0], after
+    hit *= rows_of(e.ravel(), nth * CLASSES + kind)
+    total = e @ shares.starts
+    total *= after[:, WITHIN]
+    total += np.einsum("ij,ij->i", e[:, BEGIN : BEGIN + WITHIN], after[:, :WITHIN])
+    return hit, total, after
 
 
 class Model:
@@ -234,93 +269,74 @@ class Model:
 
 
 class Patches:
-    """The patches of a batch of texts (ids with an end after each), as rows of PATCH places."""
+    """The places of a batch of texts (ids with an end after each): one for each id, PATCH."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, units: Units, shares: Shares):
-        size = counts + 1
-        ends = np.cumsum(size)
-        want = np.insert(ids.astype(np.int64), np.cumsum(counts), len(units.unit) - 1)
-        unit = rows_of(units.unit, want)
-        first = np.zeros(len(want), bool)
-        first[ends - size] = True
-        before = np.empty(len(want), np.int64)
-        before[1:] = unit[:-1]
-        before[first] = UNITS
-        row = shares.first + before
+        self.many = counts + 1
+        ends = np.cumsum(self.many)
+        self.first = ends - self.many  # of each text
+        self.want = np.insert(ids.astype(np.int64), np.cumsum(counts), len(units.unit) - 1)
+        self.size = np.full(len(self.want), PATCH)
+        self.unit = rows_of(units.unit, self.want)
+        self.kind = rows_of(units.kind, self.unit)
+        first = np.zeros(len(self.want), bool)
+        first[self.first] = True
+        #: the unit before each place
+        self.before = np.empty(len(self.want), np.int64)
+        self.before[1:] = self.unit[:-1]
+        self.before[first] = BEFORE
+        self.row = shares.first + self.before
         # both ids before are of the word if the first of them is and the second doesn't begin one
-        pair = np.flatnonzero((before < UNITS) & ~units.begins[np.minimum(before, UNITS - 1)])
+        pair = np.flatnonzero((self.before < UNITS) & ~units.begins[np.minimum(self.before, UNITS - 1)])
         pair = pair[~first[pair - 1]]
-        own = rows_of(shares.rows, before[pair - 1] * UNITS + before[pair])
-        row[pair] = np.where(own != NO_ROW, own, row[pair])
-        many = -(-size // PATCH)
-        self.first = np.cumsum(many) - many  # of each text
-        self.many = many
-        nth = ranges(np.zeros_like(many), many)
-        start = np.repeat(ends - size, many) + PATCH * nth
-        self.size = np.minimum(PATCH, np.repeat(ends, many) - start)
-        self.opens = nth == 0
-        self.valid = np.arange(PATCH) < self.size[:, None]
-        self.at = np.minimum(start[:, None] + np.arange(PATCH), len(want) - 1)
-        self.want, self.unit, self.before = want, unit, before
-        # by patch and place
-        self.rows, self.kinds, self.units = rows_of(row, self.at), rows_of(rows_of(units.kind, unit), self.at), np.where(self.valid, rows_of(unit, self.at), NONE)
+        own = rows_of(shares.rows, self.before[pair - 1] * UNITS + self.before[pair])
+        self.row[pair] = np.where(own != NO_ROW, own, self.row[pair])
 
     def windows(self, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first patch, number of patches, number of those that aren't new) of each window."""
+        """(first place, number of places, number of those that aren't new) of each window."""
         many = 1 + np.maximum(0, -(-(self.many - LENGTH) // step))
         nth = ranges(np.zeros_like(many), many)
         start = np.repeat(self.first, many) + step * nth
         return start, np.minimum(LENGTH, np.repeat(self.first + self.many, many) - start), np.where(nth > 0, LENGTH - step, 0)
 
     def inputs(self, w: dict, start: np.ndarray, size: np.ndarray):
-        """(x: the sum of the embeddings of the patch before each patch of windows, by PATCH; patches; which are in their window; units of x)."""
+        """(x: the embedding of the unit before each place of windows, places, which are in their window, units of x)."""
         n = int(size.max())
-        patch = np.minimum(start[:, None] + np.arange(n), len(self.size) - 1)
+        place = np.minimum(start[:, None] + np.arange(n), len(self.want) - 1)
         inside = np.arange(n) < size[:, None]
-        opens = (self.opens[patch] | ~inside).ravel()
-        units = rows_of(self.units, np.maximum(patch.ravel() - 1, 0))
-        units[opens] = NONE
-        units[opens, 0] = BEFORE
-        x = rows_of(w["e"], units[:, 0])
-        for i in range(1, PATCH):
-            x += rows_of(w["e"], units[:, i])
-        x *= np.asarray(1 / PATCH, x.dtype)
-        return x.reshape(len(start), n, WIDTH), patch, inside, units
+        units = np.where(inside, rows_of(self.before, place), NONE)
+        return rows_of(w["e"], units), place, inside, units
 
 
 def embed_gradient(g: np.ndarray, dx: np.ndarray, units: np.ndarray) -> None:
-    by = np.ascontiguousarray(dx.reshape(-1, WIDTH).T) / np.asarray(PATCH, dx.dtype)
-    at = units.T.ravel()
+    by, at = np.ascontiguousarray(dx.reshape(-1, WIDTH).T), units.ravel()
     for i in range(WIDTH):
-        g[:, i] += np.bincount(at, np.tile(by[i], PATCH), UNITS + 2).astype(g.dtype)
+        g[:, i] += np.bincount(at, by[i], UNITS + 2).astype(g.dtype)
     g[NONE] = 0
 
 
 def gradient(flat: np.ndarray, p: Patches, shares: Shares, start: np.ndarray, size: np.ndarray, tell: bool = True) -> tuple[float, np.ndarray]:
-    """(mean loss if tell, gradient) of the classes of all ids in windows of patches."""
+    """(mean loss if tell, gradient) of the classes of all ids in windows."""
     w, out = unpack(flat), np.zeros_like(flat)
-    g = unpack(out)
-    x, patch, inside, kept = p.inputs(w, start, size)
-    f, rest = hidden(w, x)
-    z = times(f, w["out"])
-    z += w["bias"]
-    own = np.flatnonzero(inside.ravel())
-    mine = patch.ravel()[own]
-    e = weights(rows_of(z.reshape(-1, CLASSES), own))
-    row, kind, valid = (rows_of(x, mine) for x in (p.rows, p.kinds, p.valid))
-    hit, total, after = totals(e, row, kind, shares)
-    n = int(valid.sum())
-    loss = -float((np.log(hit / total) * valid).sum()) / n if tell else 0.0
-    each = ((valid / total).astype(e.dtype)[:, None, :] @ after)[:, 0, :]
-    d = shares.starts.astype(e.dtype) * each[:, -1:]
-    d[:, BEGIN : BEGIN + WITHIN] += each[:, :-1]
-    d *= e
-    cell = (np.arange(len(own)) * CLASSES)[:, None] + kind
-    d -= np.bincount(cell[valid], minlength=d.size).reshape(d.shape).astype(d.dtype)
-    dz = np.zeros_like(z).reshape(-1, CLASSES)
-    dz[own] = d / np.asarray(n, d.dtype)
-    embed_gradient(g["e"], backward(w, g, f, rest, dz.reshape(z.shape)), kept)
-    return loss, out
+    g, total, n = unpack(out), 0.0, int(size.sum())
+    for i in range(0, len(start), AT_ONCE):
+        x, place, inside, units = p.inputs(w, start[i : i + AT_ONCE], size[i : i + AT_ONCE])
+        f, rest = hidden(w, x)
+        e = output(w, f.reshape(-1, WIDTH))
+        place = place.ravel()
+        kind = rows_of(p.kind, place)
+        hit, every, after = totals(e, rows_of(p.row, place), kind, shares)
+        if tell:
+            total -= float((np.log(hit / every) * inside.ravel()).sum())
+        # places outside of their window have no loss
+        one = (inside.ravel() / np.asarray(n, e.dtype)).astype(e.dtype)
+        after *= (one / every)[:, None]
+        dz = np.multiply.outer(after[:, WITHIN], shares.starts)
+        dz[:, BEGIN : BEGIN + WITHIN] += after[:, :WITHIN]
+        dz *= e
+        dz.ravel()[np.arange(len(dz)) * CLASSES + kind] -= one
+        embed_gradient(g["e"], backward(w, g, f, rest, dz.reshape(*inside.shape, CLASSES)), units)
+    return total / n, out
 
 
 class Adam:
@@ -335,23 +351,21 @@ class Adam:
 
 
 def scored(model: Model, p: Patches) -> np.ndarray:
-    """log10 probability of each id of a batch, ends included."""
+    """log10 probability of each id of a batch, ends included. Attention is over all ids before it in the window that scores it."""
     w, shares, units = unpack(model.flat), model.shares, model.units
-    out = np.zeros(len(p.want))
+    hits, every = np.ones(len(p.want)), np.ones(len(p.want))
     start, size, old = p.windows(STEP)
-    order = np.argsort(size, kind="stable")
-    for i in range(0, len(order), 64):
-        own = order[i : i + 64]
-        x, patch, inside, _ = p.inputs(w, start[own], size[own])
-        f, _ = hidden(w, x)
-        new = inside & (np.arange(patch.shape[1]) >= old[own][:, None])
-        z = f[new] @ w["out"]
-        z += w["bias"]
-        e = weights(z)
-        mine = patch[new]
-        row, kind, valid = (rows_of(x, mine) for x in (p.rows, p.kinds, p.valid))
-        hit, total, _ = totals(e, row, kind, shares)
-        out[p.at[mine][valid]] = np.log10(hit[valid] / total[valid])
+    for seen in np.unique(old).tolist():
+        order = np.flatnonzero(old == seen)
+        order = order[np.argsort(size[order], kind="stable")]
+        for i in range(0, len(order), AT_ONCE):
+            own = order[i : i + AT_ONCE]
+            x, place, inside, _ = p.inputs(w, start[own], size[own])
+            f, _ = hidden(w, x, seen)
+            new = inside[:, seen:]
+            f, place = (f.reshape(-1, WIDTH), place[:, seen:].ravel()) if new.all() else (f[new], place[:, seen:][new])
+            hits[place], every[place], _ = totals(output(w, f), rows_of(p.row, place), rows_of(p.kind, place), shares)
+    out = np.log10(hits / every)
     out += rows_of(shares.inner.ravel(), p.before * UNITS + p.unit)
     return out + rows_of(units.share, p.want)
 
