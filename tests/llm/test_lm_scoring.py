@@ -200,3 +200,12 @@ def test_attention_sees_each_id_before():
         got = m.scored(model, m.Patches(other, np.array([len(ids)]), model.units, model.shares))
         # beyond the two next ids, whose shares it changes
         assert (got[:at] == lp[:at]).all() and (got[at + 3 :] != lp[at + 3 :]).all()
+
+
+def test_parts_are_all_texts_in_order(monkeypatch):
+    monkeypatch.setattr(m, "PART", 10)
+    counts = np.array([0, 3, 7, 25, 0, 0, 9, 1, 1, 0])
+    got = list(m.parts(np.arange(counts.sum()), counts))
+    assert np.concatenate([ids for ids, _ in got]).tolist() == list(range(counts.sum()))
+    assert np.concatenate([n for _, n in got]).tolist() == counts.tolist()
+    assert all(len(ids) == n.sum() and (len(ids) <= 10 or np.count_nonzero(n) == 1) for ids, n in got)

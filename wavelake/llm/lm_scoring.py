@@ -61,6 +61,8 @@ HEAD = 200_000
 NO_ROW = -1
 #: Bytes of text that a task works on at once: the more, the fewer distinct words a byte.
 BYTES = 2_000_000
+#: Ids of texts whose places are made at once.
+PART = 1 << 18
 
 #: Windows that are scored at once.
 AT_ONCE = 64
@@ -276,7 +278,7 @@ class Patches:
         ends = np.cumsum(self.many)
         self.first = ends - self.many  # of each text
         self.want = np.insert(ids.astype(np.int64), np.cumsum(counts), len(units.unit) - 1)
-        self.size = np.full(len(self.want), PATCH)
+        self.size = np.full(len(self.want), PATCH, np.int8)
         self.unit = rows_of(units.unit, self.want)
         self.kind = rows_of(units.kind, self.unit)
         first = np.zeros(len(self.want), bool)
@@ -370,6 +372,16 @@ def scored(model: Model, p: Patches) -> np.ndarray:
     return out + rows_of(units.share, p.want)
 
 
+def parts(ids: np.ndarray, counts: np.ndarray):
+    """ids and counts of texts in turn, of about PART ids at most; a text is never cut."""
+    upto = np.concatenate([[0], np.cumsum(counts)])
+    a = 0
+    while a < len(counts):
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + PART, "right")) - 1)
+        yield ids[upto[a] : upto[z]], counts[a:z]
+        a = z
+
+
 class Reader:
     """Words and ids of batches of texts. A worker remembers the ids of words."""
 
@@ -519,14 +531,15 @@ def trained(learned: DataFrame, vocabulary: str, model: Model, round_: int, roun
         adam, seen, rnd = Adam(model.flat, rate), 0, np.random.default_rng(round_)
         for b in text_batches(batches, BYTES):
             *_, ids, counts = read(b.column(0))
-            p = Patches(ids, counts, model.units, model.shares)
-            start, size, _ = p.windows(LENGTH)
-            # windows of like size in one step, steps in any order
-            order = np.argsort(size, kind="stable")
-            for i in rnd.permutation(-(-len(order) // BATCH)).tolist():
-                own = order[i * BATCH : (i + 1) * BATCH]
-                adam.step(gradient(adam.flat, p, model.shares, start[own], size[own], False)[1])
-            seen += len(order)
+            for own_ids, own_counts in parts(ids, counts):
+                p = Patches(own_ids, own_counts, model.units, model.shares)
+                start, size, _ = p.windows(LENGTH)
+                # windows of like size in one step, steps in any order
+                order = np.argsort(size, kind="stable")
+                for i in rnd.permutation(-(-len(order) // BATCH)).tolist():
+                    own = order[i * BATCH : (i + 1) * BATCH]
+                    adam.step(gradient(adam.flat, p, model.shares, start[own], size[own], False)[1])
+                seen += len(order)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(adam.flat))), pa.array(adam.flat.astype(float) * seen), pa.array(np.full(len(adam.flat), seen))], ["at", "value", "n"])
 
@@ -573,7 +586,7 @@ def log_probabilities(docs: DataFrame, vocabulary: str, held_out, rounds: int =
         model, seen = sent.value
         for b in text_batches(batches, BYTES):
             n_words, codes, words, ids, counts = read(b.column(1))
-            lp = scored(model, Patches(ids, counts, model.units, model.shares))
+            lp = np.concatenate([scored(model, Patches(*part, model.units, model.shares)) for part in parts(ids, counts)])
             score = np.add.reduceat(lp, np.cumsum(counts + 1) - counts - 1)
             of_word = np.fromiter((seen.get(w, 0) for w in words), np.float64, len(words))
             doc, times = np.repeat(np.arange(b.num_rows), n_words), of_word[codes]
