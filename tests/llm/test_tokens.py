@@ -139,3 +139,12 @@ def test_empty_tables(spark, docs):
     out = scratch(spark, "t")
     records.write_records(none, out, P.path("byte_bpe_50k.json"), 2)
     assert records.read_records(spark, out, queries.crc_of).count() == 0
+
+
+def test_words_merged_at_once_are_those_merged_one_by_one():
+    v = bpe.Vocabulary(open(RANKS, "rb").read())
+    rnd = np.random.default_rng(5)
+    words = [bytes(rnd.integers(0, 256, n).tolist()) for n in range(1, 41) for _ in range(20)] + [bytes(rnd.choice(list(b" aabnht'"), n).tolist()) for n in range(1, 41) for _ in range(40)] + [b"a" * n for n in range(1, 41)]
+    assert v.merged(words) == [bpe.merged(w, v.ranks) for w in words]
+    own = {w: v.ranks[w] for w in (b"a", b"b", b"ab")}  # without most bytes
+    assert bpe.Vocabulary(b"\n".join(base64.b64encode(w) + b" %d" % r for w, r in own.items())).merged([b"abba"] * 40) == [bpe.merged(b"abba", own)] * 40

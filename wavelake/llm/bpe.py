@@ -2,9 +2,10 @@
 
 Two tiers. A minimal perfect hash over the vocabulary (levels of bit arrays, each keeping
 the keys that have a position of their own; a key's number is the rank of its bit) finds
-pre-tokens that are entries themselves; their bytes are compared. What it misses is merged by
-a heap of candidate pairs over the linked bytes of the pre-token, lowest rank first, leftmost
-among equals; a worker remembers the results by the pre-token's bytes.
+pre-tokens that are entries themselves; their bytes are compared. What it misses is merged:
+short ones many at once, each losing a pair in each step, others by a heap of candidate pairs
+over the linked bytes of the pre-token; lowest rank first, leftmost among equals. A worker
+remembers the results by the pre-token's bytes.
 
 Nulls and empty texts have no ids. Repeated rows are encoded each. Only doc_id and text are
 read, so further columns of any name don't matter. An empty table gives an empty one.
@@ -23,6 +24,9 @@ from .blocks import U64, Block, mix, ranges, same_bytes, span_hashes, text_batch
 from .common import id_and_text, small_batches
 from .pretokens import Memory, encoded, pieces, pretokens
 
+#: Bytes of pre-tokens that are merged at once at most, and as few of them as are merged one by one.
+WIDTHS, FEW = (8, 12, 16, 32), 32
+
 _built: dict = {}
 
 
@@ -80,6 +84,55 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Pairs:
+    """Merges many short pre-tokens at once: in each step every one of them loses its pair of lowest rank, the leftmost among equals."""
+
+    NONE = 1 << 30
+
+    def __init__(self, ranks: dict[bytes, int]):
+        split = sorted((a, b, r) for w, r in ranks.items() for i in range(1, len(w)) if (a := ranks.get(w[:i])) is not None and (b := ranks.get(w[i:])) is not None)
+        a, b, self.ranks = np.array(split, np.int64).reshape(-1, 3).T
+        self.size = max(ranks.values(), default=0) + 1
+        self.keys = a * self.size + b
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.double = np.full(1 << 16, self.NONE, np.int64)
+        for w, r in ranks.items():
+            if len(w) == 2:
+                self.double[w[0] << 8 | w[1]] = r
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of what two ids (right: or -1) are together, or NONE."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((right >= 0) & (self.keys[at] == key), self.ranks[at], self.NONE)
+
+    def __call__(self, words: list[bytes], width: int) -> list[list[int]]:
+        """The ids of each word of 1 to width bytes."""
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))[:, None]
+        column = np.arange(width)
+        part = np.full((len(words), width + 1), -1, np.int64)
+        part[:, :-1] = np.where(column < size, self.single[raw], -1)
+        rank = np.full((len(words), width), self.NONE, np.int64)
+        rank[:, :-1] = np.where(column[1:] < size, self.double[raw[:, :-1] << 8 | raw[:, 1:]], self.NONE)
+        out, at = np.empty((len(words), width), np.int64), np.arange(len(words))
+        while len(at):
+            j = rank.argmin(1)
+            best = rank[np.arange(len(at)), j]
+            if (done := best == self.NONE).any():
+                out[at[done]] = part[done, :-1]
+                at, part, rank, j, best = at[~done], part[~done], rank[~done], j[~done], best[~done]
+            nth, right = np.arange(len(at)), column >= j[:, None] + 1
+            part[:, :-1] = np.where(right, part[:, 1:], part[:, :-1])
+            rank[:, :-1] = np.where(right[:, :-1], rank[:, 1:], rank[:, :-1])
+            part[nth, j] = best
+            rank[nth, j] = self.rank(best, part[nth, j + 1])
+            some = np.flatnonzero(j > 0)
+            rank[some, j[some] - 1] = self.rank(part[some, j[some] - 1], best[some])
+        flat, ends = out[out >= 0].tolist(), np.cumsum((out >= 0).sum(1)).tolist()
+        return [flat[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class Vocabulary:
     """raw: the rank file, a base64 token and its rank in each line."""
 
@@ -97,6 +150,20 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
         self.ends = np.concatenate([[0], np.cumsum([len(x) for x in by_id])]).astype(np.int64)
         self.memory = Memory()
+        self.pairs = Pairs(self.ranks)
+        self.whole = bool(len(self.pairs.keys)) and (self.pairs.single >= 0).all()
+
+    def merged(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each of the pre-tokens, short ones at once."""
+        out: list = [None] * len(words)
+        of: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            of.setdefault(next((x for x in WIDTHS if len(w) <= x), 0), []).append(i)
+        for width, own in of.items():
+            some = [words[i] for i in own]
+            for i, ids in zip(own, self.pairs(some, width) if width and len(own) >= FEW and self.whole else [merged(w, self.ranks) for w in some], strict=True):
+                out[i] = ids
+        return out
 
     def distinct(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids) of pre-tokens that lie end to end."""
@@ -110,7 +177,7 @@ class Vocabulary:
         whole[own] = True
         rest = np.flatnonzero(~whole)
         counts = np.ones(n, np.int64)
-        some, counts[rest] = self.memory.lists(pieces(data, off, rest), lambda words: [merged(w, self.ranks) for w in words])
+        some, counts[rest] = self.memory.lists(pieces(data, off, rest), self.merged)
         begin = np.cumsum(counts) - counts
         ids = np.empty(int(counts.sum()), np.uint32)
         ids[begin[own]] = entry[own]

@@ -18,6 +18,9 @@ Scoring cuts a text into windows of LENGTH ids that overlap by LENGTH - STEP; a
 the ids that none before it has scored, so each id counts once. All windows of a batch go
 through at once, those of like size together.
 
+Texts are read once: their ids are written (two bytes each, if the vocabulary has no more than
+fit), and training and scoring read these.
+
 Training is data-parallel: in each round every task starts from the common weights, makes
 Adam steps on its share of the round's training texts (those of a residue of a hash by the
 number of rounds, so that the rounds together read each id of each training text once), and the
@@ -42,9 +45,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import SPACE_WORDS, Block, dictionary, ranges, text_batches
-from .bpe import Vocabulary, _given, built
+from .bpe import Vocabulary, _given, binary, built
 from .common import id_and_text, small_batches, written
-from .pretokens import Memory, per_text, pieces, spread
+from .pretokens import per_text, pieces, spread
 
 #: Ids in a place of a window (one, so that attention sees each id before), places in a window, and new places of each window after the first.
 PATCH, LENGTH, STEP = 1, 32, 24
@@ -108,14 +111,9 @@ def rows_of(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return table.take(at, 0, mode="clip")
 
 
-def reach(a: np.ndarray) -> float:
-    """The greatest length of a row of a."""
-    return float(np.einsum("...i,...i->...", a, a).max(initial=0)) ** 0.5
-
-
 def weights(z: np.ndarray, bound: float = np.inf) -> np.ndarray:
-    """exp(z) of logits from -MOST to MOST, in place. bound: no logit is larger, or less than -bound."""
-    if bound > MOST:
+    """exp(z) of logits, cut off at -MOST and MOST, in place. bound: no logit is larger, or less than -bound."""
+    if bound > MOST and max(z.max(initial=0), -z.min(initial=0)) > MOST:
         np.clip(z, -MOST, MOST, out=z)
     return np.exp(z, out=z)
 
@@ -124,7 +122,7 @@ def output(w: dict, f: np.ndarray) -> np.ndarray:
     """The weight of each class, for rows of hidden()."""
     z = f @ w["out"]
     z += w["bias"]
-    return weights(z, reach(f) * reach(w["out"].T) + float(np.abs(w["bias"]).max()))
+    return weights(z, max(f.max(initial=0), -f.min(initial=0)) * np.abs(w["out"]).sum(0).max() + np.abs(w["bias"]).max())
 
 
 def folded(w: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +136,7 @@ def hidden(w: dict, x: np.ndarray, old: int = 0):
     x = x + w["pos"][:n]
     qv = times(x, np.concatenate(folded(w), 1))
     q, v = qv[:, old:, :WIDTH], qv[:, :, WIDTH:]
-    s = weights(q @ x.transpose(0, 2, 1), reach(q) * reach(x))
+    s = weights(q @ x.transpose(0, 2, 1))
     s *= MASK[old:n, :n]
     s /= (s @ np.ones(n, s.dtype))[:, :, None]
     c = s @ v
@@ -240,9 +238,10 @@ class Shares:
         self.after = np.ascontiguousarray(np.concatenate([rows[:, BEGIN : BEGIN + WITHIN], rows[:, -1:]], 1).astype(np.float32))
         self.starts = starts.astype(np.float32)
         # a class's place in a row of after, and what its share there is to be multiplied by
-        self.column = np.where(starts > 0, WITHIN, np.arange(CLASSES) - BEGIN)
+        self.column = np.where(np.arange(CLASSES) < BEGIN, WITHIN, np.arange(CLASSES) - BEGIN)
         self.column[-1] = WITHIN
         self.factor = np.where(self.column == WITHIN, starts, 1).astype(np.float32)
+        self._all = None
         self.rows = np.full(UNITS * UNITS, NO_ROW, np.int32)
         self.rows[chosen] = np.arange(len(chosen))
         self.first = len(chosen)
@@ -251,18 +250,19 @@ class Shares:
         inner[:, units.begins] = of_class[units.begins]
         self.inner = np.concatenate([np.log10(inner), np.log10(of_class)[None, :]]).astype(np.float32)
 
+    @property
+    def all(self) -> np.ndarray:
+        """The share of each class in each row. Made where it is used, so that it is not sent."""
+        if self._all is None:
+            self._all = self.after[:, self.column] * self.factor
+        return self._all
+
 
 def totals(e: np.ndarray, row: np.ndarray, kind: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(share of each place's class times its weight in e, the sum of that over all classes, rows of after). The classes after a word's end have one share in all rows."""
-    after = rows_of(shares.after, row)
-    nth = np.arange(len(e))
-    hit = rows_of(after.ravel(), nth * (WITHIN + 1) + rows_of(shares.column, kind))
-    hit *= rows_of(shares.factor, kind)
-    hit *= rows_of(e.ravel(), nth * CLASSES + kind)
-    total = e @ shares.starts
-    total *= after[:, WITHIN]
-    total += np.einsum("ij,ij->i", e[:, BEGIN : BEGIN + WITHIN], after[:, :WITHIN])
-    return hit, total, after
+    """(share of each place's class times its weight in e, the sum of that over all classes, that of each class)."""
+    every = rows_of(shares.all, row)
+    every *= e
+    return rows_of(every.ravel(), np.arange(len(e)) * CLASSES + kind), every @ np.ones(CLASSES, e.dtype), every
 
 
 class Model:
@@ -311,9 +311,7 @@ class Patches:
 
 
 def embed_gradient(g: np.ndarray, dx: np.ndarray, units: np.ndarray) -> None:
-    by, at = np.ascontiguousarray(dx.reshape(-1, WIDTH).T), units.ravel()
-    for i in range(WIDTH):
-        g[:, i] += np.bincount(at, by[i], UNITS + 2).astype(g.dtype)
+    np.add.at(g.reshape(-1), (units.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), dx.ravel())
     g[NONE] = 0
 
 
@@ -327,15 +325,12 @@ def gradient(flat: np.ndarray, p: Patches, shares: Shares, start: np.ndarray, si
         e = output(w, f.reshape(-1, WIDTH))
         place = place.ravel()
         kind = rows_of(p.kind, place)
-        hit, every, after = totals(e, rows_of(p.row, place), kind, shares)
+        hit, every, dz = totals(e, rows_of(p.row, place), kind, shares)
         if tell:
             total -= float((np.log(hit / every) * inside.ravel()).sum())
         # places outside of their window have no loss
         one = (inside.ravel() / np.asarray(n, e.dtype)).astype(e.dtype)
-        after *= (one / every)[:, None]
-        dz = np.multiply.outer(after[:, WITHIN], shares.starts)
-        dz[:, BEGIN : BEGIN + WITHIN] += after[:, :WITHIN]
-        dz *= e
+        dz *= (one / every)[:, None]
         dz.ravel()[np.arange(len(dz)) * CLASSES + kind] -= one
         embed_gradient(g["e"], backward(w, g, f, rest, dz.reshape(*inside.shape, CLASSES)), units)
     return total / n, out
@@ -382,16 +377,19 @@ def parts(ids: np.ndarray, counts: np.ndarray):
         a = z
 
 
+def after_blanks(data: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Words that lie end to end, each with a blank before it."""
+    to = off + np.arange(len(off))
+    out = np.full(to[-1], 0x20, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(1, len(off)), np.diff(off))] = data
+    return binary(out, to[1:])
+
+
 class Reader:
-    """Words and ids of batches of texts. A worker remembers the ids of words."""
+    """Words and ids of batches of texts."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary, self.memory = vocabulary, Memory()
-
-    def ids(self, words: list[bytes]) -> list[list[int]]:
-        ids, counts = self.vocabulary.encode(pa.array([b" " + w for w in words], pa.large_binary()))
-        ids, ends = ids.tolist(), np.cumsum(counts).tolist()
-        return [ids[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+        self.vocabulary, self.size = vocabulary, len(vocabulary.ends) - 1
 
     def __call__(self, texts: pa.Array):
         """(words of each text, number of each word among the distinct ones, these, ids of all words, number of ids of each text)."""
@@ -400,9 +398,8 @@ class Reader:
             none = np.zeros(0, np.int64)
             return spans.counts, none, [], none, spans.counts
         codes, data, off = dictionary(spans, True)
-        words = pieces(data, off)
-        ids, counts = spread(codes, *self.memory.lists(words, self.ids))
-        return spans.counts, codes, words, ids, per_text(spans, counts)
+        ids, counts = spread(codes, *self.vocabulary.encode(after_blanks(data, off)))
+        return spans.counts, codes, pieces(data, off), ids, per_text(spans, counts)
 
 
 _readers: dict = {}
@@ -520,19 +517,51 @@ def of_round(learned: DataFrame, round_: int, rounds: int) -> DataFrame:
     return learned.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == round_).select("text")
 
 
-def trained(learned: DataFrame, vocabulary: str, model: Model, round_: int, rounds: int, rate: float) -> np.ndarray:
-    """The mean of the weights that tasks reach from the model's on their texts of this round, by the windows that each has seen."""
-    spark = learned.sparkSession
-    raw = _given(learned, vocabulary)
-    given = spark.sparkContext.broadcast(model)
+def id_type(size: int) -> np.dtype:
+    """What ids of a vocabulary of this size are written as."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def written_ids(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each) of a column of ids."""
+    block, kind = Block(column), id_type(size)
+    return block.data.view(kind), np.diff(block.off) // kind.itemsize
+
+
+def blobs(ids: np.ndarray, counts: np.ndarray, size: int) -> pa.Array:
+    """The column that written_ids() reads."""
+    kind = id_type(size)
+    return binary(ids.astype(kind).view(np.uint8), kind.itemsize * np.cumsum(counts))
+
+
+def coded_texts(texts: DataFrame, vocabulary: str) -> DataFrame:
+    """ids of each text (text)."""
+    raw = _given(texts, vocabulary)
 
     def run(batches):
-        read, model = reader(vocabulary, raw), given.value
-        adam, seen, rnd = Adam(model.flat, rate), 0, np.random.default_rng(round_)
+        read = reader(vocabulary, raw)
         for b in text_batches(batches, BYTES):
             *_, ids, counts = read(b.column(0))
-            for own_ids, own_counts in parts(ids, counts):
-                p = Patches(own_ids, own_counts, model.units, model.shares)
+            yield pa.RecordBatch.from_arrays([blobs(ids, counts, read.size)], ["ids"])
+
+    return texts.select("text").mapInArrow(run, "ids binary")
+
+
+def trained(learned: DataFrame, vocabulary: str, model: Model, round_: int, rounds: int, rate: float) -> np.ndarray:
+    """The weights after a round of training on texts (text)."""
+    return stepped(coded_texts(of_round(learned, round_, rounds), vocabulary), model, round_, rate)
+
+
+def stepped(coded: DataFrame, model: Model, round_: int, rate: float) -> np.ndarray:
+    """The mean of the weights that tasks reach from the model's on their texts (ids), by the windows that each has seen."""
+    given = coded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = given.value
+        adam, seen, rnd = Adam(model.flat, rate), 0, np.random.default_rng(round_)
+        for b in batches:
+            for part in parts(*written_ids(b.column(0), len(model.units.unit) - 1)):
+                p = Patches(*part, model.units, model.shares)
                 start, size, _ = p.windows(LENGTH)
                 # windows of like size in one step, steps in any order
                 order = np.argsort(size, kind="stable")
@@ -543,17 +572,18 @@ def trained(learned: DataFrame, vocabulary: str, model: Model, round_: int, roun
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(adam.flat))), pa.array(adam.flat.astype(float) * seen), pa.array(np.full(len(adam.flat), seen))], ["at", "value", "n"])
 
-    rows = of_round(learned, round_, rounds).mapInArrow(run, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas()
+    rows = coded.mapInArrow(run, "at long, value double, n long").groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toPandas()
     out = model.flat.copy()
     out[rows["at"].to_numpy(int)] = rows["value"].to_numpy(float)
     return out
 
 
-def fit(learned: DataFrame, vocabulary: str, words: DataFrame, ends: int, rounds: int = ROUNDS) -> Model:
-    """The model of training texts (text), from their word counts and the number of texts."""
+def fit(coded: DataFrame, vocabulary: str, words: DataFrame, ends: int, rounds: int = ROUNDS) -> Model:
+    """The model of training texts (ids, and hash: of the text), from their word counts and the number of texts."""
     model = Model(*gathered(words, vocabulary, ends), first_weights())
     for i in range(rounds):
-        model = Model(model.units, model.shares, trained(learned, vocabulary, model, i, rounds, RATE / 3**i))
+        own = coded.where(F.pmod("hash", F.lit(rounds)) == i).select("ids")
+        model = Model(model.units, model.shares, stepped(own, model, i, RATE / 3**i))
     return model
 
 
@@ -576,18 +606,14 @@ def log_probabilities(docs: DataFrame, vocabulary: str, held_out, rounds: int =
             break
         least = r["level"]
     head = words.where(level >= least).toArrow()
-    model = fit(learned, vocabulary, words, ends, rounds)
-    sent = spark.sparkContext.broadcast((model, dict(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True))))
+    sent = spark.sparkContext.broadcast(dict(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True)))
     per = n + 0.5 * (v + 1)
     end_score = np.log10((ends + 0.5) / per)
 
-    def run(batches):
-        read = reader(vocabulary, raw)
-        model, seen = sent.value
+    def read_once(batches):
+        read, seen = reader(vocabulary, raw), sent.value
         for b in text_batches(batches, BYTES):
             n_words, codes, words, ids, counts = read(b.column(1))
-            lp = np.concatenate([scored(model, Patches(*part, model.units, model.shares)) for part in parts(ids, counts)])
-            score = np.add.reduceat(lp, np.cumsum(counts + 1) - counts - 1)
             of_word = np.fromiter((seen.get(w, 0) for w in words), np.float64, len(words))
             doc, times = np.repeat(np.arange(b.num_rows), n_words), of_word[codes]
             known = times > 0
@@ -595,16 +621,29 @@ def log_probabilities(docs: DataFrame, vocabulary: str, held_out, rounds: int =
             n_known = np.bincount(doc[known], minlength=b.num_rows)
             off = np.concatenate([[0], np.cumsum(n_words - n_known)]).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(off), pa.array(words, pa.binary()).take(pa.array(codes[~known])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_words + 1), pa.array(n_known + (ends > 0)), pa.array(base), pa.array(score), rest], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(n_words + 1), pa.array(n_known + (ends > 0)), pa.array(base), rest, blobs(ids, counts, read.size)], ["doc_id", "held_out", "hash", "n_tokens", "n_known", "base", "rest", "ids"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    out = rows.select("doc_id", "text", "held_out").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<binary>")
-    out = written(out.withColumn("row", F.monotonically_increasing_id()), "scored")
+    own = f"doc_id {kind}, held_out boolean, hash long, n_tokens long, n_known long, base double"
+    coded = rows.select("doc_id", "text", "held_out", F.xxhash64("text").alias("hash")).mapInArrow(read_once, f"{own}, rest array<binary>, ids binary")
+    coded = written(coded.withColumn("row", F.monotonically_increasing_id()), "texts")
+    model = spark.sparkContext.broadcast(fit(coded.where(~F.col("held_out")), vocabulary, words, ends, rounds))
+
+    def score(batches):
+        units, shares = model.value.units, model.value.shares
+        for b in batches:
+            score = [np.zeros(0)]
+            for ids, counts in parts(*written_ids(b.column(b.num_columns - 1), len(units.unit) - 1)):
+                score.append(np.add.reduceat(scored(model.value, Patches(ids, counts, units, shares)), np.cumsum(counts + 1) - counts - 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.concatenate(score))], [*b.schema.names[:-1], "score"])
+
+    out = coded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "ids")
+    out = written(out.mapInArrow(score, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double"), "scored")
     # words beyond the head, with how often each row has them
-    rest = out.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
+    rest = coded.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     rest = rest.join(words.where(level < least), "word", "left")
     share = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(float(per)))
     rest = rest.groupBy("row").agg(F.sum(F.col("times") * share).alias("rest_base"), F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rest_known"))
-    out = out.drop("rest").join(rest, "row", "left")
+    out = out.join(rest, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "rest_known").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), plus("base", "rest_base").alias("base_score"), "score")
