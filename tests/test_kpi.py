@@ -116,3 +116,23 @@ def test_queries_round_as_their_sql_does(spark):
     got = [r.x for r in rounded(spark.createDataFrame([(x,) for x in values], "x double"), "x").collect()]
     con = duckdb.connect()
     assert got == [con.execute("select round(cast(? as double), 6)", [x]).fetchall()[0][0] for x in values]
+
+
+def test_medians_have_the_bits_of_their_sql(spark):
+    import random
+
+    import duckdb
+
+    from wavelake.functions import kpi as f
+    from wavelake.plans.kpi import rounded
+
+    rnd = random.Random(3)
+    rows = [(i, sorted(round(rnd.expovariate(1 / 50), 2) for _ in range(rnd.choice([2, 3, 8])))) for i in range(2000)]
+    got = dict(spark.createDataFrame(rows, "i long, v array<double>").select("i", f.quantile(F.col("v"), 0.5)).collect())
+    con = duckdb.connect()
+    con.execute("create table t (i bigint, v double)")
+    con.executemany("insert into t values (?, ?)", [(i, x) for i, v in rows for x in v])
+    assert got == dict(con.execute("select i, median(v) from t group by i").fetchall())
+    values = [65194151025.49909, -65194151025.49909, 4503599627.370497, 1e200, float("-inf"), *(1e10 + i / 7 for i in range(300))]
+    got = [r.x for r in rounded(spark.createDataFrame([(x,) for x in values], "x double"), "x").collect()]
+    assert got == [con.execute("select round(cast(? as double), 6)", [x]).fetchall()[0][0] for x in values]

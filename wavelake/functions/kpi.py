@@ -62,7 +62,7 @@ def link_quality(snr: Column) -> Column:
 
 
 def quantile(sorted_values: Column, p: float) -> Column:
-    """Linear interpolation at (n - 1) * p of a sorted array."""
+    """Linear interpolation at (n - 1) * p of a sorted array, as weighted values: low + (high - low) * share has other last bits where the two are far apart."""
     at = (F.size(sorted_values) - 1) * F.lit(float(p))
-    low = F.get(sorted_values, F.floor(at).cast("int"))
-    return low + (F.get(sorted_values, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+    share = at - F.floor(at)
+    return F.get(sorted_values, F.floor(at).cast("int")) * (1 - share) + F.get(sorted_values, F.ceil(at).cast("int")) * share

@@ -27,8 +27,9 @@ def as_sql_rounds(x, digits):
     """round() as DuckDB has it: of the product with a power of ten as a double, half away from zero. Spark's rounds the shortest text of a number, which differs where one of them is at a half."""
     at = F.abs(x * F.lit(10.0**digits))
     whole = F.floor(at)
-    near = (whole + F.when(at - whole >= 0.5, 1).otherwise(0)).cast("double") / F.lit(10.0**digits)
-    return F.when(at < 2.0**52, F.when(x < 0, -near).otherwise(near)).otherwise(x)
+    # from 2**52 on the product is whole, and dividing it gives other bits than x has
+    near = F.when(at < 2.0**52, (whole + F.when(at - whole >= 0.5, 1).otherwise(0)).cast("double")).otherwise(at) / F.lit(10.0**digits)
+    return F.when(at < float("inf"), F.when(x < 0, -near).otherwise(near)).otherwise(x)
 
 
 def rounded(df, *columns, digits=6):
