@@ -484,3 +484,16 @@ def test_a_forest_of_links(spark):
     told = [{"a": pa.array(["b", "c", "z"]), "b": pa.array(["a", "b", "z"])}, {"a": pa.array(["e", "c"]), "b": pa.array(["c", "a"])}, {"a": pa.array(["y"]), "b": pa.array(["x"])}]
     got = fa.cosine.forest(told)
     assert list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == [("b", "a"), ("c", "a"), ("e", "a"), ("y", "x")]
+
+
+def test_logs_share_files(spark, tmp_path, monkeypatch):
+    """Many logs lie in one file, whole or cut, and come back with their own numbers."""
+    from wavelake.plans import learning as pl
+
+    monkeypatch.setattr(pl, "place", lambda spark, what: f"{tmp_path}/{what}")
+    monkeypatch.setattr(pl, "LINES", 7)
+    log = spark.createDataFrame([(None if t == 3 else f"tag {t}", n, f"line {n} of {t}") for t in range(40) for n in range(1, 20 if t % 5 else 40)], "tag string, line_no int, raw string")
+    monkeypatch.setattr(pl, "raw", lambda spark, sf: log)
+    got = pl.read_log_text(spark, "")
+    assert sorted(map(str, got.collect())) == sorted(map(str, log.withColumn("line_no", F.col("line_no").cast("long")).collect()))
+    assert len(list((tmp_path / "logs").rglob("*.txt"))) == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import kpi as kp
@@ -20,6 +21,8 @@ place = scratch
 BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 #: Lines of a log file, and ids of a manifest: so neither is longer than a task can hold. Lines of an artifact.
 LINES, MANIFEST, PART = 100_000, 1_000_000, 1000
+#: Lines of a file of many logs, on average; what a line before a log begins with.
+FILE, HEAD = 20_000, "==> "
 
 
 @query("isolation_forest")
@@ -39,14 +42,26 @@ def scan_store(spark, sf):
 
 @query("read_log_text", f"{ctes('log_raw')} SELECT tag, line_no, raw FROM log_raw")
 def read_log_text(spark, sf):
-    """The derived logs, written as text files of LINES lines of one tag, and read again."""
+    """The derived logs, written as text files that hold many logs each, and read again. As head and tail print many files, a line with the name goes before each log (no line of these logs begins like it); logs of over LINES lines are cut."""
     at, lines = place(spark, "logs"), raw(spark, sf)
-    part = F.floor((F.col("line_no") - 1) / LINES).cast("long").alias("part")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
-    lines.groupBy("tag", part).agg(F.array_join(ordered, "\n").alias("value")).write.options(**BY_TASKS).partitionBy("tag", "part").text(at)
-    got = store.read_log_text(spark, at)
-    before = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("int") * LINES
-    return got.select(F.regexp_extract("path", "tag=([^/]+)/", 1).alias("tag"), (F.col("line_no") + before).alias("line_no"), "raw")
+    c, part = F.col, F.floor((F.col("line_no") - 1) / LINES).cast("long")
+    # a file costs far more than its lines, so there are as many as lines ask for and not as many as tags
+    files = max(1, -(-lines.count() // FILE))
+    first = (c("line_no") - 1) % LINES == 0
+    value = F.when(first, F.concat(F.lit(HEAD), c("part").cast("string"), F.lit(" "), F.coalesce("tag", F.lit("")), F.lit("\n"), F.coalesce("raw", F.lit("")))).otherwise(c("raw"))
+    dealt = lines.withColumn("part", part).withColumn("file", F.pmod(F.xxhash64("tag", "part"), F.lit(files)))
+    ordered = dealt.repartition(files, "file").sortWithinPartitions("file", "tag", "part", "line_no")
+    ordered.select("file", value.alias("value")).write.options(**BY_TASKS).partitionBy("file").text(at)
+    return logs_of(store.read_log_text(spark, at))
+
+
+def logs_of(got):
+    """tag, line_no, raw of lines (path, line_no, raw) of files that hold many logs."""
+    c = F.col
+    told = F.when(c("raw").startswith(HEAD), F.struct(c("line_no").alias("at"), F.split("raw", " ", 3).alias("words")))
+    own = got.withColumns({"told": told, "head": F.last(told, ignorenulls=True).over(W.partitionBy("path").orderBy("line_no"))}).where("told is null")
+    before = F.get("head.words", F.lit(1)).cast("int") * LINES
+    return own.select(F.nullif(F.get("head.words", F.lit(2)), F.lit("")).alias("tag"), (c("line_no") - c("head.at") + before).alias("line_no"), "raw")
 
 
 @query("decode_json_columns", "SELECT event_id, user_id, event_type AS kind FROM events")
