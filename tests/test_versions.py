@@ -65,3 +65,22 @@ def test_artifact_catalog(spark, tmp_path, monkeypatch):
     kinds = {"a.PCAP": "pcap", "deep/er/b.log": "log", "deep/none": "", "large.log": "log"}
     assert got == {n: (len(c), kinds[n], None if len(c) >= 100 else hashlib.sha256(c).hexdigest()) for n, c in files.items() if c}
     assert {r.path.rpartition("/")[2] for r in store.artifact_catalog(spark, str(tmp_path), "*.log").collect()} == {"b.log", "large.log"}
+
+
+def test_members_of_archives(spark, tmp_path):
+    """Artifacts in archives are told as those in files of their own are, whoever wrote the archive."""
+    import io
+    import tarfile
+
+    texts = {f"tag=t{i}/part={i % 3}/{'x' * (i * 7)}.txt": f"é{i}\n" * (i * 37) + "z" * (512 if i == 5 else 0) for i in range(40)} | {"full.txt": "y" * 1024}
+    store.write_tars(spark.createDataFrame(list(texts.items()), "name string, content string"), str(tmp_path / "own"), 3)
+    assert len(list((tmp_path / "own").glob("*.txt"))) <= 3
+    with tarfile.open(tmp_path / "other.tar", "w") as t:
+        info = tarfile.TarInfo("deep/b.log")
+        info.size = 4
+        t.addfile(info, io.BytesIO(b"\x00\xff12"))
+    (tmp_path / "plain.log").write_bytes(b"line")
+    want = {n: c.encode() for n, c in texts.items() if c} | {"deep/b.log": b"\x00\xff12", "plain.log": b"line"}
+    got = {r.path.rpartition("!/")[2].rpartition(tmp_path.name + "/")[2]: (r["size"], r.kind, r.sha256) for r in store.artifact_catalog(spark, str(tmp_path), members=True).collect()}
+    assert got == {n: (len(c), n.rpartition(".")[2], hashlib.sha256(c).hexdigest()) for n, c in want.items()}
+    assert {r.path.rpartition("/")[2] for r in store.artifact_catalog(spark, str(tmp_path), "*.???").collect()} >= {"other.tar", "plain.log"}

@@ -85,10 +85,14 @@ def read_manifest(spark, sf):
 @query("artifact_catalog", f"""{ctes('log_raw')}, files AS (SELECT 'tag=' || tag || '/part=' || (line_no - 1) // {PART} AS name, string_agg(raw, chr(10) ORDER BY line_no) || chr(10) AS content FROM log_raw GROUP BY tag, (line_no - 1) // {PART})
 SELECT name, strlen(content) AS size, 'txt' AS kind, sha256(content) AS sha256 FROM files""")
 def artifact_catalog(spark, sf):
-    """The derived log lines, written as text files of up to PART lines of a tag."""
-    at, log = place(spark, "artifacts"), table(spark, sf, "log_raw").withColumn("part", F.floor((F.col("line_no") - 1) / PART))
-    log.repartition("tag", "part").sortWithinPartitions("tag", "part", "line_no").select("tag", "part", "raw").write.options(**BY_TASKS).partitionBy("tag", "part").text(at)
-    return store.artifact_catalog(spark, at, "*.txt").select(F.regexp_extract("path", r"([^/]+/[^/]+)/[^/]+$", 1).alias("name"), "size", "kind", "sha256")
+    """The derived log lines, as text files of up to PART lines of a tag, which lie in tar archives: a file of its own costs far more than what is in it."""
+    at, log = place(spark, "artifacts"), raw(spark, sf)
+    n = max(1, -(-log.count() // FILE))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "raw"))), lambda x: x["raw"])
+    part = F.floor((F.col("line_no") - 1) / PART).cast("string").alias("part")
+    texts = log.groupBy("tag", part).agg(F.concat(F.array_join(ordered, "\n"), F.lit("\n")).alias("content"))
+    store.write_tars(texts.select(F.concat(F.lit("tag="), F.coalesce("tag", F.lit("")), F.lit("/part="), "part", F.lit("/log.txt")).alias("name"), "content"), at, n)
+    return store.artifact_catalog(spark, at, members=True).select(F.regexp_extract("path", r"([^/]+/[^/]+)/[^/]+$", 1).alias("name"), "size", "kind", "sha256")
 
 
 @query("list_captures", f"{ctes('frames')} SELECT DISTINCT 'capture_id=' || capture_id AS name FROM frames WHERE capture_id LIKE '%1%' ORDER BY name LIMIT 40")

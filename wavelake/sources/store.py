@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import tarfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import written
+from ..session import ship, written
 
 #: Files of this many bytes or more are not read for their checksum.
 MOST_HASHED = 64 * 1024 * 1024
+#: The ending of a path.
+KIND = r"\.([A-Za-z0-9]+)$"
 MANIFEST = "deterministic array<struct<tag string, scenario string, fault string, seed bigint, pcap string, log string, summary struct<result struct<ok boolean>, transitions array<string>>>>, flake array<struct<tag string, fault string, seed bigint, injected boolean, fired boolean, pcap string, log string>>"
 
 
@@ -47,13 +54,47 @@ def decode_json_columns(df: DataFrame, **schemas: str) -> DataFrame:
     return df.withColumns({c: F.from_json(c, s) for c, s in schemas.items()})
 
 
-def artifact_catalog(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, size, kind, sha256 (null for large files, whose content isn't read) of the files below folder. Empty files are left out, as Spark's scans of files do."""
+def artifact_catalog(spark: SparkSession, folder: str, pattern: str = "*", members: bool = False) -> DataFrame:
+    """path, size, kind, sha256 (null for large files, whose content isn't read) of the files below folder. Empty files are left out, as Spark's scans of files do. With members, those of tar archives (archive!/name) are told instead of the archive, if it isn't large; archives are known by their content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    small = files.where(F.col("length") < MOST_HASHED).select("path", F.col("length").alias("size"), kind.alias("kind"), F.sha2("content", 256).alias("sha256"))
+    kind = F.lower(F.regexp_extract("path", KIND, 1))
+    small = files.where(F.col("length") < MOST_HASHED)
     large = files.where(F.col("length") >= MOST_HASHED).select("path", F.col("length").alias("size"), kind.alias("kind"), F.lit(None).cast("string").alias("sha256"))
-    return small.unionByName(large)
+    is_tar = F.substring("content", 258, 5) == F.lit(b"ustar")
+    own = small.where(~is_tar) if members else small
+    told = own.select("path", F.col("length").alias("size"), kind.alias("kind"), F.sha2("content", 256).alias("sha256")).unionByName(large)
+    if not members:
+        return told
+    ship(spark)
+    inside = small.where(is_tar).select("path", "content").mapInArrow(tar_members, "path string, size long, sha256 string")
+    return told.unionByName(inside.select("path", "size", kind.alias("kind"), "sha256"))
+
+
+def tar_members(batches):
+    """path, size and sha256 of the members of archives (path, content)."""
+    for b in batches:
+        rows = []
+        for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+            with tarfile.open(fileobj=io.BytesIO(content.as_py()), ignore_zeros=True) as archive:
+                rows += [(f"{path}!/{m.name}", m.size, hashlib.sha256(archive.extractfile(m).read()).hexdigest()) for m in archive if m.isfile() and m.size]
+        yield pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in rows], pa.string()), "size": pa.array([r[1] for r in rows], pa.int64()), "sha256": pa.array([r[2] for r in rows], pa.string())})
+
+
+def write_tars(files: DataFrame, path: str, n: int) -> None:
+    """files (name, content: text) as members of n tar archives, each written by one task; blocks of zeros may lie between members (tar -i)."""
+    ship(files.sparkSession)
+
+    def as_members(batches):
+        for b in batches:
+            out = []
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist()):
+                info, text = tarfile.TarInfo(name), content.encode()
+                info.size = len(text)
+                # the last zero is the end of the line, which Spark writes
+                out.append(info.tobuf(tarfile.GNU_FORMAT) + text + bytes((-len(text) % 512 or 512) - 1))
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.binary()).cast(pa.string())})
+
+    files.select("name", "content").repartition(n, "name").mapInArrow(as_members, "value string").write.option("lineSep", "\0").text(path)
 
 
 def list_captures(spark: SparkSession, folder: str, contains: str = "", limit: int = 100, pattern: str = "*.pcap") -> DataFrame:
